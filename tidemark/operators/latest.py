@@ -20,7 +20,7 @@ def latest_rows(
     neither a window nor a sort, and a long series is reduced before the shuffle.
     """
     columns = columns or [c for c in panel.columns if c not in (entity, order)]
-    known = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns]
+    known = [F.expr(f"max_by(`{c}`, `{order}`) FILTER (WHERE `{c}` IS NOT NULL) AS `{c}`") for c in columns]
     return panel.groupBy(entity).agg(F.max(order).alias(order), *known)
 
 

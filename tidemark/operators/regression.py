@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import compound
+from tidemark.operators.series import quoted
 from tidemark.operators.windows import target_of
 
 # Terms: 0 is the intercept, 1..k the features, "y" the growth target.
@@ -37,24 +38,22 @@ def cross_products(
     Rows are multiplied by the number of horizons inside the map task only: the
     sums are formed there, and one row per horizon and task is shuffled.
     """
-    targets = F.explode(
-        F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(target_of(h)).alias("y")) for h in horizons])
-    )
-    rows = train.select(*features, targets.alias("t")).select(*features, "t.horizon", "t.y")
-    terms = {0: F.lit(1.0), "y": F.col("y")}
-    terms.update({i: F.col(name) for i, name in enumerate(features, 1)})
-    sums = [F.sum(terms[i] * terms[j]).alias(_cell((i, j))) for i, j in _pairs(len(features))]
-    return rows.where(F.col("y").isNotNull()).groupBy("horizon").agg(*sums)
+    targets = ", ".join(f"struct({h} AS horizon, {quoted(target_of(h))} AS y)" for h in horizons)
+    names = [quoted(f) for f in features]
+    rows = train.selectExpr(*names, f"explode(array({targets})) AS t").selectExpr(*names, "t.horizon", "t.y")
+    terms = {0: "1.0D", "y": "y", **dict(enumerate(names, 1))}
+    sums = [F.expr(f"sum({terms[i]} * {terms[j]}) AS {_cell((i, j))}") for i, j in _pairs(len(features))]
+    return rows.where("y IS NOT NULL").groupBy("horizon").agg(*sums)
 
 
 def cross_product_cells(sums: DataFrame, features: Sequence[str]) -> DataFrame:
     """The sums in long form: horizon, names of the two terms, value."""
     names = {0: "intercept", "y": "growth", **dict(enumerate(features, 1))}
-    cells = [
-        F.struct(F.lit(names[i]).alias("term"), F.lit(names[j]).alias("other"), F.col(_cell((i, j))).alias("value"))
+    cells = ", ".join(
+        f"struct('{names[i]}' AS term, '{names[j]}' AS other, {_cell((i, j))} AS value)"
         for i, j in _pairs(len(features))
-    ]
-    return sums.select("horizon", F.explode(F.array(*cells)).alias("c")).select("horizon", "c.*")
+    )
+    return sums.selectExpr("horizon", f"inline(array({cells}))")
 
 
 def least_squares(gram: np.ndarray, moments: np.ndarray) -> np.ndarray:
@@ -107,17 +106,15 @@ def predict(
     `models` must be small enough to broadcast: one row per horizon. Joining it
     any other way would put all entities with the same horizon into one task.
     """
-    weights = models.select("horizon", "intercept", *[F.col(f).alias(f"__w_{f}") for f in features])
-    growth = F.col("intercept")
-    for name in features:
-        growth = growth + F.col(f"__w_{name}") * F.col(name)
+    weights = models.selectExpr("horizon", "intercept", *[f"`{f}` AS `__w_{f}`" for f in features])
+    growth = " + ".join(["intercept", *[f"`__w_{f}` * `{f}`" for f in features]])
     scored = latest.join(F.broadcast(weights), "horizon", "left")
     return scored.select(
         entity,
         F.col(order).alias("latest_date"),
         "level",
         "forecast_date",
-        compound(F.col("level"), growth).alias("forecast"),
+        compound(F.col("level"), F.expr(growth)).alias("forecast"),
         "horizon",
         F.col("intercept").isNotNull().alias("has_model"),
     )

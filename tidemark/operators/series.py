@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
@@ -33,6 +33,10 @@ POS = "__pos"
 _RANK, _ROWS, _OFFSET = "__rank", "__rows", "__offset"
 
 
+def quoted(name: str) -> str:
+    return f"`{name}`"
+
+
 @dataclass(frozen=True)
 class SeriesKey:
     """What identifies and orders a series, and how finely long ones are cut.
@@ -46,19 +50,23 @@ class SeriesKey:
     chunk_days: int = 1024
     block_rows: int = 3840
 
-    def chunk(self) -> Column:
-        day = F.datediff(F.col(self.order), F.lit("1970-01-01").cast("date"))
-        return F.floor(day / self.chunk_days).cast("int")
+    @property
+    def chunk(self) -> str:
+        return f"CAST(floor(unix_date({quoted(self.order)}) / {self.chunk_days}) AS INT)"
+
+    @property
+    def block_window(self) -> str:
+        """Inner part of an OVER clause: one block in order of position."""
+        return f"PARTITION BY {quoted(self.entity)}, {BLOCK} ORDER BY {POS}"
 
-    def block_window(self) -> WindowSpec:
-        return Window.partitionBy(self.entity, BLOCK).orderBy(POS)
+
+def with_chunk(df: DataFrame, key: SeriesKey) -> DataFrame:
+    return df if CHUNK in df.columns else df.selectExpr("*", f"{key.chunk} AS {CHUNK}")
 
 
 def chunked(df: DataFrame, key: SeriesKey) -> DataFrame:
     """`df` shuffled by (entity, chunk), unless it already is."""
-    if CHUNK in df.columns:
-        return df
-    return df.withColumn(CHUNK, key.chunk()).repartition(key.entity, CHUNK)
+    return df if CHUNK in df.columns else with_chunk(df, key).repartition(key.entity, CHUNK)
 
 
 def prev_of(column: str) -> str:
@@ -78,73 +86,80 @@ def next_pos_of(column: str) -> str:
 
 
 def scan(
-    df: DataFrame, key: SeriesKey, back: Sequence[str] = (), ahead: Sequence[str] = ()
+    df: DataFrame,
+    key: SeriesKey,
+    back: Sequence[str] = (),
+    ahead: Sequence[str] = (),
+    places: bool = False,
 ) -> DataFrame:
     """Add each row's position (from 1), and the nearest known values around it.
 
-    For a column in `back`: its last non-null value at or before the row, with
-    the position of that. In `ahead`: its first non-null value after the row.
+    For a column in `back`: its last non-null value at or before the row. In
+    `ahead`: its first non-null value after the row. With `places`, also the
+    positions of these values; the summaries then need the rows in order, else
+    they are plain aggregates, made before any shuffle.
     """
-    parts = [key.entity, CHUNK]
-    rising = Window.partitionBy(*parts).orderBy(key.order)
-    so_far = rising.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    falling = Window.partitionBy(*parts).orderBy(F.desc(key.order))
-    still_to_come = falling.rowsBetween(Window.unboundedPreceding, -1)
-
-    ranked = chunked(df, key).withColumn(_RANK, F.row_number().over(rising))
-
-    def at(column: str, place: str) -> Column:
-        return F.when(F.col(column).isNotNull(), F.col(place))
-
-    chunks = ranked.groupBy(*parts).agg(
-        F.max(_RANK).alias(_ROWS),
-        *[F.max_by(c, at(c, _RANK)).alias(prev_of(c)) for c in back],
-        *[F.max(at(c, _RANK)).alias(prev_pos_of(c)) for c in back],
-        *[F.min_by(c, at(c, _RANK)).alias(next_of(c)) for c in ahead],
-        *[F.min(at(c, _RANK)).alias(next_pos_of(c)) for c in ahead],
-    )
-    # One row per chunk from here on: a few rows for each entity.
-    earlier = Window.partitionBy(key.entity).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    later = (
-        Window.partitionBy(key.entity).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    chunks = chunks.withColumn(_OFFSET, F.coalesce(F.sum(_ROWS).over(earlier), F.lit(0)))
-    offset = F.col(_OFFSET)
-    carried = chunks.select(
-        *parts,
-        offset,
-        *[F.last(prev_of(c), True).over(earlier).alias(f"{prev_of(c)}_in") for c in back],
-        *[F.max(offset + F.col(prev_pos_of(c))).over(earlier).alias(f"{prev_pos_of(c)}_in") for c in back],
-        *[F.last(next_of(c), True).over(later).alias(f"{next_of(c)}_in") for c in ahead],
-        *[F.min(offset + F.col(next_pos_of(c))).over(later).alias(f"{next_pos_of(c)}_in") for c in ahead],
+    entity, order = quoted(key.entity), quoted(key.order)
+    rising = f"PARTITION BY {entity}, {CHUNK} ORDER BY {order}"
+    falling = f"PARTITION BY {entity}, {CHUNK} ORDER BY {order} DESC"
+    earlier = f"PARTITION BY {entity} ORDER BY {CHUNK} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    later = f"PARTITION BY {entity} ORDER BY {CHUNK} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+    # These lists grow together: what a chunk's summary holds, what is carried
+    # along the series, and what each row makes of that and its own chunk.
+    in_chunk = [f"count(*) AS {_ROWS}"]
+    carried = [entity, CHUNK, _OFFSET]
+    around = []
+
+    def look(c: str, value: str, place: str, pick: str, end: str, chunks: str, rows: str) -> None:
+        column, known = quoted(c), f"{quoted(c)} IS NOT NULL"
+        in_chunk.append(f"{pick}({column}, {order}) FILTER (WHERE {known}) AS {quoted(value)}")
+        carried.append(f"last({quoted(value)}, true) OVER ({chunks}) AS {quoted(value + '_in')}")
+        around.append(f"coalesce(last({column}, true) OVER ({rows}), {quoted(value + '_in')}) AS {quoted(value)}")
+        if places:
+            in_chunk.append(f"{end}({_RANK}) FILTER (WHERE {known}) AS {quoted(place)}")
+            carried.append(f"{end}({_OFFSET} + {quoted(place)}) OVER ({chunks}) AS {quoted(place + '_in')}")
+            here = f"{end}(if({known}, {POS}, NULL)) OVER ({rows})"
+            around.append(f"coalesce({here}, {quoted(place + '_in')}) AS {quoted(place)}")
+
+    for c in back:
+        so_far = f"{rising} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+        look(c, prev_of(c), prev_pos_of(c), "max_by", "max", earlier, so_far)
+    for c in ahead:
+        # A descending frame: one that grows towards the end would be quadratic.
+        to_come = f"{falling} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        look(c, next_of(c), next_pos_of(c), "min_by", "min", later, to_come)
+
+    ranked = chunked(df, key).selectExpr("*", f"row_number() OVER ({rising}) AS {_RANK}")
+    # One row per chunk: a few rows for each entity.
+    chunks = (
+        (ranked if places else with_chunk(df, key))
+        .groupBy(key.entity, CHUNK)
+        .agg(*map(F.expr, in_chunk))
+        .selectExpr("*", f"coalesce(sum({_ROWS}) OVER ({earlier}), 0) AS {_OFFSET}")
+        .selectExpr(*carried)
     )
-    rows = ranked.join(carried, parts).withColumn(POS, offset + F.col(_RANK))
-
-    def carry(name: str, inside: Column) -> Column:
-        return F.coalesce(inside, F.col(f"{name}_in")).alias(name)
-
-    found = rows.select(
-        *df.columns,
-        *[c for c in (CHUNK,) if c not in df.columns],
-        POS,
-        *[carry(prev_of(c), F.last(c, True).over(so_far)) for c in back],
-        *[carry(prev_pos_of(c), F.max(at(c, POS)).over(so_far)) for c in back],
-        *[carry(next_of(c), F.last(c, True).over(still_to_come)) for c in ahead],
-        *[carry(next_pos_of(c), F.min(at(c, POS)).over(still_to_come)) for c in ahead],
-    )
-    return found
+    rows = ranked.join(chunks, [key.entity, CHUNK]).selectExpr("*", f"{_OFFSET} + {_RANK} AS {POS}")
+    kept = [quoted(c) for c in df.columns if c != CHUNK]
+    return rows.selectExpr(*kept, CHUNK, POS, *around)
+
 
+def part_offsets(df: DataFrame, key: SeriesKey, part: str, rank: str) -> DataFrame:
+    """Rows ahead of each part but the first of a series, from ranks that count from 1 in a part.
 
-def number_rows(df: DataFrame, key: SeriesKey, part: str, rank: str) -> DataFrame:
-    """Positions from ranks that count from 1 in each part (`part` ascends along the series)."""
+    `part` ascends along the series. A series of one part adds no row.
+    """
+    earlier = f"PARTITION BY {quoted(key.entity)} ORDER BY {part} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     sizes = df.groupBy(key.entity, part).agg(F.max(rank).alias(_ROWS))
-    earlier = Window.partitionBy(key.entity).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    # The first part of a series needs no offset, so a series of one part adds no row here.
-    offsets = sizes.select(key.entity, part, F.sum(_ROWS).over(earlier).alias(_OFFSET)).where(
-        F.col(_OFFSET).isNotNull()
-    )
+    return sizes.selectExpr(
+        quoted(key.entity), part, f"sum({_ROWS}) OVER ({earlier}) AS {_OFFSET}"
+    ).where(f"{_OFFSET} IS NOT NULL")
+
+
+def number_rows(df: DataFrame, offsets: DataFrame, key: SeriesKey, part: str, rank: str) -> DataFrame:
+    """Add positions from ranks within parts and the `part_offsets`."""
     placed = df.join(offsets, [key.entity, part], "left")
-    return placed.withColumn(POS, F.coalesce(_OFFSET, F.lit(0)) + F.col(rank)).drop(_OFFSET)
+    return placed.selectExpr("*", f"coalesce({_OFFSET}, 0) + {rank} AS {POS}").drop(_OFFSET)
 
 
 def with_halo(df: DataFrame, key: SeriesKey, before: int = 0, after: int = 0) -> DataFrame:
@@ -153,11 +168,10 @@ def with_halo(df: DataFrame, key: SeriesKey, before: int = 0, after: int = 0) ->
     Each block then also holds the `before` rows ahead of it and the `after` rows
     behind it; `__core` is false on such copies. Filter on it after the windows.
     """
-    index = F.col(POS) - 1
 
-    def block_of(row: Column) -> Column:
-        return F.floor(row / key.block_rows).cast("int")
+    def block_of(position: str) -> str:
+        return f"CAST(floor(({position} - 1) / {key.block_rows}) AS INT)"
 
-    first = F.greatest(block_of(index - after), F.lit(0))
-    copies = F.explode(F.sequence(first, block_of(index + before)))
-    return df.withColumn(BLOCK, copies).withColumn(CORE, F.col(BLOCK) == block_of(index))
+    first = f"greatest({block_of(f'{POS} - {after}')}, 0)"
+    copies = f"explode(sequence({first}, {block_of(f'{POS} + {before}')})) AS {BLOCK}"
+    return df.selectExpr("*", copies).selectExpr("*", f"{BLOCK} = {block_of(POS)} AS {CORE}")

@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tidemark.operators.frames import all_present, public_columns
+from tidemark.operators.frames import public_columns
 from tidemark.operators.series import (
     BLOCK,
     CORE,
@@ -21,6 +20,7 @@ from tidemark.operators.series import (
     next_pos_of,
     prev_of,
     prev_pos_of,
+    quoted,
     scan,
     with_halo,
 )
@@ -29,32 +29,37 @@ from tidemark.settings import LAGS, MEAN_PAIRS, lag_feature, ratio_feature
 TRAIN_RANK = "__train_rank"
 
 
+def _replaced(df: DataFrame, columns: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """`columns` of `df`, some with a new value."""
+    return df.selectExpr(*[f"{values[c]} AS {quoted(c)}" if c in values else quoted(c) for c in columns])
+
+
 def forward_fill(df: DataFrame, columns: Sequence[str], key: SeriesKey = SeriesKey()) -> DataFrame:
     """Fill nulls with the last known value, each column on its own."""
     known = scan(df, key, back=columns)
-    return known.select([F.col(prev_of(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+    return _replaced(known, df.columns, {c: quoted(prev_of(c)) for c in columns})
 
 
 def interpolated(
     df: DataFrame, columns: Sequence[str], key: SeriesKey = SeriesKey(), lead: Sequence[str] = ()
 ) -> DataFrame:
     """`interpolate` with the working columns left in, for operators that follow."""
-    known = scan(df, key, back=columns, ahead=columns)
+    known = scan(df, key, back=columns, ahead=columns, places=True)
 
-    def line(c: str, pos: Column) -> Column:
-        y0, x0, y1, x1 = (F.col(f(c)) for f in (prev_of, prev_pos_of, next_of, next_pos_of))
-        return y0 + (y1 - y0) * (pos - x0) / (x1 - x0)
+    def line(c: str, pos: str) -> str:
+        y0, x0, y1, x1 = (quoted(f(c)) for f in (prev_of, prev_pos_of, next_of, next_pos_of))
+        return f"{y0} + ({y1} - {y0}) * ({pos} - {x0}) / ({x1} - {x0})"
 
-    def value(c: str) -> Column:
+    def value(c: str) -> str:
         if c in lead:
-            following = F.col(POS) + 1
-            known_next = F.col(next_pos_of(c)) == following
-            out = F.when(known_next, F.col(next_of(c))).otherwise(line(c, following))
+            following = f"({POS} + 1)"
+            is_known = f"{quoted(next_pos_of(c))} = {following}"
+            out = f"CASE WHEN {is_known} THEN {quoted(next_of(c))} ELSE {line(c, following)} END"
         else:
-            out = F.coalesce(F.col(c), line(c, F.col(POS)))
-        return out.cast("double")
+            out = f"coalesce({quoted(c)}, {line(c, POS)})"
+        return f"CAST({out} AS DOUBLE)"
 
-    return known.withColumns({c: value(c) for c in columns})
+    return _replaced(known, known.columns, {c: value(c) for c in columns})
 
 
 def interpolate(
@@ -70,12 +75,12 @@ def interpolate(
 def lead_rows(df: DataFrame, column: str, rows: int = 1, key: SeriesKey = SeriesKey()) -> DataFrame:
     """Replace `column` by its value `rows` rows later."""
     blocks = with_halo(scan(df, key), key, before=max(-rows, 0), after=max(rows, 0))
-    moved = blocks.withColumn(column, F.lead(column, rows).over(key.block_window()))
-    return moved.where(CORE).select(df.columns)
+    moved = {column: f"lead({quoted(column)}, {rows}) OVER ({key.block_window})"}
+    return _replaced(blocks, [*df.columns, CORE], moved).where(CORE).drop(CORE)
 
 
 def _trailing_sums(
-    df: DataFrame, column: str, lengths: Iterable[int], window: WindowSpec
+    df: DataFrame, column: str, lengths: Iterable[int], key: SeriesKey
 ) -> tuple[DataFrame, dict[int, str]]:
     """Add the sum of the last n rows for each n, null unless all n values are known.
 
@@ -83,25 +88,22 @@ def _trailing_sums(
     divide (168 = 2 x 84, 84 = 3 x 28, ...). A handful of offsets per row then do
     the work of a sliding frame, and only sums are added up, never subtracted.
     """
-    names = {1: column}
+    names = {1: quoted(column)}
     for n in sorted(set(lengths) - {1}):
-        name = f"__sum_{n}"
         part = max(m for m in names if n % m == 0)
         if n // part <= 12:
-            piece = F.col(names[part])
-            total = piece
-            for i in range(1, n // part):
-                total = total + F.lag(piece, i * part).over(window)
+            pieces = [f"lag({names[part]}, {i * part}) OVER ({key.block_window})" for i in range(1, n // part)]
+            total = " + ".join([names[part], *pieces])
         else:
-            frame = window.rowsBetween(1 - n, 0)
-            total = F.when(F.count(column).over(frame) == n, F.sum(column).over(frame))
-        df = df.withColumn(name, total)
-        names[n] = name
+            frame = f"({key.block_window} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+            total = f"if(count({names[1]}) OVER {frame} = {n}, sum({names[1]}) OVER {frame}, NULL)"
+        names[n] = f"__sum_{n}"
+        df = df.selectExpr("*", f"{total} AS {names[n]}")
     return df, names
 
 
-def _mean(names: dict[int, str], rows: int) -> Column:
-    return F.col(names[rows]) / F.lit(float(rows))
+def _mean(names: dict[int, str], rows: int) -> str:
+    return f"({names[rows]} / {rows}.0D)"
 
 
 def rolling_mean(
@@ -109,9 +111,9 @@ def rolling_mean(
 ) -> DataFrame:
     """Add `<column>_mean_<n>`: the mean of the last n rows, null unless all n are known."""
     blocks = with_halo(scan(df, key), key, before=max(lengths) - 1)
-    summed, names = _trailing_sums(blocks, column, lengths, key.block_window())
-    means = [_mean(names, n).alias(f"{column}_mean_{n}") for n in lengths]
-    return summed.where(CORE).select(*df.columns, *means)
+    summed, names = _trailing_sums(blocks, column, lengths, key)
+    means = [f"{_mean(names, n)} AS {quoted(f'{column}_mean_{n}')}" for n in lengths]
+    return summed.where(CORE).selectExpr(*map(quoted, df.columns), *means)
 
 
 def feature_blocks(
@@ -125,21 +127,21 @@ def feature_blocks(
     """`add_features`, with block and position of each row left in."""
     lengths = {n for pair in mean_pairs for n in pair}
     known = scan(panel, key, back=[reach])
-    filled = prev_of(reach)
-    reach_back = max([0, *lags, *(n - 1 for n in lengths)])
-    blocks = with_halo(known, key, before=reach_back)
-    window = key.block_window()
-    summed, names = _trailing_sums(blocks, level, lengths, window)
+    filled = quoted(prev_of(reach))
+    blocks = with_halo(known, key, before=max([0, *lags, *(n - 1 for n in lengths)]))
+    summed, names = _trailing_sums(blocks, level, lengths, key)
 
     ratios = [
-        (_mean(names, s) / F.nullif(_mean(names, l), F.lit(0.0))).alias(ratio_feature(s, l, level))
+        f"{_mean(names, s)} / nullif({_mean(names, l)}, 0.0D) AS {quoted(ratio_feature(s, l, level))}"
         for s, l in mean_pairs
     ]
     changes = [
-        (F.col(filled) / F.nullif(F.lag(filled, n).over(window), F.lit(0)) - 1).alias(lag_feature(n, reach))
+        f"{filled} / nullif(lag({filled}, {n}) OVER ({key.block_window}), 0) - 1"
+        f" AS {quoted(lag_feature(n, reach))}"
         for n in lags
     ]
-    return summed.select(*panel.columns, BLOCK, POS, CORE, *ratios, *changes).where(CORE).drop(CORE)
+    kept = map(quoted, panel.columns)
+    return summed.selectExpr(*kept, BLOCK, POS, CORE, *ratios, *changes).where(CORE).drop(CORE)
 
 
 def add_features(
@@ -160,9 +162,10 @@ def add_features(
 
 def rank_complete(features: DataFrame, columns: Sequence[str], key: SeriesKey) -> DataFrame:
     """Add the running number, within each block, of the rows that are complete in `columns`."""
-    whole = all_present(columns)
-    so_far = key.block_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return features.withColumn(TRAIN_RANK, F.when(whole, F.count_if(whole).over(so_far)))
+    whole = " AND ".join(f"{quoted(c)} IS NOT NULL" for c in columns)
+    so_far = f"({key.block_window} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    rank = f"if({whole}, count_if({whole}) OVER {so_far}, NULL)"
+    return features.selectExpr("*", f"{rank} AS {TRAIN_RANK}")
 
 
 def target_of(horizon: int) -> str:
@@ -174,9 +177,12 @@ def growth_of_numbered(
 ) -> DataFrame:
     """`growth_targets` for rows that are numbered already."""
     blocks = with_halo(train, key, before=max(0, -min(horizons)), after=max(0, max(horizons)))
-    window, start = key.block_window(), F.nullif(F.col(level), F.lit(0))
-    targets = {target_of(h): F.lead(level, h).over(window) / start - 1 for h in horizons}
-    return blocks.withColumns(targets).where(CORE).drop(BLOCK, CORE, POS)
+    targets = [
+        f"lead({quoted(level)}, {h}) OVER ({key.block_window}) / nullif({quoted(level)}, 0) - 1"
+        f" AS {quoted(target_of(h))}"
+        for h in horizons
+    ]
+    return blocks.selectExpr("*", *targets).where(CORE).drop(BLOCK, CORE, POS)
 
 
 def growth_targets(
@@ -186,6 +192,5 @@ def growth_targets(
 
     For h = 0 growth is 0; for h < 0 it is the growth towards |h| rows earlier.
     """
-    numbered = scan(train, key)
-    grown = growth_of_numbered(numbered, horizons, key, level)
+    grown = growth_of_numbered(scan(train, key), horizons, key, level)
     return grown.select(*train.columns, *[target_of(h) for h in horizons])

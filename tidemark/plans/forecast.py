@@ -5,18 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import horizon_days, local_today, month_end
-from tidemark.operators.frames import complete_cases, public_columns
+from tidemark.operators.frames import complete_cases, public_columns, union_all
 from tidemark.operators.latest import coverage_summary, latest_rows
 from tidemark.operators.regression import cross_products, predict, solve_models
-from tidemark.operators.series import BLOCK, SeriesKey, number_rows
+from tidemark.operators.series import BLOCK, SeriesKey, number_rows, part_offsets
 from tidemark.operators.windows import TRAIN_RANK, feature_blocks, growth_of_numbered, rank_complete
-from tidemark.plans.panel import Rules, panel_chunks
+from tidemark.plans.panel import Rules, build_panel
 from tidemark.plans.staging import stage
 from tidemark.settings import ANOMALY_RULES, FEATURES
 
@@ -49,15 +48,25 @@ def ranked_features(panel: DataFrame, key: SeriesKey = SeriesKey()) -> DataFrame
 
 
 def training_sums(ranked: DataFrame, horizons: Sequence[int], key: SeriesKey) -> DataFrame:
-    """Cross-products per horizon over the complete rows of a ranked feature table."""
-    train = ranked.select(key.entity, BLOCK, TRAIN_RANK, "level", *FEATURES).where(
-        F.col(TRAIN_RANK).isNotNull()
-    )
-    numbered = number_rows(train, key, BLOCK, TRAIN_RANK).drop(BLOCK, TRAIN_RANK)
+    """Cross-products per horizon over the complete rows of a staged feature table.
+
+    The offsets are staged as well: only series longer than a block have any, so
+    they are mostly small enough to be broadcast, and as a table they have a size
+    by which the planner can tell.
+    """
+    train = ranked.where(f"{TRAIN_RANK} IS NOT NULL")
+    offsets = stage(part_offsets(train, key, BLOCK, TRAIN_RANK), "offsets")
+    rows = train.select(key.entity, BLOCK, TRAIN_RANK, "level", *FEATURES)
+    numbered = number_rows(rows, offsets, key, BLOCK, TRAIN_RANK).drop(BLOCK, TRAIN_RANK)
+
+    def sums_for(some: Sequence[int]) -> DataFrame:
+        return cross_products(growth_of_numbered(numbered, some, key), some, FEATURES)
+
     horizons = sorted(horizons)
     passes = [horizons[i : i + HORIZONS_PER_PASS] for i in range(0, len(horizons), HORIZONS_PER_PASS)]
-    sums = [cross_products(growth_of_numbered(numbered, some, key), some, FEATURES) for some in passes]
-    return reduce(DataFrame.unionByName, sums)
+    if len(passes) == 1:
+        return sums_for(horizons)
+    return union_all([stage(sums_for(some), "sums") for some in passes])
 
 
 def forecast_panel(
@@ -99,7 +108,10 @@ def forecast(
     rules: Rules = ANOMALY_RULES,
     key: SeriesKey = SeriesKey(),
 ) -> Forecast:
-    """Forecast from a history panel and a sheet panel."""
-    return forecast_panel(panel_chunks(history, sheet, rules, key), as_of, key)
+    """Forecast from a history panel and a sheet panel.
+
+    The merged panel is staged, as numbering its rows reads it twice.
+    """
+    return forecast_panel(stage(build_panel(history, sheet, rules, key), "panel"), as_of, key)
 
 

@@ -8,6 +8,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.frames import tracked_entities
+from tidemark.operators.merge import require_unique
 from tidemark.operators.series import SeriesKey
 from tidemark.plans.forecast import Forecast, forecast
 from tidemark.plans.panel import Rules
@@ -22,10 +23,16 @@ from tidemark.sources.sheet import read_sheet
 def load(
     spark: SparkSession, history_path: str, sheet_path: str, entities: Collection[str], first_day: str
 ) -> tuple[DataFrame, DataFrame]:
-    """The two source panels. JSON is parsed once: the cleaning jobs read it more than once."""
+    """The two source panels, checked for repeated days.
+
+    History is staged, so that its JSON is parsed once for all that read it.
+    """
     names = entity_table(spark, dict.fromkeys(entities, ""))
-    history = tracked_entities(read_history(spark, history_path, first_day), names)
-    return stage(history, "history"), read_sheet(spark, sheet_path, list(entities))
+    history = stage(tracked_entities(read_history(spark, history_path, first_day), names), "history")
+    sheet = read_sheet(spark, sheet_path, list(entities))
+    require_unique(history, "history")
+    require_unique(sheet, "sheet")
+    return history, sheet
 
 
 def run(
