@@ -1,0 +1,166 @@
+"""Series cut into many chunks and blocks against brute force over whole series."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import helpers
+from helpers import PANEL, day
+from tidemark.operators.series import CHUNK, POS, SeriesKey, number_rows, part_offsets, scan
+from tidemark.operators.windows import (
+    add_features,
+    forward_fill,
+    growth_targets,
+    interpolate,
+    lead_rows,
+    rolling_mean,
+)
+from tidemark.plans.forecast import ranked_features
+from tidemark.settings import FEATURES
+
+# Chunks and blocks shorter and longer than gaps, frames and series.
+CUTS = [SeriesKey(chunk_days=c, block_rows=b) for c, b in ((1, 1), (3, 2), (10, 7), (1024, 3840))]
+
+
+@pytest.fixture(scope="module")
+def data():
+    """A hot entity, short ones, gaps in days, runs of nulls, days before 1970."""
+    rng = random.Random(7)
+    out = {}
+    for entity, size, first in (("hot", 90, 0), ("short", 4, 5), ("one", 1, 0), ("old", 30, -18300), ("empty", 12, 0)):
+        days = sorted(rng.sample(range(first, first + 2 * size), size))
+        level = [None if rng.random() < 0.25 else float(rng.randint(0, 9)) for _ in days]
+        reach = [None if rng.random() < 0.4 or entity == "empty" else float(rng.randint(1, 9)) for _ in days]
+        out[entity] = (days, level, reach)
+    hot = out["hot"]
+    hot[2][20:60] = [None] * 40
+    return out
+
+
+@pytest.fixture(scope="module")
+def panel(spark, data):
+    rows = [
+        (day(d), entity, a, b) for entity, (days, level, reach) in data.items() for d, a, b in zip(days, level, reach)
+    ]
+    random.Random(1).shuffle(rows)
+    return spark.createDataFrame(rows, PANEL).repartition(3).cache()
+
+
+def check(df, data, column, expected):
+    rows = {}
+    for r in df.orderBy("entity", "date").collect():
+        rows.setdefault(r.entity, []).append(r)
+    assert rows.keys() == data.keys()
+    for entity, (days, level, reach) in data.items():
+        assert [r.date for r in rows[entity]] == [day(d) for d in days]
+        helpers.same([r[column] for r in rows[entity]], expected(level, reach))
+
+
+@pytest.mark.parametrize("key", CUTS)
+def test_scan(panel, data, key):
+    scanned = scan(panel, key, back=["reach"], ahead=["reach"], places=True).cache()
+    check(scanned, data, POS, lambda a, b: list(range(1, len(a) + 1)))
+    check(scanned, data, "__reach_prev", lambda a, b: helpers.filled(b))
+
+    def next_known(values):
+        return [next((v for v in values[i + 1 :] if v is not None), None) for i in range(len(values))]
+
+    def next_place(values):
+        return [next((i + j + 2 for j, v in enumerate(values[i + 1 :]) if v is not None), None) for i in range(len(values))]
+
+    check(scanned, data, "__reach_next", lambda a, b: next_known(b))
+    check(scanned, data, "__reach_next_pos", lambda a, b: next_place(b))
+
+
+@pytest.mark.parametrize("key", CUTS)
+def test_single_column_operators(panel, data, key):
+    check(forward_fill(panel, ["level"], key), data, "level", lambda a, b: helpers.filled(a))
+    check(interpolate(panel, ["level", "reach"], key), data, "reach", lambda a, b: helpers.between(b))
+    moved = interpolate(panel, ["level", "reach"], key, lead=["level"])
+    check(moved, data, "level", lambda a, b: helpers.lead(helpers.between(a), 1))
+    for rows in (1, 5, -3):
+        check(lead_rows(panel, "level", rows, key), data, "level", lambda a, b, n=rows: helpers.lead(a, n))
+
+
+@pytest.mark.parametrize("key", CUTS)
+def test_features(panel, data, key):
+    out = add_features(panel, key, lags=[1, 4, 17], mean_pairs=[(1, 2), (2, 6), (3, 13)]).cache()
+    assert out.columns == [
+        *panel.columns,
+        "level_ma_1_over_2",
+        "level_ma_2_over_6",
+        "level_ma_3_over_13",
+        "reach_pct_change_1",
+        "reach_pct_change_4",
+        "reach_pct_change_17",
+    ]
+    for n in (1, 4, 17):
+        check(out, data, f"reach_pct_change_{n}", lambda a, b, n=n: helpers.change(b, n))
+    for s, l in ((1, 2), (2, 6), (3, 13)):
+        check(
+            out,
+            data,
+            f"level_ma_{s}_over_{l}",
+            lambda a, b, s=s, l=l: [
+                helpers.ratio(x, y) for x, y in zip(helpers.mean(a, s), helpers.mean(a, l), strict=True)
+            ],
+        )
+
+
+@pytest.mark.parametrize("key", CUTS)
+def test_rolling_means(panel, data, key):
+    # 2, 6 and 12 divide; 13 is a frame of its own.
+    out = rolling_mean(panel, "level", [2, 6, 12, 13], key).cache()
+    for n in (2, 6, 12, 13):
+        check(out, data, f"level_mean_{n}", lambda a, b, n=n: helpers.mean(a, n))
+
+
+@pytest.mark.parametrize("key", CUTS)
+def test_growth(panel, data, key):
+    horizons = [0, 1, 9, 40, -2]
+    out = growth_targets(panel, horizons, key).cache()
+    for h in horizons:
+        check(out, data, f"growth_target_{h}", lambda a, b, h=h: helpers.growth(a, h))
+
+
+@pytest.mark.parametrize("key", CUTS[1:3])
+def test_number_rows_over_parts(panel, data, key):
+    ranks = scan(panel, key).withColumn(
+        "r", F.expr(f"row_number() OVER (PARTITION BY entity, {CHUNK} ORDER BY date)")
+    )
+    ranks = ranks.withColumnRenamed(POS, "expected")
+    numbered = number_rows(ranks, part_offsets(ranks, key, CHUNK, "r"), key, CHUNK, "r")
+    assert numbered.where(f"{POS} <> expected").isEmpty()
+
+
+def test_result_does_not_depend_on_layout(spark, data):
+    """Input order, number of shuffle partitions and size of the cuts leave every value as it is."""
+    rng = random.Random(3)
+    rows = [(day(d), e, rng.random() * 1e6, rng.random() * 1e3) for e in "AB" for d in range(400)]
+    rows += [(day(d), "C", 5.0, None) for d in range(3)]
+    expected = None
+    for partitions, key in ((1, SeriesKey()), (4, SeriesKey(chunk_days=64, block_rows=50)), (9, SeriesKey(chunk_days=7, block_rows=333))):
+        rng.shuffle(rows)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            got = sorted(map(tuple, add_features(spark.createDataFrame(rows, PANEL), key).collect()), key=lambda r: r[:2][::-1])
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert expected is None or got == expected
+        expected = got
+    assert sum(None not in r for r in expected) == 2 * (400 - 168)
+
+
+def test_complete_rows_are_ranked_within_blocks(spark):
+    rows = [(day(d), "A", float(d + 1), None if d == 250 else 1.0 + d) for d in range(300)]
+    key = SeriesKey(chunk_days=100, block_rows=90)
+    out = ranked_features(spark.createDataFrame(rows, PANEL), key)
+    ranks = [(r["__block"], r["__train_rank"]) for r in out.orderBy("date").collect() if r["__train_rank"] is not None]
+    complete = [d for d in range(168, 300) if d != 250]
+    seen, expected = {}, []
+    for d in complete:
+        seen[d // 90] = seen.get(d // 90, 0) + 1
+        expected.append((d // 90, seen[d // 90]))
+    assert ranks == expected
+    assert set(FEATURES) <= set(out.columns)

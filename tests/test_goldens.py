@@ -1,0 +1,254 @@
+"""Hand-worked cases for the null, order and row-distance rules."""
+
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import PANEL, column_of, day, same, series
+from tidemark.functions.scalars import (
+    clean_number,
+    compound,
+    format_day,
+    format_local,
+    horizon_days,
+    local_today,
+    month_end,
+    month_length,
+    null_out,
+    parse_iso_date,
+    parse_us_date,
+    thousands,
+)
+from tidemark.operators.frames import (
+    complete_cases,
+    drop_all_null,
+    mask_anomalies,
+    numeric_columns,
+    positive_rows,
+    rename_columns,
+    start_from,
+    tracked_entities,
+    union_all,
+    union_relaxed,
+)
+from tidemark.operators.latest import coverage_summary, distinct_horizons, latest_rows
+from tidemark.operators.merge import precedence_merge, precedence_merge_join, require_unique
+from tidemark.operators.windows import (
+    add_features,
+    forward_fill,
+    growth_targets,
+    interpolate,
+    lead_rows,
+    rolling_mean,
+)
+
+
+def one(spark, value, kind, column):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(column(F.col("x")).alias("y")).first().y
+
+
+def test_interpolate(spark):
+    df = series(spark, [None, 10, None, None, 40, None])
+    same(column_of(interpolate(df, ["level"]), "level"), [None, 10, 20, 30, 40, None])
+
+
+def test_interpolate_counts_rows_not_days(spark):
+    df = series(spark, [10, None, 40], days=[1, 2, 5])
+    same(column_of(interpolate(df, ["level"]), "level"), [10, 25, 40])
+
+
+def test_lead(spark):
+    same(column_of(lead_rows(series(spark, [10, 11, 12]), "level"), "level"), [11, 12, None])
+    same(column_of(lead_rows(series(spark, [10, 11, 12]), "level", -1), "level"), [None, 10, 11])
+
+
+def test_interpolate_then_lead_in_one_pass(spark):
+    df = series(spark, [None, 10, None, None, 40, None])
+    same(column_of(interpolate(df, ["level"], lead=["level"]), "level"), [10, 20, 30, 40, None, None])
+
+
+def test_forward_fill(spark):
+    df = series(spark, [None, 1, None, 2, None], "reach")
+    same(column_of(forward_fill(df, ["reach"]), "reach"), [None, 1, 1, 2, 2])
+
+
+def test_percent_change_fills_forward_first(spark):
+    out = add_features(series(spark, [100, None, 121, None], "reach"), lags=[1], mean_pairs=[])
+    same(column_of(out, "reach_pct_change_1"), [None, 0, 0.21, 0])
+
+
+def test_rolling_mean_needs_all_values(spark):
+    out = rolling_mean(series(spark, [1, 2, None, 4, 5, 6]), "level", [3])
+    same(column_of(out, "level_mean_3"), [None, None, None, None, None, 5])
+
+
+def test_ratio_with_zero_denominator_is_null(spark):
+    out = add_features(series(spark, [0, 0, 4]), lags=[], mean_pairs=[(1, 2)])
+    same(column_of(out, "level_ma_1_over_2"), [None, None, 2])
+
+
+def test_growth_target(spark):
+    out = growth_targets(series(spark, [100, 110, 121, 133.1]), [2, 0, -1])
+    same(column_of(out, "growth_target_2"), [0.21, 0.21, None, None])
+    same(column_of(out, "growth_target_0"), [0, 0, 0, 0])
+    same(column_of(out, "growth_target_-1"), [None, 100 / 110 - 1, 110 / 121 - 1, 121 / 133.1 - 1])
+
+
+@pytest.fixture
+def sources(spark):
+    history = spark.createDataFrame(
+        [(day(1), "A", 10.0, 100.0), (day(2), "A", None, 110.0)], PANEL
+    )
+    sheet = spark.createDataFrame([(day(1), "A", 12), (day(3), "A", 15)], "date date, entity string, level bigint")
+    return history, sheet
+
+
+@pytest.mark.parametrize("merge", [precedence_merge, precedence_merge_join])
+def test_merge(sources, merge):
+    out = merge(*sources)
+    assert out.dtypes == [("date", "date"), ("entity", "string"), ("level", "double"), ("reach", "double")]
+    same(column_of(out, "level"), [12, None, 15])
+    same(column_of(out, "reach"), [100, 110, None])
+
+
+def test_latest_row_mixes_days(sources):
+    row = latest_rows(precedence_merge(*sources)).first()
+    assert (row.date, row.level, row.reach) == (day(3), 15.0, 110.0)
+
+
+def test_merge_refuses_repeated_days(spark, sources):
+    history, sheet = sources
+    with pytest.raises(Exception, match="duplicate row in one source for A 2020-01-02"):
+        precedence_merge(history.union(history), sheet).collect()
+    with pytest.raises(Exception, match="duplicate row in one source"):
+        precedence_merge(history, sheet.union(sheet)).collect()
+    require_unique(history, "history")
+    with pytest.raises(ValueError, match="history has 2 rows for A"):
+        require_unique(history.union(history), "history")
+
+
+def test_null_filters(spark):
+    df = spark.createDataFrame(
+        [(1, None, None), (2, None, 1.0), (3, 1.0, None), (4, float("nan"), 1.0)],
+        "id int, level double, reach double",
+    )
+    assert {r.id for r in drop_all_null(df).collect()} == {2, 3, 4}
+    assert {r.id for r in complete_cases(df).collect()} == {4}
+
+
+def test_positive_rows(spark):
+    df = spark.createDataFrame([(-1.0,), (0.0,), (None,), (5.0,)], "level double")
+    assert [r.level for r in positive_rows(df).collect()] == [5.0]
+
+
+@pytest.mark.parametrize("as_table", [False, True])
+def test_mask_includes_both_ends_and_overlaps_do_not_multiply(spark, as_table):
+    df = series(spark, [1, 2, 3, 4], "reach").unionByName(series(spark, [5], "reach", entity="B"))
+    rules = [("A", str(day(1)), str(day(2))), ("A", str(day(2)), str(day(2)))]
+    if as_table:
+        rules = spark.createDataFrame(rules, "entity string, a string, b string").selectExpr(
+            "entity", "date(a) as date_from", "date(b) as date_to"
+        )
+    same(column_of(mask_anomalies(df, rules, ["reach"]), "reach"), [1, None, None, 4, 5])
+
+
+def test_long_rule_list_is_joined(spark):
+    df = series(spark, [1, 2, 3], "reach")
+    rules = [("A", str(day(1)), str(day(1)))] * 500
+    same(column_of(mask_anomalies(df, rules, ["reach"]), "reach"), [1, None, 3])
+
+
+def test_null_mask_keeps_the_value(spark):
+    df = spark.createDataFrame([(1, None), (2, True), (3, False)], "x int, m boolean")
+    got = df.select(null_out(F.col("m"), F.col("x")).alias("y")).collect()
+    assert [r.y for r in got] == [1, None, 3]
+
+
+def test_numbers(spark):
+    assert [one(spark, x, "string", clean_number) for x in ("1,234", "", "12", None)] == [1234, None, 12, None]
+    assert one(spark, "x1", "string", lambda c: clean_number(c, strict=False)) is None
+    for bad in ("x1", "1.5"):
+        with pytest.raises(Exception, match="not a whole number"):
+            one(spark, bad, "string", clean_number)
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_dates(spark, ansi):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        for text in ("1/5/2026", "01/05/2026"):
+            assert one(spark, text, "string", parse_us_date) == date(2026, 1, 5)
+        assert one(spark, "2026-01-05", "string", parse_iso_date) == date(2026, 1, 5)
+        assert one(spark, "soon", "string", lambda c: parse_us_date(c, strict=False)) is None
+        with pytest.raises(Exception, match="not a date"):
+            one(spark, "soon", "string", parse_us_date)
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_horizon(spark):
+    as_of = F.lit("2026-02-03").cast("date")
+    assert one(spark, date(2026, 2, 3), "date", month_end) == date(2026, 2, 28)
+    assert one(spark, date(2024, 2, 3), "date", month_length) == 29
+    assert one(spark, date(2026, 2, 1), "date", lambda c: horizon_days(c, as_of)) == 27
+    latest = spark.createDataFrame([(date(2026, 2, 1),), (date(2026, 2, 1),), (date(2026, 1, 31),)], "date date")
+    assert {r.horizon for r in distinct_horizons(latest, as_of).collect()} == {27, 28}
+
+
+def test_today_does_not_depend_on_the_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        seen = set()
+        for zone in ("UTC", "Asia/Tokyo", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            seen.add(spark.range(1).select(local_today().alias("d")).first().d)
+        assert len(seen) <= 2 and max(seen) - min(seen) <= (day(1) - day(0))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_formats(spark):
+    assert one(spark, date(2026, 2, 3), "date", format_day) == "2026-02-03"
+    utc = F.lit("2026-02-03 04:05:06").cast("timestamp_ntz")
+    assert one(spark, 1, "int", lambda _: format_local(utc)) == "2026-02-02 22:05:06 CST"
+    summer = F.lit("2026-07-03 04:05:06").cast("timestamp_ntz")
+    assert one(spark, 1, "int", lambda _: format_local(summer)) == "2026-07-02 23:05:06 CDT"
+    for value, text in ((1234.5, "1,234.5"), (28000000.0, "28,000,000.0"), (0.1, "0.1"), (-1234.25, "-1,234.25")):
+        assert one(spark, value, "double", thousands) == text == f"{value:,}"
+    assert one(spark, 1234567, "bigint", lambda c: thousands(c, whole=True)) == f"{1234567:,}"
+
+
+def test_compound(spark):
+    assert abs(one(spark, 200.0, "double", lambda c: compound(c, F.lit(0.1))) - 220.0) < 1e-9
+
+
+def test_columns(spark):
+    df = spark.createDataFrame([(1, 2.0, "x")], "a int, b double, c string")
+    assert numeric_columns(df) == ["a", "b"]
+    assert rename_columns(df, {"a": "n"}).columns == ["n", "b", "c"]
+    with pytest.raises(ValueError, match="no such columns"):
+        rename_columns(df, {"z": "n"})
+
+
+def test_unions(spark):
+    a = spark.createDataFrame([(1, 2.0)], "id int, level double")
+    b = spark.createDataFrame([(2, 3)], "id int, level bigint")
+    assert union_all([a, a, a]).count() == 3
+    mixed = union_relaxed([a.withColumn("reach", F.lit(1.0)), b])
+    assert dict(mixed.dtypes)["level"] == "double"
+    assert {(r.id, r.level, r.reach) for r in mixed.collect()} == {(1, 2.0, 1.0), (2, 3.0, None)}
+
+
+def test_entity_and_date_restrictions(spark):
+    df = series(spark, [1, 2], entity="A").unionByName(series(spark, [3], entity="B"))
+    names = spark.createDataFrame([("A", "id1"), ("A", "id2")], "entity string, external_id string")
+    assert column_of(tracked_entities(df, names), "level") == [1.0, 2.0]
+    assert column_of(start_from(df, str(day(1))), "level") == [2.0]
+
+
+def test_coverage(spark):
+    train = series(spark, [1, 2], entity="A").unionByName(series(spark, [3], entity="B"))
+    rows = {r.rows: r for r in coverage_summary(train, latest_rows(train)).collect()}
+    assert tuple(rows["training"])[1:] == (day(0), day(1), 2)
+    assert tuple(rows["latest"])[1:] == (day(0), day(1), 2)
