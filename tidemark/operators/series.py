@@ -139,7 +139,8 @@ def scan(
         .selectExpr("*", f"coalesce(sum({_ROWS}) OVER ({earlier}), 0) AS {_OFFSET}")
         .selectExpr(*carried)
     )
-    rows = ranked.join(chunks, [key.entity, CHUNK]).selectExpr("*", f"{_OFFSET} + {_RANK} AS {POS}")
+    # A left join: the rows stay where they are, only summaries may be moved.
+    rows = ranked.join(chunks, [key.entity, CHUNK], "left").selectExpr("*", f"{_OFFSET} + {_RANK} AS {POS}")
     kept = [quoted(c) for c in df.columns if c != CHUNK]
     return rows.selectExpr(*kept, CHUNK, POS, *around)
 
