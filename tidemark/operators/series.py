@@ -61,7 +61,11 @@ class SeriesKey:
 
 
 def with_chunk(df: DataFrame, key: SeriesKey) -> DataFrame:
-    return df if CHUNK in df.columns else df.selectExpr("*", f"{key.chunk} AS {CHUNK}")
+    """Add the chunk of each row. Rows without an entity or a day are in no series and left out."""
+    if CHUNK in df.columns:
+        return df
+    placed = df.selectExpr("*", f"{key.chunk} AS {CHUNK}")
+    return placed.where(f"{quoted(key.entity)} IS NOT NULL AND {CHUNK} IS NOT NULL")
 
 
 def chunked(df: DataFrame, key: SeriesKey) -> DataFrame:

@@ -29,6 +29,7 @@ class Forecast:
 
     scored: DataFrame
     rejected: DataFrame
+    sums: DataFrame
     models: DataFrame
     train: DataFrame
     latest: DataFrame
@@ -66,7 +67,7 @@ def training_sums(ranked: DataFrame, horizons: Sequence[int], key: SeriesKey) ->
     passes = [horizons[i : i + HORIZONS_PER_PASS] for i in range(0, len(horizons), HORIZONS_PER_PASS)]
     if len(passes) == 1:
         return sums_for(horizons)
-    return union_all([stage(sums_for(some), "sums") for some in passes])
+    return union_all([stage(sums_for(some), "pass") for some in passes])
 
 
 def forecast_panel(
@@ -90,7 +91,8 @@ def forecast_panel(
     horizons = [row.horizon for row in latest.select("horizon").distinct().collect()]
     if not horizons:
         raise ValueError("the panel has no rows")
-    models = stage(solve_models(training_sums(ranked, horizons, key), FEATURES), "models")
+    sums = stage(training_sums(ranked, horizons, key), "sums")
+    models = solve_models(sums, FEATURES)
     scores = predict(latest, models, FEATURES, key.entity, key.order)
     scored = complete_cases(scores, ["forecast"]).drop("horizon", "has_model")
     reason = F.when(~F.col("has_model"), "no training rows for the horizon").otherwise("null feature or level")
@@ -98,7 +100,7 @@ def forecast_panel(
         key.entity, "latest_date", "horizon", reason.alias("reason")
     )
     train = public_columns(ranked.where(F.col(TRAIN_RANK).isNotNull()))
-    return Forecast(scored, rejected, models, train, latest)
+    return Forecast(scored, rejected, sums, models, train, latest)
 
 
 def forecast(

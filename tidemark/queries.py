@@ -31,8 +31,7 @@ from tidemark.operators.frames import (
 )
 from tidemark.operators.latest import coverage_summary, distinct_horizons, latest_rows
 from tidemark.operators.merge import precedence_merge, precedence_merge_join
-from tidemark.operators.regression import cross_product_cells, solve_models
-from tidemark.operators.series import SeriesKey
+from tidemark.operators.regression import cross_product_cells
 from tidemark.operators.windows import (
     add_features,
     forward_fill,
@@ -42,9 +41,9 @@ from tidemark.operators.windows import (
     rolling_mean,
     target_of,
 )
-from tidemark.plans.forecast import Forecast, as_of_day, forecast, ranked_features, training_sums
+from tidemark.plans.forecast import Forecast, as_of_day, forecast
 from tidemark.plans.panel import build_panel, clean_history, panel_chunks
-from tidemark.plans.staging import new_table_path, stage
+from tidemark.plans.staging import new_table_path
 from tidemark.settings import FEATURES, LAGS, MEAN_PAIRS, lag_feature, ratio_feature
 from tidemark.sinks.tables import (
     append_history,
@@ -74,7 +73,6 @@ SECOND_RUN_AT = "2001-11-06 05:45:10"
 SECOND_AS_OF = "2001-12-06"
 TRACKED = ("1-URGENT", "3-MEDIUM", "not an order priority")
 TARGETS = (0, 7, 26)
-KEY = SeriesKey()
 
 
 def rounded(df: DataFrame, columns: Sequence[str], digits: int = 8) -> DataFrame:
@@ -364,18 +362,12 @@ def sorted_panel(spark: SparkSession, sf: str) -> DataFrame:
 # Regression
 
 
-def training(spark: SparkSession, sf: str) -> DataFrame:
-    """Training sums of the staggered panel at its five horizons."""
-    panel = panel_chunks(orders_history(spark, sf), lineitem_sheet(spark, sf, staggered=True), RULES)
-    return training_sums(stage(ranked_features(panel), "features"), (26, 29, 32, 35, 38), KEY)
-
-
 def ols_gram(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(cross_product_cells(training(spark, sf), FEATURES), ["value"], 5)
+    return rounded(cross_product_cells(run_forecast(spark, sf).sums, FEATURES), ["value"], 5)
 
 
 def ols_coefficients(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(solve_models(training(spark, sf), FEATURES), ["intercept", *FEATURES], 6)
+    return rounded(run_forecast(spark, sf).models, ["intercept", *FEATURES], 6)
 
 
 def forecast_month_end(spark: SparkSession, sf: str) -> DataFrame:
