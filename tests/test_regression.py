@@ -12,7 +12,7 @@ import tidemark.plans.forecast as plan
 from helpers import PANEL, day
 from tidemark.operators.regression import cross_products, least_squares, predict, solve_models
 from tidemark.operators.windows import growth_targets, target_of
-from tidemark.plans.forecast import forecast_panel, ranked_features, training_sums
+from tidemark.plans.forecast import features_and_sums, forecast_panel, numbered_training, ranked_features, training_sums
 from tidemark.plans.staging import stage
 from tidemark.operators.series import SeriesKey
 from tidemark.settings import FEATURES
@@ -36,6 +36,10 @@ def panel(spark):
     return spark.createDataFrame(rows, PANEL).cache()
 
 
+def sums_of(ranked, horizons, key):
+    return training_sums(numbered_training(ranked, key), horizons, key)
+
+
 def fitted_by_numpy(rows, features, target):
     x = np.array([[r[f] for f in features] for r in rows])
     y = np.array([r[target] for r in rows])
@@ -46,7 +50,7 @@ def fitted_by_numpy(rows, features, target):
 def test_models_match_numpy(spark, panel, key):
     horizons = [0, 5, 30]
     ranked = stage(ranked_features(panel, key), "features")
-    models = {r.horizon: r for r in solve_models(training_sums(ranked, horizons, key), FEATURES).collect()}
+    models = {r.horizon: r for r in solve_models(sums_of(ranked, horizons, key), FEATURES).collect()}
     train = ranked.where("__train_rank IS NOT NULL").select("date", "entity", "level", *FEATURES)
     rows = growth_targets(train, horizons).collect()
     for h in horizons:
@@ -60,7 +64,7 @@ def test_models_match_numpy(spark, panel, key):
 def test_models_match_mllib(spark, panel):
     key, h = SeriesKey(), 14
     ranked = stage(ranked_features(panel, key), "features")
-    model = solve_models(training_sums(ranked, [h], key), FEATURES).first()
+    model = solve_models(sums_of(ranked, [h], key), FEATURES).first()
     train = ranked.where("__train_rank IS NOT NULL").select("date", "entity", "level", *FEATURES)
     labelled = growth_targets(train, [h]).where(f"{target_of(h)} IS NOT NULL")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(labelled)
@@ -69,12 +73,23 @@ def test_models_match_mllib(spark, panel):
     assert abs(model.intercept - other.intercept) < 1e-8
 
 
+def test_whole_and_cut_series_give_the_same_sums(spark, panel):
+    whole, key, horizons = SeriesKey(), SeriesKey(chunk_days=60, block_rows=45), [0, 12, -3, 31]
+    results = []
+    for k, longest in ((whole, 500), (key, 500)):
+        table, sums = features_and_sums(panel, horizons, longest, k)
+        rows = table.select("date", "entity", "level", "reach", *FEATURES).collect()
+        results.append((sorted(map(repr, rows)), sorted(sums.collect(), key=lambda r: r.horizon)))
+    assert results[0][0] == results[1][0]
+    np.testing.assert_allclose(results[0][1], results[1][1], rtol=1e-9)
+
+
 def test_several_passes_give_the_same_sums(spark, panel, monkeypatch):
     key, horizons = SeriesKey(), list(range(1, 8))
     ranked = stage(ranked_features(panel, key), "features")
-    at_once = {r.horizon: tuple(r) for r in training_sums(ranked, horizons, key).collect()}
+    at_once = {r.horizon: tuple(r) for r in sums_of(ranked, horizons, key).collect()}
     monkeypatch.setattr(plan, "HORIZONS_PER_PASS", 3)
-    in_parts = {r.horizon: tuple(r) for r in training_sums(ranked, horizons, key).collect()}
+    in_parts = {r.horizon: tuple(r) for r in sums_of(ranked, horizons, key).collect()}
     assert at_once.keys() == in_parts.keys() == set(horizons)
     for h in horizons:
         np.testing.assert_allclose(at_once[h], in_parts[h], rtol=1e-12)
@@ -131,6 +146,14 @@ def test_score(spark):
     assert got["B"] == (None, True) and got["C"] == (None, False)
 
 
+def test_cutting_long_series_leaves_the_forecast_as_it_is(spark, panel):
+    whole = {r.entity: r for r in forecast_panel(panel, as_of=str(day(505))).scored.collect()}
+    cut = forecast_panel(panel, as_of=str(day(505)), key=SeriesKey(chunk_days=60, block_rows=45)).scored.collect()
+    assert whole.keys() == {r.entity for r in cut}
+    for row in cut:
+        assert abs(row.forecast / whole[row.entity].forecast - 1) < 1e-9
+
+
 def test_forecast_of_a_panel(spark, panel):
     """Different last days give different horizons; short series are reported, not scored."""
     extra = spark.createDataFrame([(day(d), "short", 10.0, 5.0) for d in range(480, 500)], PANEL)

@@ -12,6 +12,8 @@ known values on either side of it, wherever those lie.
 `with_halo` cuts the series by position into blocks of equal row count and
 copies the rows next to a cut into the neighbouring block, so that a window over
 (entity, block) sees all it needs for frames and offsets up to the given reach.
+Where all series are known to fit in a block, `uncut` makes one of each, and the
+rows are shuffled once instead of twice.
 
 A day occurs once per entity (`precedence_merge` enforces it), so a chunk holds
 at most `chunk_days` rows and a block `block_rows` plus its halo, also where one
@@ -180,3 +182,14 @@ def with_halo(df: DataFrame, key: SeriesKey, before: int = 0, after: int = 0) ->
     first = f"greatest({block_of(f'{POS} - {after}')}, 0)"
     copies = f"explode(sequence({first}, {block_of(f'{POS} + {before}')})) AS {BLOCK}"
     return df.selectExpr("*", copies).selectExpr("*", f"{BLOCK} = {block_of(POS)} AS {CORE}")
+
+
+def uncut(df: DataFrame, key: SeriesKey, back: Sequence[str] = ()) -> DataFrame:
+    """One block per series, for series that have been counted to fit in one.
+
+    Has the same columns as `scan` and `with_halo` together, but for positions,
+    which only order the rows here.
+    """
+    whole = df.selectExpr("*", f"0 AS {BLOCK}", f"unix_date({quoted(key.order)}) AS {POS}", f"true AS {CORE}")
+    so_far = f"({key.block_window} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return whole.selectExpr("*", *[f"last({quoted(c)}, true) OVER {so_far} AS {quoted(prev_of(c))}" for c in back])

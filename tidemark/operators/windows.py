@@ -22,6 +22,7 @@ from tidemark.operators.series import (
     prev_pos_of,
     quoted,
     scan,
+    uncut,
     with_halo,
 )
 from tidemark.settings import LAGS, MEAN_PAIRS, lag_feature, ratio_feature
@@ -123,12 +124,19 @@ def feature_blocks(
     mean_pairs: Sequence[tuple[int, int]] = MEAN_PAIRS,
     level: str = "level",
     reach: str = "reach",
+    fits: bool = False,
 ) -> DataFrame:
-    """`add_features`, with block and position of each row left in."""
+    """`add_features`, with block and position of each row left in.
+
+    `fits` states that no series has more rows than a block.
+    """
     lengths = {n for pair in mean_pairs for n in pair}
-    known = scan(panel, key, back=[reach])
     filled = quoted(prev_of(reach))
-    blocks = with_halo(known, key, before=max([0, *lags, *(n - 1 for n in lengths)]))
+    if fits:
+        blocks = uncut(panel, key, back=[reach])
+    else:
+        known = scan(panel, key, back=[reach])
+        blocks = with_halo(known, key, before=max([0, *lags, *(n - 1 for n in lengths)]))
     summed, names = _trailing_sums(blocks, level, lengths, key)
 
     ratios = [
@@ -172,17 +180,31 @@ def target_of(horizon: int) -> str:
     return f"growth_target_{horizon}"
 
 
+def _targets(horizons: Sequence[int], window: str, level: str) -> list[str]:
+    start = f"nullif({quoted(level)}, 0)"
+    return [
+        f"lead({quoted(level)}, {h}) OVER ({window}) / {start} - 1 AS {quoted(target_of(h))}" for h in horizons
+    ]
+
+
 def growth_of_numbered(
     train: DataFrame, horizons: Sequence[int], key: SeriesKey, level: str = "level"
 ) -> DataFrame:
     """`growth_targets` for rows that are numbered already."""
     blocks = with_halo(train, key, before=max(0, -min(horizons)), after=max(0, max(horizons)))
-    targets = [
-        f"lead({quoted(level)}, {h}) OVER ({key.block_window}) / nullif({quoted(level)}, 0) - 1"
-        f" AS {quoted(target_of(h))}"
-        for h in horizons
-    ]
-    return blocks.selectExpr("*", *targets).where(CORE).drop(BLOCK, CORE, POS)
+    return blocks.selectExpr("*", *_targets(horizons, key.block_window, level)).where(CORE).drop(BLOCK, CORE, POS)
+
+
+def growth_in_whole_series(
+    ranked: DataFrame, horizons: Sequence[int], key: SeriesKey, level: str = "level"
+) -> DataFrame:
+    """Add growth targets to the complete rows of `uncut` series that `rank_complete` has ranked.
+
+    Complete rows are a window partition of their own, on the shuffle that the
+    features were made on.
+    """
+    window = f"PARTITION BY {quoted(key.entity)}, {BLOCK}, {TRAIN_RANK} IS NOT NULL ORDER BY {POS}"
+    return ranked.selectExpr("*", *_targets(horizons, window, level))
 
 
 def growth_targets(

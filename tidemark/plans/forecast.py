@@ -10,11 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import horizon_days, local_today, month_end
-from tidemark.operators.frames import complete_cases, public_columns, union_all
+from tidemark.operators.frames import complete_cases, union_all
 from tidemark.operators.latest import coverage_summary, latest_rows
 from tidemark.operators.regression import cross_products, predict, solve_models
 from tidemark.operators.series import BLOCK, SeriesKey, number_rows, part_offsets
-from tidemark.operators.windows import TRAIN_RANK, feature_blocks, growth_of_numbered, rank_complete
+from tidemark.operators.windows import (
+    TRAIN_RANK,
+    feature_blocks,
+    growth_in_whole_series,
+    growth_of_numbered,
+    rank_complete,
+)
 from tidemark.plans.panel import Rules, build_panel
 from tidemark.plans.staging import stage
 from tidemark.settings import ANOMALY_RULES, FEATURES
@@ -42,23 +48,26 @@ def as_of_day(as_of: date | str | None) -> Column:
     return local_today() if as_of is None else F.lit(str(as_of)).cast("date")
 
 
-def ranked_features(panel: DataFrame, key: SeriesKey = SeriesKey()) -> DataFrame:
+def ranked_features(panel: DataFrame, key: SeriesKey = SeriesKey(), fits: bool = False) -> DataFrame:
     """Panel with features, and the rank of its complete rows within their block."""
-    blocks = feature_blocks(panel, key)
+    blocks = feature_blocks(panel, key, fits=fits)
     return rank_complete(blocks, [key.order, key.entity, "level", "reach", *FEATURES], key)
 
 
-def training_sums(ranked: DataFrame, horizons: Sequence[int], key: SeriesKey) -> DataFrame:
-    """Cross-products per horizon over the complete rows of a staged feature table.
+def numbered_training(ranked: DataFrame, key: SeriesKey) -> DataFrame:
+    """The complete rows of a staged feature table with their positions among themselves.
 
-    The offsets are staged as well: only series longer than a block have any, so
-    they are mostly small enough to be broadcast, and as a table they have a size
-    by which the planner can tell.
+    Ranks within a block are offset by the rows of earlier blocks. The offsets
+    are staged: only long series have any, so they are mostly small enough to be
+    broadcast, and as a table they have a size by which the planner can tell.
     """
-    train = ranked.where(f"{TRAIN_RANK} IS NOT NULL")
-    offsets = stage(part_offsets(train, key, BLOCK, TRAIN_RANK), "offsets")
-    rows = train.select(key.entity, BLOCK, TRAIN_RANK, "level", *FEATURES)
-    numbered = number_rows(rows, offsets, key, BLOCK, TRAIN_RANK).drop(BLOCK, TRAIN_RANK)
+    rows = ranked.where(f"{TRAIN_RANK} IS NOT NULL").select(key.entity, BLOCK, TRAIN_RANK, "level", *FEATURES)
+    offsets = stage(part_offsets(rows, key, BLOCK, TRAIN_RANK), "offsets")
+    return number_rows(rows, offsets, key, BLOCK, TRAIN_RANK).drop(BLOCK, TRAIN_RANK)
+
+
+def training_sums(numbered: DataFrame, horizons: Sequence[int], key: SeriesKey) -> DataFrame:
+    """Cross-products per horizon over numbered training rows."""
 
     def sums_for(some: Sequence[int]) -> DataFrame:
         return cross_products(growth_of_numbered(numbered, some, key), some, FEATURES)
@@ -70,36 +79,54 @@ def training_sums(ranked: DataFrame, horizons: Sequence[int], key: SeriesKey) ->
     return union_all([stage(sums_for(some), "pass") for some in passes])
 
 
+def features_and_sums(
+    panel: DataFrame, horizons: Sequence[int], longest: int, key: SeriesKey
+) -> tuple[DataFrame, DataFrame]:
+    """The staged feature table and the training sums made from it.
+
+    If every series fits in a block and there are not too many horizons, one
+    shuffle of the narrow panel does for features and growth targets alike, and
+    the sums are made where the rows are. Else series are cut, and the training
+    rows are numbered and shuffled anew.
+    """
+    if longest <= key.block_rows and len(horizons) <= HORIZONS_PER_PASS:
+        ranked = ranked_features(panel, key, fits=True)
+        table = stage(growth_in_whole_series(ranked, horizons, key), "features")
+        train = table.where(f"{TRAIN_RANK} IS NOT NULL")
+        return table, cross_products(train, horizons, FEATURES)
+    table = stage(ranked_features(panel, key), "features")
+    return table, training_sums(numbered_training(table, key), horizons, key)
+
+
 def forecast_panel(
     panel: DataFrame, as_of: date | str | None = None, key: SeriesKey = SeriesKey()
 ) -> Forecast:
     """Forecast the level of each entity at the end of the month that holds `as_of`.
 
-    The feature table and the latest rows are staged, because the horizons, the
-    training sums and the scores are separate jobs that all read them. Only the
-    distinct horizons come to the driver: at most one per day of the calendar
-    range. With as many rows, the models are safe to broadcast.
+    `panel` should be a table or cheap to compute: it is read twice. The feature
+    table, the training sums and the latest rows are staged, because several jobs
+    read them. Only the distinct horizons come to the driver, at most one per day
+    of the calendar range. With as many rows, the models are safe to broadcast.
     """
-    ranked = stage(ranked_features(panel, key), "features")
     day = as_of_day(as_of)
-    latest = stage(
-        latest_rows(ranked, ["level", "reach", *FEATURES], key.entity, key.order)
-        .withColumn("forecast_date", month_end(day))
-        .withColumn("horizon", horizon_days(F.col(key.order), day)),
-        "latest",
-    )
-    horizons = [row.horizon for row in latest.select("horizon").distinct().collect()]
-    if not horizons:
+    horizon = horizon_days(F.col(key.order), day)
+    spans = panel.groupBy(key.entity).agg(F.max(key.order).alias(key.order), F.count("*").alias("n"))
+    shapes = spans.groupBy(horizon.alias("horizon")).agg(F.max("n").alias("n")).collect()
+    if not shapes:
         raise ValueError("the panel has no rows")
-    sums = stage(training_sums(ranked, horizons, key), "sums")
+    horizons = sorted(shape.horizon for shape in shapes)
+    table, sums = features_and_sums(panel, horizons, max(shape.n for shape in shapes), key)
+    sums = stage(sums, "sums")
     models = solve_models(sums, FEATURES)
+    latest = latest_rows(table, ["level", "reach", *FEATURES], key.entity, key.order)
+    latest = stage(latest.withColumns({"forecast_date": month_end(day), "horizon": horizon}), "latest")
     scores = predict(latest, models, FEATURES, key.entity, key.order)
     scored = complete_cases(scores, ["forecast"]).drop("horizon", "has_model")
     reason = F.when(~F.col("has_model"), "no training rows for the horizon").otherwise("null feature or level")
     rejected = scores.where(F.col("forecast").isNull()).select(
         key.entity, "latest_date", "horizon", reason.alias("reason")
     )
-    train = public_columns(ranked.where(F.col(TRAIN_RANK).isNotNull()))
+    train = table.where(f"{TRAIN_RANK} IS NOT NULL").select(key.order, key.entity, "level", "reach", *FEATURES)
     return Forecast(scored, rejected, sums, models, train, latest)
 
 
@@ -112,7 +139,7 @@ def forecast(
 ) -> Forecast:
     """Forecast from a history panel and a sheet panel.
 
-    The merged panel is staged, as numbering its rows reads it twice.
+    The merged panel is staged, as it is read more than once.
     """
     return forecast_panel(stage(build_panel(history, sheet, rules, key), "panel"), as_of, key)
 
