@@ -42,8 +42,8 @@ from tidemark.operators.windows import (
     target_of,
 )
 from tidemark.plans.forecast import Forecast, as_of_day, forecast
-from tidemark.plans.panel import build_panel, clean_history, panel_chunks
-from tidemark.plans.staging import new_table_path
+from tidemark.plans.panel import build_panel, clean_history
+from tidemark.plans.staging import new_table_path, stage
 from tidemark.settings import FEATURES, LAGS, MEAN_PAIRS, lag_feature, ratio_feature
 from tidemark.sinks.tables import (
     append_history,
@@ -88,8 +88,7 @@ def merged_panel(spark: SparkSession, sf: str, staggered: bool = False) -> DataF
 
 
 def features_of(spark: SparkSession, sf: str, staggered: bool = False) -> DataFrame:
-    sheet = lineitem_sheet(spark, sf, staggered)
-    return add_features(panel_chunks(orders_history(spark, sf), sheet, RULES))
+    return add_features(stage(merged_panel(spark, sf, staggered), "panel"))
 
 
 def run_forecast(spark: SparkSession, sf: str, as_of: str = AS_OF) -> Forecast:
