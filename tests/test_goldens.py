@@ -219,6 +219,18 @@ def test_formats(spark):
     assert one(spark, 1234567, "bigint", lambda c: thousands(c, whole=True)) == f"{1234567:,}"
 
 
+def test_local_time_does_not_depend_on_the_session_zone(spark):
+    """02:30 on this day does not exist in Berlin."""
+    utc = F.lit("2026-03-29 07:30:00.5").cast("timestamp_ntz")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Europe/Berlin", "America/Chicago"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert one(spark, 1, "int", lambda _: format_local(utc)) == "2026-03-29 02:30:00 CDT"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_compound(spark):
     assert abs(one(spark, 200.0, "double", lambda c: compound(c, F.lit(0.1))) - 220.0) < 1e-9
 

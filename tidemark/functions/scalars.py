@@ -71,7 +71,7 @@ def compound(level: Column, growth: Column) -> Column:
 
 
 def format_day(day: Column) -> Column:
-    return F.date_format(day, ISO_DATE)
+    return day.cast("date").cast("string")
 
 
 def format_local(
@@ -80,11 +80,10 @@ def format_local(
     """`yyyy-MM-dd HH:mm:ss LABEL` in `zone`, for a zone-less timestamp that is in UTC."""
     utc = utc.cast("timestamp_ntz")
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
-    offset = F.timestamp_diff("MINUTE", utc, local).cast("int")
     label = F.lit(None).cast("string")
     for minutes, text in labels.items():
-        label = F.when(offset == minutes, text).otherwise(label)
-    return F.concat_ws(" ", F.date_format(local, "yyyy-MM-dd HH:mm:ss"), label)
+        label = F.when(local - utc == F.make_dt_interval(mins=F.lit(minutes)), text).otherwise(label)
+    return F.concat_ws(" ", F.substring(local.cast("string"), 1, 19), label)
 
 
 def thousands(value: Column, whole: bool = False) -> Column:
