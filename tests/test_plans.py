@@ -106,3 +106,36 @@ def test_panel_schema_is_fixed(spark, panel):
     history = panel.selectExpr("date", "entity", "level", "reach AS playlists", "reach")
     merged = build_panel(history, sheet, [])
     assert ", ".join(f"{n} {t}" for n, t in merged.dtypes) == PANEL
+
+
+SETTINGS = [
+    {"spark.sql.shuffle.partitions": "1"},
+    {"spark.sql.shuffle.partitions": "3"},
+    {
+        "spark.sql.shuffle.partitions": "64",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    },
+    {"spark.sql.shuffle.partitions": "5", "spark.sql.adaptive.enabled": "false"},
+]
+
+
+def test_panel_does_not_depend_on_partitions(spark):
+    """The union's layout is relied upon, however adaptive execution joins partitions."""
+    from tidemark.sources.tables import RULES, lineitem_sheet, orders_history
+
+    results = []
+    for settings in SETTINGS:
+        before = {name: spark.conf.get(name) for name in settings}
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        try:
+            panel = build_panel(orders_history(spark, SF), lineitem_sheet(spark, SF), RULES)
+            results.append(sorted(map(repr, panel.collect())))
+        finally:
+            for name, value in before.items():
+                spark.conf.set(name, value)
+    assert len(results[0]) > 1000
+    assert all(rows == results[0] for rows in results)

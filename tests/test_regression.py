@@ -12,8 +12,7 @@ import tidemark.plans.forecast as plan
 from helpers import PANEL, day
 from tidemark.operators.regression import cross_products, least_squares, predict, solve_models
 from tidemark.operators.windows import growth_targets, target_of
-from tidemark.plans.forecast import features_and_sums, forecast_panel, numbered_training, ranked_features, training_sums
-from tidemark.plans.staging import stage
+from tidemark.plans.forecast import features_and_sums, forecast_panel
 from tidemark.operators.series import SeriesKey
 from tidemark.settings import FEATURES
 
@@ -36,10 +35,6 @@ def panel(spark):
     return spark.createDataFrame(rows, PANEL).cache()
 
 
-def sums_of(ranked, horizons, key):
-    return training_sums(numbered_training(ranked, key), horizons, key)
-
-
 def fitted_by_numpy(rows, features, target):
     x = np.array([[r[f] for f in features] for r in rows])
     y = np.array([r[target] for r in rows])
@@ -49,9 +44,9 @@ def fitted_by_numpy(rows, features, target):
 @pytest.mark.parametrize("key", [SeriesKey(), SeriesKey(chunk_days=50, block_rows=37)])
 def test_models_match_numpy(spark, panel, key):
     horizons = [0, 5, 30]
-    ranked = stage(ranked_features(panel, key), "features")
-    models = {r.horizon: r for r in solve_models(sums_of(ranked, horizons, key), FEATURES).collect()}
-    train = ranked.where("__train_rank IS NOT NULL").select("date", "entity", "level", *FEATURES)
+    table, sums = features_and_sums(panel, horizons, 500, key)
+    models = {r.horizon: r for r in solve_models(sums, FEATURES).collect()}
+    train = table.where("__train_rank IS NOT NULL").select("date", "entity", "level", *FEATURES)
     rows = growth_targets(train, horizons).collect()
     for h in horizons:
         used = [r for r in rows if r[target_of(h)] is not None]
@@ -63,9 +58,9 @@ def test_models_match_numpy(spark, panel, key):
 
 def test_models_match_mllib(spark, panel):
     key, h = SeriesKey(), 14
-    ranked = stage(ranked_features(panel, key), "features")
-    model = solve_models(sums_of(ranked, [h], key), FEATURES).first()
-    train = ranked.where("__train_rank IS NOT NULL").select("date", "entity", "level", *FEATURES)
+    table, sums = features_and_sums(panel, [h], 500, key)
+    model = solve_models(sums, FEATURES).first()
+    train = table.where("__train_rank IS NOT NULL").select("date", "entity", "level", *FEATURES)
     labelled = growth_targets(train, [h]).where(f"{target_of(h)} IS NOT NULL")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(labelled)
     other = LinearRegression(featuresCol="x", labelCol=target_of(h), solver="normal", regParam=0.0).fit(vectors)
@@ -84,12 +79,12 @@ def test_whole_and_cut_series_give_the_same_sums(spark, panel):
     np.testing.assert_allclose(results[0][1], results[1][1], rtol=1e-9)
 
 
-def test_several_passes_give_the_same_sums(spark, panel, monkeypatch):
-    key, horizons = SeriesKey(), list(range(1, 8))
-    ranked = stage(ranked_features(panel, key), "features")
-    at_once = {r.horizon: tuple(r) for r in sums_of(ranked, horizons, key).collect()}
+@pytest.mark.parametrize("key", [SeriesKey(), SeriesKey(chunk_days=60, block_rows=45)])
+def test_several_passes_give_the_same_sums(spark, panel, monkeypatch, key):
+    horizons = list(range(-2, 6))
+    at_once = {r.horizon: tuple(r) for r in features_and_sums(panel, horizons, 500, key)[1].collect()}
     monkeypatch.setattr(plan, "HORIZONS_PER_PASS", 3)
-    in_parts = {r.horizon: tuple(r) for r in sums_of(ranked, horizons, key).collect()}
+    in_parts = {r.horizon: tuple(r) for r in features_and_sums(panel, horizons, 500, key)[1].collect()}
     assert at_once.keys() == in_parts.keys() == set(horizons)
     for h in horizons:
         np.testing.assert_allclose(at_once[h], in_parts[h], rtol=1e-12)

@@ -66,36 +66,43 @@ def numbered_training(ranked: DataFrame, key: SeriesKey) -> DataFrame:
     return number_rows(rows, offsets, key, BLOCK, TRAIN_RANK).drop(BLOCK, TRAIN_RANK)
 
 
-def training_sums(numbered: DataFrame, horizons: Sequence[int], key: SeriesKey) -> DataFrame:
-    """Cross-products per horizon over numbered training rows."""
-
-    def sums_for(some: Sequence[int]) -> DataFrame:
-        return cross_products(growth_of_numbered(numbered, some, key), some, FEATURES)
-
-    horizons = sorted(horizons)
-    passes = [horizons[i : i + HORIZONS_PER_PASS] for i in range(0, len(horizons), HORIZONS_PER_PASS)]
-    if len(passes) == 1:
-        return sums_for(horizons)
-    return union_all([stage(sums_for(some), "pass") for some in passes])
+def in_passes(horizons: Sequence[int]) -> list[list[int]]:
+    ordered = sorted(horizons)
+    return [ordered[i : i + HORIZONS_PER_PASS] for i in range(0, len(ordered), HORIZONS_PER_PASS)]
 
 
 def features_and_sums(
     panel: DataFrame, horizons: Sequence[int], longest: int, key: SeriesKey
 ) -> tuple[DataFrame, DataFrame]:
-    """The staged feature table and the training sums made from it.
+    """The staged feature table, and per horizon the cross-products of its complete rows.
 
-    If every series fits in a block and there are not too many horizons, one
-    shuffle of the narrow panel does for features and growth targets alike, and
-    the sums are made where the rows are. Else series are cut, and the training
-    rows are numbered and shuffled anew.
+    If every series fits in a block, one shuffle of the narrow panel does for
+    features and growth targets alike, and the sums are made where the rows are.
+    With few horizons the table holds the targets too; with many, each pass makes
+    them from the panel anew, as that is narrower than the table. Series that are
+    longer are cut, and their complete rows are numbered and shuffled again.
     """
-    if longest <= key.block_rows and len(horizons) <= HORIZONS_PER_PASS:
-        ranked = ranked_features(panel, key, fits=True)
-        table = stage(growth_in_whole_series(ranked, horizons, key), "features")
-        train = table.where(f"{TRAIN_RANK} IS NOT NULL")
-        return table, cross_products(train, horizons, FEATURES)
-    table = stage(ranked_features(panel, key), "features")
-    return table, training_sums(numbered_training(table, key), horizons, key)
+    fits = longest <= key.block_rows
+    passes = in_passes(horizons)
+    ranked = ranked_features(panel, key, fits)
+    is_complete = f"{TRAIN_RANK} IS NOT NULL"
+    if fits and len(passes) == 1:
+        table = stage(growth_in_whole_series(ranked, passes[0], key), "features")
+        return table, cross_products(table.where(is_complete), passes[0], FEATURES)
+
+    table = stage(ranked, "features")
+    numbered = None if fits else numbered_training(table, key)
+
+    def sums_for(some: Sequence[int]) -> DataFrame:
+        if fits:
+            rows = growth_in_whole_series(ranked, some, key).where(is_complete)
+        else:
+            rows = growth_of_numbered(numbered, some, key)
+        return cross_products(rows, some, FEATURES)
+
+    if len(passes) == 1:
+        return table, sums_for(passes[0])
+    return table, union_all([stage(sums_for(some), "pass") for some in passes])
 
 
 def forecast_panel(
