@@ -180,19 +180,17 @@ def target_of(horizon: int) -> str:
     return f"growth_target_{horizon}"
 
 
-def _targets(horizons: Sequence[int], window: str, level: str) -> list[str]:
-    start = f"nullif({quoted(level)}, 0)"
-    return [
-        f"lead({quoted(level)}, {h}) OVER ({window}) / {start} - 1 AS {quoted(target_of(h))}" for h in horizons
-    ]
-
-
 def growth_of_numbered(
     train: DataFrame, horizons: Sequence[int], key: SeriesKey, level: str = "level"
 ) -> DataFrame:
     """`growth_targets` for rows that are numbered already."""
     blocks = with_halo(train, key, before=max(0, -min(horizons)), after=max(0, max(horizons)))
-    return blocks.selectExpr("*", *_targets(horizons, key.block_window, level)).where(CORE).drop(BLOCK, CORE, POS)
+    start = f"nullif({quoted(level)}, 0)"
+    targets = [
+        f"lead({quoted(level)}, {h}) OVER ({key.block_window}) / {start} - 1 AS {quoted(target_of(h))}"
+        for h in horizons
+    ]
+    return blocks.selectExpr("*", *targets).where(CORE).drop(BLOCK, CORE, POS)
 
 
 def growth_in_whole_series(
@@ -200,11 +198,17 @@ def growth_in_whole_series(
 ) -> DataFrame:
     """Add growth targets to the complete rows of `uncut` series that `rank_complete` has ranked.
 
-    Complete rows are a window partition of their own, on the shuffle that the
-    features were made on.
+    Other rows are passed over as nulls, so the shuffle and the sort that the
+    features were made on serve for the targets as well.
     """
-    window = f"PARTITION BY {quoted(key.entity)}, {BLOCK}, {TRAIN_RANK} IS NOT NULL ORDER BY {POS}"
-    return ranked.selectExpr("*", *_targets(horizons, window, level))
+    known = "__known_level"
+    rows = ranked.selectExpr("*", f"if({TRAIN_RANK} IS NOT NULL, {quoted(level)}, NULL) AS {known}")
+    targets = [
+        f"lead({known}, {h}) IGNORE NULLS OVER ({key.block_window}) / nullif({known}, 0) - 1"
+        f" AS {quoted(target_of(h))}"
+        for h in horizons
+    ]
+    return rows.selectExpr("*", *targets).drop(known)
 
 
 def growth_targets(
