@@ -6,25 +6,25 @@ is read with column pruning, and has a size that the planner knows.
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-")
+SINGLE_PROCESS = re.compile(r"local(\[[^\]]*\])?$")
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only for a session on this machine alone."""
+    """The shared folder that the session names in spark.checkpoint.dir.
+
+    Where none is named, a session that is one process on one machine uses its
+    warehouse folder; any other session has to name a folder.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return _local_folder()
+    if SINGLE_PROCESS.match(spark.conf.get("spark.master", "")):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/staging"
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
