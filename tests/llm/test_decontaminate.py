@@ -1,0 +1,78 @@
+"""Benchmark passages against a plain search for every window."""
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from tidemark.llm.decontaminate import find_benchmark_passages
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_words(text):
+    return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain(docs, items):
+    out = []
+    for doc, text in docs:
+        words, hit, ids = plain_words(text), set(), set()
+        for item, item_text in items:
+            parts = plain_words(item_text)
+            size = min(13, len(parts))
+            for i in range(len(parts) - size + 1 if parts else 0):
+                for j in range(len(words) - size + 1):
+                    if words[j : j + size] == parts[i : i + size]:
+                        hit |= set(range(j, j + size))
+                        ids |= {str(item)} if item is not None else set()
+        out.append((doc, len(words), len(hit), sorted(ids), bool(hit) and 20 * len(hit) >= len(words)))
+    return sorted(out, key=repr)
+
+
+def found(spark, docs, items):
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs.withColumns({c: F.lit("x") for c in ("content", "n_hit", "item_id", "window", "regions")})
+    items = items.withColumns({"shingles": F.lit(1), "doc_id": F.lit(5), "size": F.lit(None).cast("int")})
+    rows = find_benchmark_passages(docs, items).drop("content").collect()
+    return sorted(map(tuple, rows), key=repr)
+
+
+def test_edge_cases(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    items = [
+        (1, long), (2, "w5 w6 w7"), (10, "Ünï"), (3, None), (4, ""), (5, " .,- "), (None, "w1 w2 w3 w4 w5 w6"),
+        (6, long), (6, "solo"), (7, "a a a a a a a a a a a a a a a a"),
+    ]
+    docs = [
+        (1, None), (2, ""), (3, "..."), (None, long), (None, long), (4, long.upper().replace(" ", "\n--")),
+        (5, "w5 w6 w7"), (5, "w5 w6 w7"), (6, "x " * 500 + "w5,w6,w7"), (7, "ünï"), (7, "Ünï solo"),
+        (8, " ".join(["a"] * 30)), (9, " ".join(["a"] * 12)), (10, " ".join(f"w{i}" for i in range(3, 16))),
+        (11, " ".join(f"w{i}" for i in range(3, 15))), (12, "y " * 3000 + long + " z" * 3000), (13, "solosolo"),
+    ]
+    assert found(spark, docs, items) == plain(docs, items)
+
+
+def test_random_texts(spark):
+    rng = random.Random(8)
+    words = ["a", "b", "c"]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([1, 3, 6, 14, 30])))) for i in range(4, 14)]
+    items += [(i, " ".join(rng.choices([f"v{k}" for k in range(50)], k=60))) for i in range(20, 30)]
+    docs = []
+    for i in range(60):
+        text = rng.choices([f"v{k}" for k in range(50)], k=rng.choice([5, 60, 300]))
+        for _ in range(rng.randrange(3)):
+            piece = plain_words(rng.choice(items)[1])
+            at, cut = rng.randrange(len(text)), rng.randrange(len(piece))
+            text[at:at] = piece[cut : cut + rng.randrange(10, 40)]
+        docs.append((i % 50, " ".join(text)))
+    docs += [(100 + i, " ".join(rng.choices(words, k=80))) for i in range(5)]
+    expected = plain(docs, items)
+    assert any(r[4] for r in expected) and any(r[2] and not r[4] for r in expected)
+    assert found(spark, docs, items) == expected
+
+
+def test_empty_tables(spark):
+    assert found(spark, [], [(1, "a b")]) == []
+    assert found(spark, [(1, "a b")], []) == [(1, 2, 0, [], False)]

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.decontaminate import find_benchmark_passages
 from tidemark.llm.simhash import group_near_copies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,9 +21,21 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return group_near_copies(table(spark, sf, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = find_benchmark_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 LLM_QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op1_simhash,)
+    for query in (op1_simhash, op9_decontamination)
 }
 
 LLM_ORACLE: dict[str, str] = {}
