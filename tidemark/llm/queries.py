@@ -12,6 +12,7 @@ from tidemark.llm.decontaminate import find_benchmark_passages
 from tidemark.llm.mixing import mix
 from tidemark.llm.oracle import OP5_SQL, OP10_SQL
 from tidemark.llm.simhash import group_near_copies
+from tidemark.llm.urls import Rule, filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,20 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return group_near_copies(table(spark, sf, "documents"))
 
 
+URL_RULES = (
+    Rule("org", "/", "allow"),
+    Rule("example.org", "/es/", "block"),
+    Rule("example.org", "/en/1", "block"),
+    Rule("com", "/fr/", "allow"),
+    Rule("com", "/de/", "block"),
+)
+
+
+def op4_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    judged = filter_urls(table(spark, sf, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 #: A conversation whose texts look like control strings.
 TRICKY_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -69,7 +84,7 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op1_simhash, op5_chat_formatting, op9_decontamination, op10_mixing)
+    for query in (op1_simhash, op4_url_filters, op5_chat_formatting, op9_decontamination, op10_mixing)
 }
 
 LLM_ORACLE: dict[str, str] = {
