@@ -11,6 +11,7 @@ from tidemark.llm.chat import format_conversations, loss_text, read_turns
 from tidemark.llm.decontaminate import find_benchmark_passages
 from tidemark.llm.mixing import mix
 from tidemark.llm.oracle import OP5_SQL, OP10_SQL
+from tidemark.llm.secrets import CANDIDATE, find_secrets
 from tidemark.llm.simhash import group_near_copies
 from tidemark.llm.urls import Rule, filter_urls
 
@@ -65,6 +66,24 @@ def op5_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    found = find_secrets(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != CANDIDATE.kind)
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    written = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    return found.select(
+        "doc_id",
+        number("assign").alias("n_assign"),
+        number("access").alias("n_access"),
+        number("hex").alias("n_hex"),
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+    )
+
+
 def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = find_benchmark_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select(
@@ -84,7 +103,7 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op1_simhash, op4_url_filters, op5_chat_formatting, op9_decontamination, op10_mixing)
+    for query in (op1_simhash, op4_url_filters, op5_chat_formatting, op8_secret_scans, op9_decontamination, op10_mixing)
 }
 
 LLM_ORACLE: dict[str, str] = {
