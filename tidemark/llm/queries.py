@@ -11,6 +11,7 @@ from tidemark.llm.chat import format_conversations, loss_text, read_turns
 from tidemark.llm.decontaminate import find_benchmark_passages
 from tidemark.llm.mixing import mix
 from tidemark.llm.oracle import OP5_SQL, OP10_SQL
+from tidemark.llm.quality import judge_quality
 from tidemark.llm.secrets import CANDIDATE, find_secrets
 from tidemark.llm.simhash import group_near_copies
 from tidemark.llm.urls import Rule, filter_urls
@@ -66,6 +67,10 @@ def op5_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return judge_quality(table(spark, sf, "documents"))
+
+
 def op8_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     found = find_secrets(table(spark, sf, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != CANDIDATE.kind)
@@ -103,7 +108,7 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op1_simhash, op4_url_filters, op5_chat_formatting, op8_secret_scans, op9_decontamination, op10_mixing)
+    for query in (op1_simhash, op4_url_filters, op5_chat_formatting, op7_quality_rules, op8_secret_scans, op9_decontamination, op10_mixing)
 }
 
 LLM_ORACLE: dict[str, str] = {
