@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.chat import format_conversations, loss_text, read_turns
 from tidemark.llm.decontaminate import find_benchmark_passages
+from tidemark.llm.language import identify_languages
 from tidemark.llm.mixing import mix
 from tidemark.llm.oracle import OP5_SQL, OP10_SQL
 from tidemark.llm.quality import judge_quality
@@ -27,6 +28,10 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return group_near_copies(table(spark, sf, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return identify_languages(table(spark, sf, "documents")).drop("content")
+
+
 URL_RULES = (
     Rule("org", "/", "allow"),
     Rule("example.org", "/es/", "block"),
@@ -108,7 +113,7 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op1_simhash, op4_url_filters, op5_chat_formatting, op7_quality_rules, op8_secret_scans, op9_decontamination, op10_mixing)
+    for query in (op1_simhash, op2_language_id, op4_url_filters, op5_chat_formatting, op7_quality_rules, op8_secret_scans, op9_decontamination, op10_mixing)
 }
 
 LLM_ORACLE: dict[str, str] = {
