@@ -13,6 +13,7 @@ from tidemark.llm.language import identify_languages
 from tidemark.llm.mixing import mix
 from tidemark.llm.oracle import OP5_SQL, OP10_SQL
 from tidemark.llm.quality import judge_quality
+from tidemark.llm.repeats import remove_repeats
 from tidemark.llm.secrets import CANDIDATE, find_secrets
 from tidemark.llm.simhash import group_near_copies
 from tidemark.llm.urls import Rule, filter_urls
@@ -72,6 +73,10 @@ def op5_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(table(spark, sf, "documents")).drop("kept")
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judge_quality(table(spark, sf, "documents"))
 
@@ -113,7 +118,7 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op1_simhash, op2_language_id, op4_url_filters, op5_chat_formatting, op7_quality_rules, op8_secret_scans, op9_decontamination, op10_mixing)
+    for query in (op1_simhash, op2_language_id, op4_url_filters, op5_chat_formatting, op6_suffix_dedup, op7_quality_rules, op8_secret_scans, op9_decontamination, op10_mixing)
 }
 
 LLM_ORACLE: dict[str, str] = {
