@@ -12,6 +12,7 @@ from tidemark.llm.decontaminate import find_benchmark_passages
 from tidemark.llm.language import identify_languages
 from tidemark.llm.mixing import mix
 from tidemark.llm.oracle import OP5_SQL, OP10_SQL
+from tidemark.llm.pages import extract_main_text
 from tidemark.llm.quality import judge_quality
 from tidemark.llm.repeats import remove_repeats
 from tidemark.llm.secrets import CANDIDATE, find_secrets
@@ -33,6 +34,10 @@ def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return identify_languages(table(spark, sf, "documents")).drop("content")
 
 
+def op3_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_main_text(table(spark, sf, "pages"))
+
+
 URL_RULES = (
     Rule("org", "/", "allow"),
     Rule("example.org", "/es/", "block"),
@@ -118,7 +123,7 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op1_simhash, op2_language_id, op4_url_filters, op5_chat_formatting, op6_suffix_dedup, op7_quality_rules, op8_secret_scans, op9_decontamination, op10_mixing)
+    for query in (op1_simhash, op2_language_id, op3_html_extraction, op4_url_filters, op5_chat_formatting, op6_suffix_dedup, op7_quality_rules, op8_secret_scans, op9_decontamination, op10_mixing)
 }
 
 LLM_ORACLE: dict[str, str] = {
