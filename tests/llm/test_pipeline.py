@@ -1,0 +1,116 @@
+"""The pipeline and its stages against plain versions of them."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from tests.llm.test_decontaminate import plain as plain_passages
+from tests.llm.test_mixing import plain as plain_mix
+from tests.llm.test_simhash import plain_groups
+from tidemark.llm.secrets import find_secrets
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+ITEM = " ".join(f"bench{i} mark" for i in range(20))
+SECRET = "token=0f3a9c27b1e84d56a9c0"
+
+
+def made(seed=1):
+    rng = random.Random(seed)
+    words = [w + str(i) for i in range(300) for w in ("the", "of", "und", "ä")]
+    rows = []
+    for i in range(70):
+        text = " ".join(rng.choices(words, k=rng.choice([5, 60, 200])))
+        if i % 9 == 0:
+            text = f"{text[:40]} {ITEM} {text[40:]}"
+        if i % 7 == 0:
+            text += f" {SECRET[:-3]}{i:03d} end"
+        rows.append((i, text, rng.choice(["en", "de", None]), rng.choice(["a", "a", "b", None]), len(text)))
+        if i % 5 == 0:
+            rows.append((500 - i, text.upper(), "en", "c", len(text)))
+    rows += [(900, None, "en", "a", None), (901, "", "en", "a", 0), (902, "12 !!", "de", "b", 5), (903, "12  !!", "de", "b", 6)]
+    rows += [rows[0], (None, "no id here at all", "en", "a", 17), (None, "no id here at all", "en", "a", 17)]
+    return rows
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    docs = spark.createDataFrame(made(), COLUMNS)
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def key(rows):
+    return sorted(map(tuple, rows), key=repr)
+
+
+def plain_pipeline(spark, rows):
+    rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    groups = {}
+    for (doc, _, component), row in zip(by_row(rows), rows):
+        groups.setdefault(component, []).append(row)
+    rows = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    bad = {d for d, *_, contaminated in plain_passages([r[:2] for r in rows], [(1, ITEM)]) if contaminated}
+    rows = [r for r in rows if r[0] not in bad]
+    out = []
+    for doc, text, lang, source, n in rows:
+        if SECRET[:-3] in text.lower():
+            at = text.lower().index(SECRET[:-3])
+            text = text[:at] + "[credential]" + text[at + len(SECRET) :]
+            n = len(text)
+        out.append((doc, text, lang, source, n))
+    mixed = {(d, s): (size, total, target, taken) for d, s, size, total, target, taken in plain_mix([(r[0], r[1], r[3]) for r in out])}
+    return [(*r, *mixed[r[0], r[3]]) for r in out if mixed[r[0], r[3]][3]]
+
+
+def by_row(rows):
+    """plain_groups in the order of rows."""
+    found = {}
+    for (doc, text, *_), group in ((r, None) for r in rows):
+        found[doc, text] = group
+    texts = [(i, r[1]) for i, r in enumerate(rows)]
+    return [(rows[i][0], p, c) for i, p, c in sorted(plain_groups(texts))]
+
+
+def test_run(spark, folder):
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken"]
+    got = [(*r[:7], round(r[7], 6), r[8]) for r in out.collect()]
+    expected = plain_pipeline(spark, made())
+    assert len(expected) > 30
+    assert key(got) == key(expected)
+
+
+def test_stages_keep_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        assert apply(spark, docs, folder).schema.simpleString() == docs.schema.simpleString(), name
+
+
+def test_more_columns_with_clashing_names(spark, folder):
+    names = ["row", "content", "taken", "size", "lang_pred", "score", "spans", "copies", "key", "clean", "finish"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    from pyspark.sql import functions as F
+
+    docs = docs.withColumns({n: F.lit(n) for n in names})
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        out = apply(spark, docs, folder)
+        assert out.columns == docs.columns
+        assert out.select(*names).distinct().collect() == [tuple(names)], name
+    out = corpus_pipeline.mixing(spark, docs, folder)
+    assert out.columns == [c for c in docs.columns if c not in ("size", "taken")] + ["size", "source_size", "target", "taken"]
+    assert out.count()
+
+
+def test_empty_documents(spark, folder, tmp_path):
+    docs = spark.createDataFrame([], COLUMNS)
+    for _, apply in corpus_pipeline.STAGES:
+        assert apply(spark, docs, folder).collect() == []
+
+
+def test_no_secret_is_left(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clean = corpus_pipeline.secrets(spark, docs, folder)
+    assert clean.count() == docs.count()
+    assert not [r for r in find_secrets(clean).collect() if r["spans"]]

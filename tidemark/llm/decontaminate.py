@@ -293,3 +293,23 @@ def find_benchmark_passages(
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         ((n_hit > 0) & (LEAST_SHARE * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of `docs`, with all columns, that are not contaminated."""
+    found = find_benchmark_passages(docs, items, id_col, text_col, item_col, item_text_col)
+    bad = stage(found.where("contaminated").select("doc_id", "content").distinct(), "contaminated")
+    whole = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("content"),
+    )
+    same = F.expr("d.doc_id <=> b.doc_id and d.content = b.content")
+    return whole.alias("d").join(bad.alias("b"), same, "left_anti").select("row.*")

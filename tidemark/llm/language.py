@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 
 UNKNOWN = "und"
@@ -27,6 +28,8 @@ MAX_LANGUAGES = 256
 #: One document in four, by the CRC-32 of its id, is held out from learning.
 FOLDS, HELD_OUT_FOLD = 4, 2
 
+SCORED = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+
 LETTERS = re.compile(r"[^\W\d_]+")
 BLANK = 32
 BITS = np.int64(21)
@@ -125,17 +128,8 @@ class Ranks:
         return self.languages[best], 1.0 - float(distances[best]) / (len(own) * PROFILE_GRAMS)
 
 
-def identify_languages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
-) -> DataFrame:
-    """(doc_id, content, held_out, lang_pred, score) for every row of `docs`.
-
-    Predictions use the whole text and nothing else; equally close languages give the
-    first in order. `lang_pred` is `und`, with score 0, where the text is null or has no
-    letter, or where no language could be learned. `content` is a hash of the text. Null
-    ids and repeated rows are kept; other columns are not read; an empty table gives no
-    rows.
-    """
+def _with_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(row, lang_pred, score): all columns of a row, its language and score."""
     narrow = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(lang_col).cast("string").alias("lang"),
@@ -146,12 +140,36 @@ def identify_languages(
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = table.value
         for batch in batches:
-            found = [ranks.closest(text.as_py()) for text in batch.column(3)]
+            rows = batch.column(0)
+            found = [ranks.closest(text.as_py()) for text in rows.field(text_col).cast(pa.string())]
             languages, scores = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(languages, pa.string()), pa.array(scores, pa.float64())],
-                ["doc_id", "content", "held_out", "lang_pred", "score"],
+                [rows, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"]
             )
 
-    rows = narrow.select("doc_id", F.xxhash64("text").alias("content"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(predict, "doc_id long, content long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.mapInArrow(predict, StructType([*rows.schema, *SCORED]))
+
+
+def identify_languages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for every row of `docs`.
+
+    Predictions use the whole text and nothing else; equally close languages give the
+    first in order. `lang_pred` is `und`, with score 0, where the text is null or has no
+    letter, or where no language could be learned. Null ids and repeated rows are kept;
+    other columns are not read; an empty table gives no rows.
+    """
+    narrow = docs.select(id_col, text_col, lang_col)
+    found = _with_languages(narrow, id_col, text_col, lang_col)
+    doc_id = F.col("row")[id_col].cast("long")
+    return found.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.0
+) -> DataFrame:
+    """The rows of `docs`, with all columns, whose text is in a language: not `und`, and scored so high."""
+    found = _with_languages(docs, id_col, text_col, lang_col)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")

@@ -141,3 +141,44 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         (copies * F.col("size")).alias("taken"),
         _finish(0).alias("finish"),
     )
+
+
+MIXED = ["size", "source_size", "target", "taken"]
+
+
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of `docs` that the mix takes, in its order, with the columns MIXED after their own.
+
+    `taken` / `size` is the number of copies. Columns of `docs` with these names are
+    replaced. Rows with the same id, text and source are one row that has the words taken
+    of all.
+    """
+    row = ["doc_id", "no_source", "source", "content"]
+    mixed = mix(docs, id_col, text_col, source_col).withColumn("no_source", F.col("source").isNull())
+    mixed = mixed.withColumn("source", F.coalesce("source", F.lit("")))
+    mixed = mixed.groupBy(*row).agg(
+        *(F.max(c).alias(c) for c in MIXED[:3]), F.sum("taken").alias("taken"), F.min("finish").alias("finish"),
+        F.count("*").alias("copies"),
+    ).where("taken > 0")
+    mixed = stage(mixed, "mixed")
+    source = F.col(source_col).cast("string")
+    whole = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        source.isNull().alias("no_source"),
+        F.coalesce(source, F.lit("")).alias("source"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("content"),
+    )
+    same = F.expr(
+        "d.doc_id <=> m.doc_id and d.no_source = m.no_source and d.source = m.source and d.content = m.content"
+    )
+    met = whole.alias("d").join(mixed.alias("m"), same).select(
+        "d.row", "m.finish", "m.copies", "d.doc_id", "d.no_source", "d.source", "d.content", *(f"m.{c}" for c in MIXED)
+    )
+    single = met.where("copies = 1").select("row", "finish", *MIXED)
+    several = met.where("copies > 1").groupBy(*row).agg(
+        *(F.any_value(c).alias(c) for c in ("row", "finish", *MIXED))
+    )
+    taken = single.unionByName(several.select("row", "finish", *MIXED))
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in MIXED]
+    return taken.orderBy("finish").select(*own, *MIXED)

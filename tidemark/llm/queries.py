@@ -31,7 +31,7 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
-    return identify_languages(table(spark, sf, "documents")).drop("content")
+    return identify_languages(table(spark, sf, "documents"))
 
 
 def op3_html_extraction(spark: SparkSession, sf: str) -> DataFrame:

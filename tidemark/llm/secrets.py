@@ -193,3 +193,33 @@ def redacted(text: Column, spans: Column) -> Column:
     # Bound to a variable, so that the list is made once.
     built = F.transform(F.array(stops), lambda all_stops: F.array_join(F.transform(all_stops, lambda s, i: piece(s, i, all_stops)), ""))
     return F.when(F.size(spans) > 0, built[0]).otherwise(text)
+
+
+def redact(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    owner_col: str = "source",
+    length_col: str | None = None,
+) -> DataFrame:
+    """The rows of `docs`, with all columns, the text without what spans cover.
+
+    `length_col` is a column that holds the number of characters and follows the text.
+    """
+    found = find_secrets(docs, id_col, text_col, owner_col)
+    found = stage(found.where(F.size("spans") > 0).dropDuplicates(["doc_id", "content"]), "spans")
+    text = F.col(text_col).cast("string")
+    whole = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.xxhash64(F.coalesce(text, F.lit(""))).alias("content"),
+    )
+    same = F.expr("d.doc_id <=> s.doc_id and d.content = s.content")
+    met = whole.alias("d").join(found.alias("s"), same, "left").select("d.row", "s.spans")
+    clean = F.when(F.size("spans") > 0, redacted(F.col("row")[text_col], F.col("spans"))).otherwise(F.col("row")[text_col])
+    met = met.withColumn("clean", clean)
+    changed = {text_col: F.col("clean")}
+    if length_col:
+        length = F.length("clean").cast(docs.schema[length_col].dataType)
+        changed[length_col] = F.when(F.size("spans") > 0, length).otherwise(F.col("row")[length_col])
+    return met.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -62,17 +62,21 @@ def fingerprint(text: bytes | None) -> int:
 
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
+        texts = batch.column(2).cast(pa.binary())
         prints = [fingerprint(t.as_py()) for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "print"]
+            [batch.column(0), batch.column(1), pa.array(prints, pa.int64())], ["doc_id", "content", "print"]
         )
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, print) for every row; the print of a null text is 0."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(_fingerprints, "doc_id long, print long")
+    """(doc_id, content, print) for every row; the print of a null text is 0.
+
+    `content` is another hash of the text, which tells rows of the same id apart.
+    """
+    text = F.col(text_col).cast("string")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), text.alias("text"))
+    return narrow.mapInArrow(_fingerprints, "doc_id long, content long, print long")
 
 
 def _byte(value: Column, position: int) -> Column:
@@ -165,6 +169,15 @@ def links(prints: DataFrame) -> DataFrame:
     )
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, content, print) of all rows and (print, root) of all fingerprints."""
+    prints = stage(fingerprints(docs, id_col, text_col), "prints")
+    nodes = stage(prints.select("print").distinct(), "nodes")
+    roots = components(links(nodes), "a", "b")
+    rooted = nodes.join(roots, nodes["print"] == roots["node"], "left")
+    return prints, rooted.select("print", F.coalesce("root", "print").alias("root"))
+
+
 def group_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of `docs`.
 
@@ -174,12 +187,8 @@ def group_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     0. Equal fingerprints are one node, so copies never meet each other in pairs.
     Repeated rows are kept; other columns are not read. An empty table gives none.
     """
-    prints = stage(fingerprints(docs, id_col, text_col), "prints")
-    nodes = stage(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = components(links(nodes.select("print")), "a", "b")
-    rooted = nodes.join(roots, nodes["print"] == roots["node"], "left").select(
-        "print", "first_id", F.coalesce("root", "print").alias("root")
-    )
+    prints, rooted = _grouped(docs, id_col, text_col)
+    rooted = rooted.join(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "print")
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = rooted.join(firsts, "root").select("print", "component_id")
     return prints.join(found, "print").select(
@@ -187,3 +196,31 @@ def group_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all columns, less all but one of each group of near copies.
+
+    The row with the least id stays, null last; of several with that id the one whose
+    text has the least hash; of rows with the same id and text any one.
+    """
+    prints, rooted = _grouped(docs, id_col, text_col)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")
+    least = prints.groupBy("print").agg(F.min(row).alias("row"))
+    kept = least.join(rooted, "print").groupBy("root").agg(F.min("row").alias("row")).select("row.*")
+    copies = prints.groupBy("doc_id", "content").agg(F.count("*").alias("copies"))
+    kept = stage(
+        kept.alias("k")
+        .join(copies.alias("c"), F.expr("k.doc_id <=> c.doc_id and k.content = c.content"))
+        .select("k.doc_id", "k.content", "copies"),
+        "kept",
+    )
+    whole = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("content"),
+    )
+    met = whole.alias("d").join(kept.alias("k"), F.expr("d.doc_id <=> k.doc_id and d.content = k.content"))
+    single = met.where("copies = 1").select("d.row")
+    several = met.where("copies > 1").groupBy("d.doc_id", "d.content").agg(F.any_value("d.row").alias("row"))
+    return single.unionByName(several.select("row")).select("row.*")
