@@ -44,7 +44,7 @@ def fitted_by_numpy(rows, features, target):
 @pytest.mark.parametrize("key", [SeriesKey(), SeriesKey(chunk_days=50, block_rows=37)])
 def test_models_match_numpy(spark, panel, key):
     horizons = [0, 5, 30]
-    table, sums = features_and_sums(panel, horizons, 500, key)
+    table, sums = features_and_sums(panel, horizons, key)
     models = {r.horizon: r for r in solve_models(sums, FEATURES).collect()}
     train = table.where("__train_rank IS NOT NULL").select("date", "entity", "level", *FEATURES)
     rows = growth_targets(train, horizons).collect()
@@ -58,7 +58,7 @@ def test_models_match_numpy(spark, panel, key):
 
 def test_models_match_mllib(spark, panel):
     key, h = SeriesKey(), 14
-    table, sums = features_and_sums(panel, [h], 500, key)
+    table, sums = features_and_sums(panel, [h], key)
     model = solve_models(sums, FEATURES).first()
     train = table.where("__train_rank IS NOT NULL").select("date", "entity", "level", *FEATURES)
     labelled = growth_targets(train, [h]).where(f"{target_of(h)} IS NOT NULL")
@@ -71,23 +71,23 @@ def test_models_match_mllib(spark, panel):
 def test_whole_and_cut_series_give_the_same_sums(spark, panel):
     whole, key, horizons = SeriesKey(), SeriesKey(chunk_days=60, block_rows=45), [0, 12, -3, 31]
     results = []
-    for k, longest in ((whole, 500), (key, 500)):
-        table, sums = features_and_sums(panel, horizons, longest, k)
+    for k in (whole, key):
+        table, sums = features_and_sums(panel, horizons, k)
         rows = table.select("date", "entity", "level", "reach", *FEATURES).collect()
         results.append((sorted(map(repr, rows)), sorted(sums.collect(), key=lambda r: r.horizon)))
     assert results[0][0] == results[1][0]
-    np.testing.assert_allclose(results[0][1], results[1][1], rtol=1e-9)
+    np.testing.assert_allclose(results[0][1], results[1][1], rtol=1e-9, atol=1e-9)
 
 
 @pytest.mark.parametrize("key", [SeriesKey(), SeriesKey(chunk_days=60, block_rows=45)])
 def test_several_passes_give_the_same_sums(spark, panel, monkeypatch, key):
     horizons = list(range(-2, 6))
-    at_once = {r.horizon: tuple(r) for r in features_and_sums(panel, horizons, 500, key)[1].collect()}
+    at_once = {r.horizon: tuple(r) for r in features_and_sums(panel, horizons, key)[1].collect()}
     monkeypatch.setattr(plan, "HORIZONS_PER_PASS", 3)
-    in_parts = {r.horizon: tuple(r) for r in features_and_sums(panel, horizons, 500, key)[1].collect()}
+    in_parts = {r.horizon: tuple(r) for r in features_and_sums(panel, horizons, key)[1].collect()}
     assert at_once.keys() == in_parts.keys() == set(horizons)
     for h in horizons:
-        np.testing.assert_allclose(at_once[h], in_parts[h], rtol=1e-12)
+        np.testing.assert_allclose(at_once[h], in_parts[h], rtol=1e-9, atol=1e-9)
 
 
 def test_residuals_are_orthogonal_to_the_features():
@@ -122,6 +122,10 @@ def test_deficient_rank_gives_the_solution_of_minimum_norm():
 def test_cross_products_leave_out_rows_without_a_target(spark):
     rows = [(1.0, 2.0, None), (2.0, 3.0, 0.5), (4.0, 5.0, 1.0)]
     df = spark.createDataFrame(rows, "a double, b double, growth_target_3 double")
+    centred = cross_products(df, [3], ["a", "b"], {"b": 3.0}).first().asDict()
+    assert {k: centred[k] for k in ("g_0_2", "g_1_2", "g_2_2", "g_2_y")} == {
+        "g_0_2": 2.0, "g_1_2": 8.0, "g_2_2": 4.0, "g_2_y": 2.0,
+    }
     got = cross_products(df, [3], ["a", "b"]).first().asDict()
     assert got == {
         "horizon": 3,
@@ -186,3 +190,51 @@ def test_horizon_zero_and_below(spark, panel):
     before = forecast_panel(a, as_of=str(day(480)))  # the last day is 14 days after the month's end
     assert [r.horizon for r in before.models.collect()] == [-14]
     assert before.scored.count() == 1
+
+
+def test_rows_without_entity_or_day_are_left_out(spark, panel):
+    """Whatever the size of blocks: the same forecast as without such rows."""
+    odd = [(None, "A", 5e6, 7.0), (None, "B", 1.0, 1.0), (day(3), None, 2e6, 5.0), (day(4), None, 3e6, 6.0), (None, None, 1.0, 1.0)]
+    more = panel.unionByName(spark.createDataFrame(odd, PANEL))
+    expected = sorted(forecast_panel(panel, as_of=str(day(505))).scored.collect())
+    for key in (SeriesKey(), SeriesKey(chunk_days=60, block_rows=45)):
+        got = sorted(forecast_panel(more, as_of=str(day(505)), key=key).scored.collect())
+        assert [r[:4] for r in got] == [r[:4] for r in expected]
+        np.testing.assert_allclose([r.forecast for r in got], [r.forecast for r in expected], rtol=1e-9)
+
+
+def test_features_close_to_their_centre(spark):
+    """Ratios that spread by a millionth keep their digits in the sums."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([1 + 1e-6 * rng.normal(size=800), rng.normal(size=800)])
+    y = 2e4 * (x[:, 0] - 1) + 0.3 * x[:, 1] + 0.01 * rng.normal(size=800)
+    df = spark.createDataFrame(np.column_stack([x, y]).tolist(), "a double, b double, growth_target_3 double")
+    centres = {"a": 1.0}
+    model = solve_models(cross_products(df, [3], ["a", "b"], centres), ["a", "b"], centres).first()
+    centred = x - x.mean(axis=0)
+    expected = np.linalg.lstsq(centred, y - y.mean(), rcond=None)[0]
+    np.testing.assert_allclose([model.a, model.b], expected, rtol=1e-8)
+    np.testing.assert_allclose(model.intercept, y.mean() - x.mean(axis=0) @ expected, rtol=1e-8)
+
+
+def test_features_that_hardly_differ():
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=500)
+    x = np.column_stack([a, a + 1e-6 * rng.normal(size=500)])
+    np.testing.assert_allclose(least_squares(*moments(x, x @ [5.0, -4.0])), [0.0, 5.0, -4.0], atol=0.05)
+
+
+def test_many_horizons_make_features_once(spark, panel, monkeypatch):
+    staged = []
+    write = plan.stage
+    monkeypatch.setattr(plan, "stage", lambda df, name: staged.append(name) or write(df, name))
+    horizons = list(range(1, 201))
+    _, sums = features_and_sums(panel.where("entity <> 'B'"), horizons)
+    assert sorted(r.horizon for r in sums.select("horizon").collect()) == horizons
+    assert staged.count("features") == 1 and staged.count("pass") == 5
+
+
+def test_models_need_no_python_in_tasks(spark, panel):
+    result = forecast_panel(panel, as_of=str(day(505)))
+    for df in (result.scored, result.sums, result.models, result.rejected):
+        assert "Python" not in df._jdf.queryExecution().executedPlan().toString()

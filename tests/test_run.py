@@ -1,6 +1,7 @@
 """The whole job on landed files, and its output tables."""
 
 import json
+import os
 import random
 from datetime import date, datetime, timedelta
 
@@ -72,7 +73,7 @@ def test_run(spark, landed):
 def test_run_rejects_repeated_days(spark, landed):
     folder = landed / "history" / f"entity={NAMES[0]}"
     (folder / "again.json").write_text((folder / "data.json").read_text())
-    with pytest.raises(ValueError, match="history has 2 rows"):
+    with pytest.raises(Exception, match="duplicate row in one source"):
         run(spark, *[str(landed / p) for p in ("history", "sheet.csv", "snapshot", "runs")], as_of="2026-03-28")
 
 
@@ -90,10 +91,58 @@ def test_a_shorter_snapshot_leaves_no_old_rows(spark, tmp_path):
     assert [r.entity for r in read_snapshot(spark, path).collect()] == ["A"]
     for run_at in ("2026-02-03 00:00:00", "2026-02-04 00:00:00"):
         append_history(df, runs, run_at)
-    got = [(r.run_at.day, r.entity) for r in read_run_history(spark, runs).collect()]
-    assert got == [(4, "A"), (4, "B"), (3, "A"), (3, "B")]
+    expected = [(4, "A"), (4, "B"), (3, "A"), (3, "B")]
+    assert [(r.run_at.day, r.entity) for r in read_run_history(spark, runs).collect()] == expected
+    append_history(df, runs, "2026-02-04 00:00:00")  # a run that is tried again
+    assert [(r.run_at.day, r.entity) for r in read_run_history(spark, runs).collect()] == expected
+    append_history(df, runs, "2026-02-04 00:00:01")
+    assert read_run_history(spark, runs).count() == 6
     assert presented(read_run_history(spark, runs)).first().forecast == "2.5"
 
 
 def test_staging_uses_the_folder_the_session_names(spark, tmp_path):
     assert staging_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+class Session:
+    """As much of a session as the choice of the folder asks for."""
+
+    def __init__(self, **settings):
+        self.conf = self
+        self.settings = {k.replace("__", "."): v for k, v in settings.items()}
+
+    def get(self, name, default=None):
+        return self.settings.get(name, default)
+
+
+def test_staging_without_a_named_folder():
+    warehouse = {"spark__sql__warehouse__dir": "file:/w/"}
+    for master in ("local", "local[*]", "local[8]", "local[4,2]"):
+        assert staging_folder(Session(spark__master=master, **warehouse)) == "file:/w/staging"
+    for master in ("local-cluster[3,2,1000]", "yarn", "k8s://x", "spark://x:7077", ""):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            staging_folder(Session(spark__master=master, **warehouse))
+    assert staging_folder(Session(spark__master="yarn", spark__checkpoint__dir="hdfs:/s/")) == "hdfs:/s"
+
+
+def test_staged_tables_can_be_removed(spark, monkeypatch):
+    from tidemark.plans import staging
+
+    monkeypatch.setattr(staging, "_written", [])
+    df = staging.stage(spark.range(3), "numbers")
+    path = df.inputFiles()[0]
+    assert df.count() == 3
+    staging.drop_staged(spark)
+    assert not os.path.exists(path.removeprefix("file://"))
+    staging.drop_staged(spark)
+
+
+def test_only_the_folders_of_tracked_entities_are_read(spark, landed):
+    from tidemark.sources.history import read_history
+
+    (landed / "history" / "entity=other").mkdir()
+    (landed / "history" / "entity=other" / "data.json").write_text("not JSON")
+    rows = read_history(spark, str(landed / "history"), entities=NAMES)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "entity" in plan.split("PartitionFilters: [")[1].split("]")[0] and "Bad Bunny" in plan
+    assert rows.count() == 3 * 450

@@ -108,4 +108,60 @@ def test_header():
 
 def test_entity_table(spark):
     table = entity_table(spark)
-    assert table.columns == ["entity", "external_id"] and table.count() == 3
+    assert table.columns == ["entity"] and table.count() == 3
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize(
+    "text",
+    [
+        '{"stats": [{"data": {"history": [{"date": "2020-06-01", "monthly_liste',
+        '{"result": "error", "message": "limit reached"}',
+        '{"stats": []}',
+        '{"stats": [{}]}',
+        '{"stats": [{"data": {}}]}',
+        '{"stats": [{"data": {"history": [{"date": "2020-06-01", "monthly_listeners_current": "7,5"}]}}]}',
+    ],
+)
+def test_documents_without_a_history_are_errors(spark, tmp_path, text, ansi):
+    (tmp_path / "entity=A").mkdir()
+    (tmp_path / "entity=A" / "data.json").write_text(text)
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="MALFORMED|FAILED_READ|document without history of A"):
+            read_history(spark, str(tmp_path)).collect()
+        with pytest.raises(Exception, match="MALFORMED|document without history of A"):
+            parse_history(spark.createDataFrame([("A", text)], "entity string, doc string"), "doc").collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_history_without_days_is_no_error(spark, tmp_path):
+    land(tmp_path, "A", [])
+    assert read_history(spark, str(tmp_path)).collect() == []
+
+
+def test_sheet_files_agree_on_their_columns(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("Date,A,B,x\n1/5/2026,1,2,7\n")
+    (tmp_path / "2.csv").write_text("Date,A,B,y\n1/6/2026,3,4,7\n")
+    got = {tuple(r)[1:] for r in read_sheet(spark, str(tmp_path), ["A", "B"]).collect()}
+    assert got == {("A", 1), ("B", 2), ("A", 3), ("B", 4)}
+    (tmp_path / "3.csv").write_text("Date,B,A,x\n1/7/2026,5,6,7\n")
+    for strict in (True, False):
+        with pytest.raises(Exception, match="different headers"):
+            read_sheet(spark, str(tmp_path), ["A", "B"], strict=strict).collect()
+
+
+@pytest.mark.parametrize("row", ["1/7/2026,1,234,5", "1/7/2026"])
+def test_rows_of_another_length_are_errors(spark, tmp_path, row):
+    path = tmp_path / "sheet.csv"
+    path.write_text(f"Date,A,B\n1/5/2026,1,2\n{row}\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+        read_sheet(spark, str(path), ["A"]).collect()
+
+
+def test_empty_sheet(spark, tmp_path):
+    (tmp_path / "sheet.csv").write_text("")
+    with pytest.raises(ValueError, match="empty"):
+        read_sheet(spark, str(tmp_path / "sheet.csv"), ["A"])

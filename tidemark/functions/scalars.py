@@ -18,8 +18,8 @@ US_DATE = "M/d/yyyy"
 
 
 def _strict(parsed: Column, text: Column, what: str) -> Column:
-    failed = parsed.isNull() & text.isNotNull()
-    return F.when(failed, F.raise_error(F.concat(F.lit(f"not a {what}: "), text))).otherwise(parsed)
+    failed = F.raise_error(F.concat(F.lit(f"not a {what}: "), text))
+    return F.coalesce(parsed, F.when(text.isNotNull(), failed))
 
 
 def parse_date(text: Column, pattern: str, strict: bool = True) -> Column:

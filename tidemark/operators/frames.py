@@ -6,16 +6,12 @@ from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import null_out
 
-# Longest list of rules that is written into the plan as one predicate.
-INLINE_RULES = 200
-
-
 def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """Rename columns; a name that is not there is an error."""
     missing = [name for name in names if name not in df.columns]
@@ -55,16 +51,10 @@ def tracked_entities(df: DataFrame, entities: DataFrame, entity: str = "entity")
     return df.join(entities.select(entity), entity, "left_semi")
 
 
-def rule_predicate(
-    rules: Iterable[tuple[str, str, str]], entity: str = "entity", order: str = "date"
-) -> Column:
-    """True where (entity, day) falls in any (entity, first day, last day) rule, ends included."""
-    hits = [
-        (F.col(entity) == name)
-        & F.col(order).between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-        for name, first, last in rules
-    ]
-    return reduce(or_, hits, F.lit(False))
+def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """(entity, first day, last day) rules as a table `entity, date_from, date_to`."""
+    texts = spark.createDataFrame(list(rules), "entity string, a string, b string")
+    return texts.select("entity", F.col("a").cast("date").alias("date_from"), F.col("b").cast("date").alias("date_to"))
 
 
 def mask_anomalies(
@@ -74,37 +64,24 @@ def mask_anomalies(
     entity: str = "entity",
     order: str = "date",
 ) -> DataFrame:
-    """Null out `columns` on the days named by `rules`.
+    """Null out `columns` on the days named by `rules`, ends included.
 
-    A short list of rules becomes one predicate, with no join at all. A table of
-    rules (`entity, date_from, date_to`) or a long list is matched by join: the
-    (entity, day) pairs it hits are made distinct first, so rules that overlap
-    cannot multiply rows. No side is forced to be broadcast there.
+    Rules are a table `entity, date_from, date_to` or a list of such rows. They become the
+    distinct (entity, day) pairs that they name, so rules that overlap cannot multiply
+    rows, and rows find their pair by an equality: no entity's days meet all of its rules.
     """
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"no such columns to mask: {missing}")
     if not isinstance(rules, DataFrame):
-        if len(rules) <= INLINE_RULES:
-            hit = rule_predicate(rules, entity, order)
-            return df.withColumns({c: null_out(hit, F.col(c)) for c in columns})
-        texts = df.sparkSession.createDataFrame(list(rules), "entity string, a string, b string")
-        rules = texts.select(
-            "entity",
-            F.col("a").cast("date").alias("date_from"),
-            F.col("b").cast("date").alias("date_to"),
-        )
-    days, spans = df.select(entity, order).alias("d"), rules.alias("r")
-    hits = (
-        days.join(
-            spans,
-            (F.col(f"d.{entity}") == F.col("r.entity"))
-            & F.col(f"d.{order}").between(F.col("r.date_from"), F.col("r.date_to")),
-            "left_semi",
-        )
-        .distinct()
-        .withColumn("__hit", F.lit(True))
-    )
-    marked = df.join(hits, [entity, order], "left")
+        if not rules:
+            return df
+        rules = rule_table(df.sparkSession, rules)
+    days = F.explode(F.sequence("date_from", "date_to")).alias(order)
+    hits = rules.where("date_from <= date_to").select(F.col("entity").alias(entity), days).distinct()
+    marked = df.join(hits.withColumn("__hit", F.lit(True)), [entity, order], "left")
     return marked.select(
-        [null_out(F.col("__hit"), F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns]
+        [null_out(F.col("__hit"), F.col(f"`{c}`")).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns]
     )
 
 

@@ -18,17 +18,6 @@ def _unique(count: str, key: SeriesKey):
     return F.when(F.col(count) > 1, F.raise_error(message).cast("boolean")).otherwise(True)
 
 
-def require_unique(df: DataFrame, what: str, key: SeriesKey = SeriesKey()) -> None:
-    """Raise if a day occurs twice for an entity.
-
-    A check to make before anything else: copies are counted before the shuffle,
-    so that a large group of them does not end up in one task.
-    """
-    twice = df.groupBy(key.entity, key.order).count().where("count > 1").take(1)
-    if twice:
-        raise ValueError(f"{what} has {twice[0]['count']} rows for {twice[0][key.entity]}, {twice[0][key.order]}")
-
-
 def merged_chunks(history: DataFrame, sheet: DataFrame, key: SeriesKey = SeriesKey()) -> DataFrame:
     """`precedence_merge`, left shuffled by (entity, chunk) for the operators that follow.
 

@@ -12,8 +12,6 @@ known values on either side of it, wherever those lie.
 `with_halo` cuts the series by position into blocks of equal row count and
 copies the rows next to a cut into the neighbouring block, so that a window over
 (entity, block) sees all it needs for frames and offsets up to the given reach.
-Where all series are known to fit in a block, `uncut` makes one of each, and the
-rows are shuffled once instead of twice.
 
 A day occurs once per entity (`precedence_merge` enforces it), so a chunk holds
 at most `chunk_days` rows and a block `block_rows` plus its halo, also where one
@@ -32,7 +30,7 @@ CHUNK = "__chunk"
 BLOCK = "__block"
 CORE = "__core"
 POS = "__pos"
-_RANK, _ROWS, _OFFSET = "__rank", "__rows", "__offset"
+_RANK, _ROWS, _OFFSET, _OTHERS = "__rank", "__rows", "__offset", "__others"
 
 
 def quoted(name: str) -> str:
@@ -102,8 +100,10 @@ def scan(
 
     For a column in `back`: its last non-null value at or before the row. In
     `ahead`: its first non-null value after the row. With `places`, also the
-    positions of these values; the summaries then need the rows in order, else
-    they are plain aggregates, made before any shuffle.
+    positions of these values; the summaries then need the rows in order.
+
+    `df` is read and shuffled once: rows and summaries come from the same shuffle, which
+    Spark finds again where both use the same columns. So summaries use all of them.
     """
     entity, order = quoted(key.entity), quoted(key.order)
     rising = f"PARTITION BY {entity}, {CHUNK} ORDER BY {order}"
@@ -136,13 +136,19 @@ def scan(
         to_come = f"{falling} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
         look(c, next_of(c), next_pos_of(c), "min_by", "min", later, to_come)
 
-    ranked = chunked(df, key).selectExpr("*", f"row_number() OVER ({rising}) AS {_RANK}")
+    others = [quoted(c) for c in df.columns if c not in (key.entity, CHUNK, *back, *ahead)]
+    in_chunk.append(f"bit_xor(hash({', '.join(others)})) AS {_OTHERS}")
+    # Nothing, as a chunk has rows, but the optimizer cannot tell and keeps the columns.
+    nothing = f"if({_OTHERS} IS NULL, 1, 0)"
+
+    laid = chunked(df, key)
+    ranked = laid.selectExpr("*", f"row_number() OVER ({rising}) AS {_RANK}")
     # One row per chunk: a few rows for each entity.
     chunks = (
-        (ranked if places else with_chunk(df, key))
+        (ranked if places else laid)
         .groupBy(key.entity, CHUNK)
         .agg(*map(F.expr, in_chunk))
-        .selectExpr("*", f"coalesce(sum({_ROWS}) OVER ({earlier}), 0) AS {_OFFSET}")
+        .selectExpr("*", f"coalesce(sum({_ROWS}) OVER ({earlier}), 0) + {nothing} AS {_OFFSET}")
         .selectExpr(*carried)
     )
     # A left join: the rows stay where they are, only summaries may be moved.
@@ -182,14 +188,3 @@ def with_halo(df: DataFrame, key: SeriesKey, before: int = 0, after: int = 0) ->
     first = f"greatest({block_of(f'{POS} - {after}')}, 0)"
     copies = f"explode(sequence({first}, {block_of(f'{POS} + {before}')})) AS {BLOCK}"
     return df.selectExpr("*", copies).selectExpr("*", f"{BLOCK} = {block_of(POS)} AS {CORE}")
-
-
-def uncut(df: DataFrame, key: SeriesKey, back: Sequence[str] = ()) -> DataFrame:
-    """One block per series, for series that have been counted to fit in one.
-
-    Has the same columns as `scan` and `with_halo` together, but for positions,
-    which only order the rows here.
-    """
-    whole = df.selectExpr("*", f"0 AS {BLOCK}", f"unix_date({quoted(key.order)}) AS {POS}", f"true AS {CORE}")
-    so_far = f"({key.block_window} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return whole.selectExpr("*", *[f"last({quoted(c)}, true) OVER {so_far} AS {quoted(prev_of(c))}" for c in back])

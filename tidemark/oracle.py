@@ -14,8 +14,8 @@ from tidemark.queries import (
     TARGETS,
     TRACKED,
 )
-from tidemark.settings import FEATURES, LAGS, MEAN_PAIRS, ZONE, lag_feature, ratio_feature
-from tidemark.sources.tables import AS_OF, PRIORITIES, RULES, SHEET_END, SHEET_START
+from tidemark.settings import CENTRES, FEATURES, LAGS, MEAN_PAIRS, ZONE, lag_feature, ratio_feature
+from tidemark.sources.tables import AS_OF, PRIORITIES, RULES, SHEET_END
 
 W = "(PARTITION BY entity ORDER BY date)"
 SO_FAR = "(PARTITION BY entity ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -63,12 +63,12 @@ CLEAN = ",\n".join(
 
 
 def _sheet(staggered: bool) -> str:
-    last = "AND CAST(l_shipdate AS DATE) <= DATE '{}' - 3 * (CAST(left(o_orderpriority, 1) AS INTEGER) - 1)"
+    last = "CAST(l_shipdate AS DATE) <= DATE '{}' - 3 * (CAST(left(o_orderpriority, 1) AS INTEGER) - 1)"
     return f"""sheet AS (
   SELECT CAST(l_shipdate AS DATE) AS date, o_orderpriority AS entity,
          CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) // 100 AS BIGINT) AS level
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_shipdate >= DATE '{SHEET_START}' {last.format(SHEET_END) if staggered else ""}
+  WHERE {last.format(SHEET_END) if staggered else "true"}
   GROUP BY 1, 2)"""
 
 
@@ -125,7 +125,7 @@ def _rounded(columns: tuple[str, ...], digits: int) -> str:
 # Regression: cross-products per horizon, then Gauss-Jordan elimination on the
 # long table of cells (h, i, j, v); row i = 1..k+1, the last column is the target.
 
-TERMS = ("1.0", *FEATURES)
+TERMS = ("1.0", *(f"({name} - {CENTRES[name]})" if name in CENTRES else name for name in FEATURES))
 SIZE = len(TERMS)
 
 
@@ -166,7 +166,9 @@ def _solution() -> str:
     weights = ", ".join(
         f"max(CASE WHEN i = {i} THEN v END) AS w{i}" for i in range(SIZE)
     )
-    steps.append(f"models AS (SELECT h, {weights} FROM step{SIZE} WHERE j = {SIZE} GROUP BY h)")
+    steps.append(f"centred AS (SELECT h, {weights} FROM step{SIZE} WHERE j = {SIZE} GROUP BY h)")
+    moved = " - ".join(["w0", *(f"{CENTRES[name]} * w{i}" for i, name in enumerate(FEATURES, 1) if name in CENTRES)])
+    steps.append(f"models AS (SELECT * REPLACE ({moved} AS w0) FROM centred)")
     return ",\n".join(steps)
 
 
@@ -216,13 +218,17 @@ _TERM = " ".join(f"WHEN {{c}} = {i} THEN '{name}'" for i, name in enumerate(_NAM
 ORACLE: dict[str, str] = {
     "json_field_extract": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "json_history_explode": _with(HISTORY, "SELECT date, entity, level, playlists, reach FROM history"),
+    "json_history_files": _with(HISTORY, "SELECT date, entity, level, playlists, reach FROM history"),
     "sheet_melt": _with(WIDE_DAYS, "SELECT date, entity, level FROM sheet"),
+    "sheet_csv_files": _with(WIDE_DAYS, "SELECT date, entity, level FROM sheet"),
     "sheet_header_dedup": _with(
         WIDE_DAYS,
-        f"""SELECT strftime(date, '%-m/%-d/%Y') AS day,
-  coalesce(max(CASE WHEN entity = '{PRIORITIES[0]}' THEN format('{{:,}}', level) END), '') AS a,
-  coalesce(max(CASE WHEN entity = '{PRIORITIES[1]}' THEN format('{{:,}}', level) END), '') AS b
-FROM sheet GROUP BY date""",
+        "SELECT strftime(date, '%-m/%-d/%Y') AS day, "
+        + ", ".join(
+            f"coalesce(max(CASE WHEN entity = '{p}' THEN format('{{:,}}', level) END), '') AS sheet_{i}"
+            for i, p in enumerate(PRIORITIES, 1)
+        )
+        + " FROM sheet GROUP BY date",
     ),
     "entity_semi_join": _with(HISTORY, f"SELECT * FROM history WHERE entity IN {TRACKED}"),
     "start_date_filter": _with(HISTORY, f"SELECT * FROM history WHERE date >= DATE '{FIRST_DAY}'"),
@@ -263,7 +269,7 @@ FROM lineitem""",
     ),
     "union_all": _with(
         HISTORY,
-        " UNION ALL ".join(f"SELECT * FROM history WHERE entity = '{p}'" for p in PRIORITIES[:3]),
+        " UNION ALL ".join(f"SELECT * FROM history WHERE entity = '{p}'" for p in PRIORITIES),
     ),
     "union_relaxed": _with(
         WIDE_DAYS,
@@ -346,4 +352,5 @@ FROM (SELECT entity, max(date) AS last FROM merged GROUP BY entity)""",
         + " FROM models",
     ),
     "forecast_month_end": _with(_forecast(), "SELECT * FROM scored"),
+    "run_month_end": _run(_forecast(), RUN_AT),
 }

@@ -17,7 +17,6 @@ from tidemark.operators.series import BLOCK, SeriesKey, number_rows, part_offset
 from tidemark.operators.windows import (
     TRAIN_RANK,
     feature_blocks,
-    growth_in_whole_series,
     growth_of_numbered,
     rank_complete,
 )
@@ -48,10 +47,9 @@ def as_of_day(as_of: date | str | None) -> Column:
     return local_today() if as_of is None else F.lit(str(as_of)).cast("date")
 
 
-def ranked_features(panel: DataFrame, key: SeriesKey = SeriesKey(), fits: bool = False) -> DataFrame:
+def ranked_features(panel: DataFrame, key: SeriesKey = SeriesKey()) -> DataFrame:
     """Panel with features, and the rank of its complete rows within their block."""
-    blocks = feature_blocks(panel, key, fits=fits)
-    return rank_complete(blocks, [key.order, key.entity, "level", "reach", *FEATURES], key)
+    return rank_complete(feature_blocks(panel, key), [key.order, key.entity, "level", "reach", *FEATURES], key)
 
 
 def numbered_training(ranked: DataFrame, key: SeriesKey) -> DataFrame:
@@ -72,37 +70,17 @@ def in_passes(horizons: Sequence[int]) -> list[list[int]]:
 
 
 def features_and_sums(
-    panel: DataFrame, horizons: Sequence[int], longest: int, key: SeriesKey
+    panel: DataFrame, horizons: Sequence[int], key: SeriesKey = SeriesKey()
 ) -> tuple[DataFrame, DataFrame]:
     """The staged feature table, and per horizon the cross-products of its complete rows.
 
-    If every series fits in a block, one shuffle of the narrow panel does for
-    features and growth targets alike, and the sums are made where the rows are.
-    With few horizons the table holds the targets too; with many, each pass makes
-    them from the panel anew, as that is narrower than the table. Series that are
-    longer are cut, and their complete rows are numbered and shuffled again.
+    Features are made once. A pass over the numbered complete rows adds the growth targets
+    of some horizons and sums; with more horizons there are more passes.
     """
-    fits = longest <= key.block_rows
-    passes = in_passes(horizons)
-    ranked = ranked_features(panel, key, fits)
-    is_complete = f"{TRAIN_RANK} IS NOT NULL"
-    if fits and len(passes) == 1:
-        table = stage(growth_in_whole_series(ranked, passes[0], key), "features")
-        return table, cross_products(table.where(is_complete), passes[0], FEATURES)
-
-    table = stage(ranked, "features")
-    numbered = None if fits else numbered_training(table, key)
-
-    def sums_for(some: Sequence[int]) -> DataFrame:
-        if fits:
-            rows = growth_in_whole_series(ranked, some, key).where(is_complete)
-        else:
-            rows = growth_of_numbered(numbered, some, key)
-        return cross_products(rows, some, FEATURES)
-
-    if len(passes) == 1:
-        return table, sums_for(passes[0])
-    return table, union_all([stage(sums_for(some), "pass") for some in passes])
+    table = stage(ranked_features(panel, key), "features")
+    numbered = numbered_training(table, key)
+    sums = [cross_products(growth_of_numbered(numbered, some, key), some, FEATURES) for some in in_passes(horizons)]
+    return table, sums[0] if len(sums) == 1 else union_all([stage(some, "pass") for some in sums])
 
 
 def forecast_panel(
@@ -110,19 +88,20 @@ def forecast_panel(
 ) -> Forecast:
     """Forecast the level of each entity at the end of the month that holds `as_of`.
 
-    `panel` should be a table or cheap to compute: it is read twice. The feature
-    table, the training sums and the latest rows are staged, because several jobs
-    read them. Only the distinct horizons come to the driver, at most one per day
-    of the calendar range. With as many rows, the models are safe to broadcast.
+    Rows without an entity or a day are in no series and left out. `panel` should be
+    a table or cheap to compute: it is read twice. The feature table, the training sums
+    and the latest rows are staged, because several jobs read them. Only the distinct
+    horizons and a model for each come to the driver, at most one per day of the
+    calendar range.
     """
+    panel = complete_cases(panel, [key.entity, key.order])
     day = as_of_day(as_of)
     horizon = horizon_days(F.col(key.order), day)
-    spans = panel.groupBy(key.entity).agg(F.max(key.order).alias(key.order), F.count("*").alias("n"))
-    shapes = spans.groupBy(horizon.alias("horizon")).agg(F.max("n").alias("n")).collect()
-    if not shapes:
+    ends = panel.groupBy(key.entity).agg(F.max(key.order).alias(key.order))
+    horizons = [row.horizon for row in ends.select(horizon.alias("horizon")).distinct().collect()]
+    if not horizons:
         raise ValueError("the panel has no rows")
-    horizons = sorted(shape.horizon for shape in shapes)
-    table, sums = features_and_sums(panel, horizons, max(shape.n for shape in shapes), key)
+    table, sums = features_and_sums(panel, horizons, key)
     sums = stage(sums, "sums")
     models = solve_models(sums, FEATURES)
     latest = latest_rows(table, ["level", "reach", *FEATURES], key.entity, key.order)

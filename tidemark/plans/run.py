@@ -7,15 +7,12 @@ from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators.frames import tracked_entities
-from tidemark.operators.merge import require_unique
 from tidemark.operators.series import SeriesKey
 from tidemark.plans.forecast import Forecast, forecast
 from tidemark.plans.panel import Rules
 from tidemark.plans.staging import stage
 from tidemark.settings import ANOMALY_RULES, ENTITIES, START_DATE
 from tidemark.sinks.tables import append_history, write_snapshot
-from tidemark.sources.entities import entity_table
 from tidemark.sources.history import read_history
 from tidemark.sources.sheet import read_sheet
 
@@ -23,16 +20,12 @@ from tidemark.sources.sheet import read_sheet
 def load(
     spark: SparkSession, history_path: str, sheet_path: str, entities: Collection[str], first_day: str
 ) -> tuple[DataFrame, DataFrame]:
-    """The two source panels, checked for repeated days.
+    """The two source panels of the tracked entities, whose other folders are not read.
 
-    History is staged, so that its JSON is parsed once for all that read it.
+    That a day occurs once for an entity in each of them is checked where they are merged.
     """
-    names = entity_table(spark, dict.fromkeys(entities, ""))
-    history = stage(tracked_entities(read_history(spark, history_path, first_day), names), "history")
-    sheet = read_sheet(spark, sheet_path, list(entities))
-    require_unique(history, "history")
-    require_unique(sheet, "sheet")
-    return history, sheet
+    history = read_history(spark, history_path, first_day, entities=entities)
+    return history, read_sheet(spark, sheet_path, list(entities))
 
 
 def run(
@@ -42,7 +35,7 @@ def run(
     snapshot_path: str,
     runs_path: str,
     as_of: date | str | None = None,
-    entities: Collection[str] = tuple(ENTITIES),
+    entities: Collection[str] = ENTITIES,
     rules: Rules = ANOMALY_RULES,
     first_day: str = START_DATE,
     run_at: datetime | None = None,

@@ -28,8 +28,20 @@ def staging_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+_written: list[str] = []
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove all tables that this process has staged, once the results that read them are written."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

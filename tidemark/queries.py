@@ -24,6 +24,7 @@ from tidemark.operators.frames import (
     panel_sort,
     positive_rows,
     rename_columns,
+    rule_table,
     start_from,
     tracked_entities,
     union_all,
@@ -43,6 +44,7 @@ from tidemark.operators.windows import (
 )
 from tidemark.plans.forecast import Forecast, as_of_day, forecast
 from tidemark.plans.panel import build_panel, clean_history
+from tidemark.plans.run import run
 from tidemark.plans.staging import new_table_path, stage
 from tidemark.settings import FEATURES, LAGS, MEAN_PAIRS, lag_feature, ratio_feature
 from tidemark.sinks.tables import (
@@ -52,8 +54,8 @@ from tidemark.sinks.tables import (
     read_snapshot,
     write_snapshot,
 )
-from tidemark.sources.history import parse_history
-from tidemark.sources.sheet import melt_sheet, pick_columns
+from tidemark.sources.history import parse_history, read_history
+from tidemark.sources.sheet import melt_sheet, pick_columns, read_sheet
 from tidemark.sources.tables import (
     AS_OF,
     PRIORITIES,
@@ -68,6 +70,7 @@ from tidemark.sources.tables import (
 Query = Callable[[SparkSession, str], DataFrame]
 
 FIRST_DAY = "2000-06-01"
+NO_BOUND = "0001-01-01"
 RUN_AT = "2001-11-05 14:30:00"
 SECOND_RUN_AT = "2001-11-06 05:45:10"
 SECOND_AS_OF = "2001-12-06"
@@ -107,8 +110,8 @@ def json_field_extract(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", fields["k"].alias("k"))
 
 
-def json_history_explode(spark: SparkSession, sf: str) -> DataFrame:
-    """Histories packed into one document per entity and year, then read back."""
+def history_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Histories packed into one JSON document per entity and year."""
     day = F.struct(
         format_day(F.col("date")).alias("date"),
         F.col("level").alias("monthly_listeners_current"),
@@ -120,10 +123,56 @@ def json_history_explode(spark: SparkSession, sf: str) -> DataFrame:
         F.collect_list(day).alias("history")
     )
     data = F.struct(F.col("history")).alias("data")
-    documents = packed.select(
-        "entity", F.to_json(F.struct(F.array(F.struct(data)).alias("stats"))).alias("document")
+    document = F.to_json(F.struct(F.array(F.struct(data)).alias("stats")))
+    return packed.select("entity", "year", document.alias("document"))
+
+
+def json_history_explode(spark: SparkSession, sf: str) -> DataFrame:
+    """Histories from documents held as text."""
+    return parse_history(history_documents(spark, sf), "document")
+
+
+def land_history(spark: SparkSession, sf: str) -> str:
+    """Write the documents as files, one each, under a folder per entity."""
+    path = new_table_path(spark, "landed-history")
+    files = history_documents(spark, sf).repartition("entity", "year")
+    files.write.partitionBy("entity", "year").text(path)
+    return path
+
+
+def land_sheet(spark: SparkSession, sf: str, staggered: bool = False) -> str:
+    """Write the wide sheet as CSV files, each with a header."""
+    path = new_table_path(spark, "landed-sheet")
+    wide_sheet(spark, sf, staggered).write.option("header", True).csv(path)
+    return path
+
+
+def json_history_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Histories from landed JSON files."""
+    return read_history(spark, land_history(spark, sf), NO_BOUND)
+
+
+def sheet_csv_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel from landed CSV files."""
+    return read_sheet(spark, land_sheet(spark, sf), PRIORITIES)
+
+
+def run_month_end(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole job, from landed files to the snapshot table."""
+    snapshot = new_table_path(spark, "snapshot")
+    run(
+        spark,
+        history_path=land_history(spark, sf),
+        sheet_path=land_sheet(spark, sf, staggered=True),
+        snapshot_path=snapshot,
+        runs_path=new_table_path(spark, "runs"),
+        as_of=AS_OF,
+        entities=PRIORITIES,
+        rules=RULES,
+        first_day=NO_BOUND,
+        run_at=RUN_AT,
     )
-    return parse_history(documents, "document")
+    return rounded_forecast(read_snapshot(spark, snapshot))
 
 
 def sheet_melt(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,16 +182,12 @@ def sheet_melt(spark: SparkSession, sf: str) -> DataFrame:
 def sheet_header_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """A grid with an unknown and a repeated column; the first of each wanted name is kept."""
     wide = wide_sheet(spark, sf)
-    first, second = PRIORITIES[:2]
-    grid = wide.select(
-        F.col("Date").alias("_c0"),
-        F.lit("x").alias("_c1"),
-        F.col(f"`{first}`").alias("_c2"),
-        F.col(f"`{second}`").alias("_c3"),
-        F.lit("0").alias("_c4"),
-    )
-    picked = pick_columns(grid, ["Date", "unknown", first, second, first], [first, second])
-    return picked.select(F.col("Date").alias("day"), F.col(f"`{first}`").alias("a"), F.col(f"`{second}`").alias("b"))
+    header = ["Date", "unknown", *PRIORITIES, PRIORITIES[0]]
+    cells = [F.col("Date"), F.lit("x"), *(F.col(f"`{p}`") for p in PRIORITIES), F.lit("0")]
+    grid = wide.select([cell.alias(f"_c{i}") for i, cell in enumerate(cells)])
+    picked = pick_columns(grid, header, PRIORITIES)
+    named = [F.col(f"`{p}`").alias(f"sheet_{i}") for i, p in enumerate(PRIORITIES, 1)]
+    return picked.select(F.col("Date").alias("day"), *named)
 
 
 def entity_semi_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,10 +258,7 @@ def anomaly_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 def anomaly_mask_table(spark: SparkSession, sf: str) -> DataFrame:
     """The same with the rules as a table."""
-    rules = spark.createDataFrame(list(RULES), "entity string, a string, b string").select(
-        "entity", F.to_date("a").alias("date_from"), F.to_date("b").alias("date_to")
-    )
-    return mask_anomalies(orders_history(spark, sf), rules)
+    return mask_anomalies(orders_history(spark, sf), rule_table(spark, RULES))
 
 
 def month_ends(spark: SparkSession, sf: str) -> DataFrame:
@@ -282,7 +324,7 @@ def complete_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def union_same(spark: SparkSession, sf: str) -> DataFrame:
     days = orders_history(spark, sf)
-    return union_all([days.where(F.col("entity") == name) for name in PRIORITIES[:3]])
+    return union_all([days.where(F.col("entity") == name) for name in PRIORITIES])
 
 
 def union_by_name(spark: SparkSession, sf: str) -> DataFrame:
@@ -376,7 +418,9 @@ def forecast_month_end(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "json_field_extract": json_field_extract,
     "json_history_explode": json_history_explode,
+    "json_history_files": json_history_files,
     "sheet_melt": sheet_melt,
+    "sheet_csv_files": sheet_csv_files,
     "sheet_header_dedup": sheet_header_dedup,
     "entity_semi_join": entity_semi_join,
     "start_date_filter": start_date_filter,
@@ -414,4 +458,5 @@ QUERIES: dict[str, Query] = {
     "ols_gram": ols_gram,
     "ols_coefficients": ols_coefficients,
     "forecast_month_end": forecast_month_end,
+    "run_month_end": run_month_end,
 }

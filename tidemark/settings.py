@@ -7,11 +7,7 @@ LAGS = (7, 14, 21, 28, 56, 168)
 MEAN_PAIRS = ((1, 7), (7, 28), (28, 84), (28, 168))
 START_DATE = "2020-06-01"
 ZONE = "America/Chicago"
-ENTITIES = {
-    "Bad Bunny": "xmcd3klh",
-    "Bruno Mars": "2j0zuon6",
-    "The Weeknd": "93b216mv",
-}
+ENTITIES = ("Bad Bunny", "Bruno Mars", "The Weeknd")
 ANOMALY_RULES = (
     ("Bruno Mars", "2026-02-15", "2026-02-16"),
     ("Bad Bunny", "2021-02-16", "2021-02-16"),
@@ -35,3 +31,5 @@ def ratio_feature(short: int, long: int, column: str = "level") -> str:
 
 
 FEATURES = tuple(ratio_feature(s, l) for s, l in MEAN_PAIRS) + tuple(lag_feature(n) for n in LAGS)
+# Where features lie: ratios around one, changes around zero.
+CENTRES = {ratio_feature(s, l): 1.0 for s, l in MEAN_PAIRS}

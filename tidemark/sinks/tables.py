@@ -29,14 +29,20 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_history(scored: DataFrame, path: str, run_at: datetime | str) -> None:
-    """Add this run's forecast to the table at `path`, one partition per day of run."""
-    rows = stamped(scored, run_at).withColumn("run_date", F.to_date("run_at"))
-    rows.write.mode("append").partitionBy("run_date").parquet(path)
+    """Add this run's forecast to the table at `path`, one partition per run.
+
+    A run that is retried at the same `run_at` replaces its own rows.
+    """
+    rows = stamped(scored, run_at).withColumns(
+        {"run_date": F.to_date("run_at"), "run": F.date_format("run_at", "'at' HH-mm-ss.SSSSSS")}
+    )
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_date", "run").parquet(path)
 
 
 def read_run_history(spark: SparkSession, path: str) -> DataFrame:
     """All runs, the newest first, each in order of entity."""
-    return spark.read.parquet(path).drop("run_date").orderBy(F.desc("run_at"), "entity")
+    return spark.read.parquet(path).drop("run_date", "run").orderBy(F.desc("run_at"), "entity")
 
 
 def presented(rows: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +52,20 @@ def melt_sheet(
 def read_sheet(
     spark: SparkSession, path: str, entities: Collection[str], strict: bool = True
 ) -> DataFrame:
-    """Panel from a CSV sheet. Header names may repeat or be unknown; cells are text."""
-    header = list(spark.read.option("header", False).csv(path).first())
-    positions = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
-    grid = spark.read.schema(positions).option("header", True).option("enforceSchema", True).csv(path)
-    return melt_sheet(pick_columns(grid, header, entities), entities, strict)
+    """Panel from a CSV sheet. Header names may repeat or be unknown; cells are text.
+
+    A sheet may be a folder of files. Each has a header, and those have to agree on where
+    the date and the entities are. A row with more or fewer cells than the header is an
+    error, as its cells may stand in the wrong columns.
+    """
+    first = spark.read.option("header", False).csv(path).first()
+    if first is None:
+        raise ValueError(f"sheet is empty: {path}")
+    positions = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(first))])
+    # All cells are parsed, so that rows of another length are found.
+    grid = spark.read.schema(positions).options(header=False, mode="FAILFAST", columnPruning=False).csv(path)
+    wide = pick_columns(grid, list(first), entities)
+    agrees = reduce(and_, [F.col(f"`{name}`") == name for name in wide.columns])
+    differs = F.raise_error(F.lit("sheet files have different headers")).cast("boolean")
+    is_row = F.when(F.col(DATE_COLUMN) == DATE_COLUMN, F.when(agrees, False).otherwise(differs)).otherwise(True)
+    return melt_sheet(wide.where(is_row), entities, strict)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import thousands
 
 AS_OF = "2001-11-05"
-SHEET_START = "2001-01-01"
 SHEET_END = "2001-11-04"
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 # Days on which reach is taken to be wrong: leading, interior, overlapping, trailing.
@@ -47,7 +46,7 @@ def orders_history(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lineitem_sheet(spark: SparkSession, folder: str, staggered: bool = False) -> DataFrame:
-    """Daily shipped value per order priority from SHEET_START on.
+    """Daily shipped value per order priority.
 
     With `staggered` the series end on different days (three days apart), so that
     there are several horizons.
@@ -56,7 +55,6 @@ def lineitem_sheet(spark: SparkSession, folder: str, staggered: bool = False) ->
     shipped = table(spark, folder, "lineitem").select(
         "l_orderkey", F.col("l_shipdate").cast("date").alias("date"), cents("l_extendedprice").alias("cents")
     )
-    shipped = shipped.where(F.col("date") >= F.lit(SHEET_START).cast("date"))
     rows = shipped.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if staggered:
         early = (F.substring("entity", 1, 1).cast("int") - 1) * 3
@@ -65,9 +63,14 @@ def lineitem_sheet(spark: SparkSession, folder: str, staggered: bool = False) ->
     return daily.select("date", "entity", F.floor(F.col("cents") / 100).alias("level"))
 
 
-def wide_sheet(spark: SparkSession, folder: str) -> DataFrame:
-    """The sheet as people keep it: US dates, one text column per priority, grouped digits."""
-    long = lineitem_sheet(spark, folder)
+def wide_sheet(spark: SparkSession, folder: str, staggered: bool = False) -> DataFrame:
+    """The sheet as people keep it: US dates, one text column per priority, grouped digits.
+
+    A priority that PRIORITIES does not name is an error, as it would have no column.
+    """
+    known = F.when(F.col("entity").isin(list(PRIORITIES)), F.col("entity"))
+    unknown = F.raise_error(F.concat_ws(" ", F.lit("no column for"), F.col("entity")))
+    long = lineitem_sheet(spark, folder, staggered).withColumn("entity", F.coalesce(known, unknown))
     wide = long.groupBy("date").pivot("entity", list(PRIORITIES)).agg(F.max("level"))
     cells = [F.coalesce(thousands(F.col(f"`{p}`"), whole=True), F.lit("")).alias(p) for p in PRIORITIES]
     return wide.select(F.date_format("date", "M/d/yyyy").alias("Date"), *cells)
