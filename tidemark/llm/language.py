@@ -84,16 +84,14 @@ def learn_profiles(docs: DataFrame) -> dict[str, list[int]]:
     `docs` has doc_id, lang and text. Rows that are held out, or lack an id, a text or a
     language, are not learned from.
     """
-    known = docs.where(
-        ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()
-    )
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     share = F.least(F.lit(1.0), F.lit(SAMPLE_DOCUMENTS) / F.col("n"))
     modulus = 1 << 30
     sample = known.join(sizes.select("lang", share.alias("share")), "lang").where(
         F.pmod(F.xxhash64("doc_id"), F.lit(modulus)) < F.col("share") * modulus
     )
-    counts = sample.select("lang", "text").mapInArrow(_count_sample, "lang string, gram long, n long")
+    counts = sample.where(F.col("text").isNotNull()).select("lang", "text").mapInArrow(_count_sample, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PROFILE_GRAMS)
@@ -135,10 +133,10 @@ def _with_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
         F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).cast("string").alias("text"),
     )
-    table = docs.sparkSession.sparkContext.broadcast(Ranks(learn_profiles(narrow)))
+    shared = docs.sparkSession.sparkContext.broadcast(learn_profiles(narrow))
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = table.value
+        ranks = Ranks(shared.value)
         for batch in batches:
             rows = batch.column(0)
             found = [ranks.closest(text.as_py()) for text in rows.field(text_col).cast(pa.string())]

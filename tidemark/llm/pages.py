@@ -167,37 +167,41 @@ def _made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _training_blocks((made_page(seed.as_py()) for seed in batch.column(0)), made=True)
 
 
-class Trees:
-    """A fitted ensemble as arrays, evaluated for many rows at once."""
-
-    def __init__(self, rows: list, weights: list[float]):
-        ensemble: dict[int, list] = {}
-        for row in rows:
-            ensemble.setdefault(row["treeID"], []).append(row["nodeData"])
-        self.trees = []
-        for tree, weight in zip((ensemble[k] for k in sorted(ensemble)), weights):
-            nodes = sorted(tree, key=lambda n: n["id"])
-            leaf = np.array([n["leftChild"] < 0 for n in nodes])
-            own = np.arange(len(nodes))
-            feature = np.where(leaf, 0, [n["split"]["featureIndex"] for n in nodes])
-            limit = np.array([(n["split"]["leftCategoriesOrThreshold"] or [0.0])[0] for n in nodes])
-            left = np.where(leaf, own, [n["leftChild"] for n in nodes])
-            right = np.where(leaf, own, [n["rightChild"] for n in nodes])
-            value = weight * np.array([n["prediction"] for n in nodes])
-            self.trees.append((feature, limit, left, right, value))
-
-    def chances(self, table: np.ndarray) -> np.ndarray:
-        """The probability of each row."""
-        margin, rows = np.zeros(len(table)), np.arange(len(table))
-        for feature, limit, left, right, value in self.trees:
-            at = np.zeros(len(table), np.int64)
-            for _ in range(DEPTH):
-                at = np.where(table[rows, feature[at]] <= limit[at], left[at], right[at])
-            margin += value[at]
-        return 1 / (1 + np.exp(-2 * margin))
-
-
-def fit_trees(spark: SparkSession, pages: DataFrame, sample_pages: int = SAMPLE_PAGES, made_pages: int = MADE_PAGES) -> Trees:
+#: Of each node of a tree: the feature it splits by, the limit, left and right child (a
+#: leaf has itself) and the weighted value.
+Tree = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def as_arrays(rows: list, weights: list[float]) -> list[Tree]:
+    """A fitted ensemble, given by the rows of its saved form, for use on many rows at once."""
+    ensemble: dict[int, list] = {}
+    for row in rows:
+        ensemble.setdefault(row["treeID"], []).append(row["nodeData"])
+    trees = []
+    for tree, weight in zip((ensemble[k] for k in sorted(ensemble)), weights):
+        nodes = sorted(tree, key=lambda n: n["id"])
+        leaf = np.array([n["leftChild"] < 0 for n in nodes])
+        own = np.arange(len(nodes))
+        feature = np.where(leaf, 0, [n["split"]["featureIndex"] for n in nodes])
+        limit = np.array([(n["split"]["leftCategoriesOrThreshold"] or [0.0])[0] for n in nodes])
+        left = np.where(leaf, own, [n["leftChild"] for n in nodes])
+        right = np.where(leaf, own, [n["rightChild"] for n in nodes])
+        trees.append((feature, limit, left, right, weight * np.array([n["prediction"] for n in nodes])))
+    return trees
+
+
+def probabilities(trees: list[Tree], table: np.ndarray) -> np.ndarray:
+    """The probability of each row."""
+    margin, rows = np.zeros(len(table)), np.arange(len(table))
+    for feature, limit, left, right, value in trees:
+        at = np.zeros(len(table), np.int64)
+        for _ in range(DEPTH):
+            at = np.where(table[rows, feature[at]] <= limit[at], left[at], right[at])
+        margin += value[at]
+    return 1 / (1 + np.exp(-2 * margin))
+
+
+def fit_trees(spark: SparkSession, pages: DataFrame, sample_pages: int = SAMPLE_PAGES, made_pages: int = MADE_PAGES) -> list[Tree]:
     """Trees trained on a sample of `pages` (page_id, html) and on made pages."""
     modulus = 1 << 30
     share = min(1.0, sample_pages / max(1, pages.count()))
@@ -211,7 +215,7 @@ def fit_trees(spark: SparkSession, pages: DataFrame, sample_pages: int = SAMPLE_
     # The saved form is the one that has the nodes as a table.
     path = new_table_path(spark, "trees")
     model.write().save(path)
-    return Trees(spark.read.parquet(f"{path}/data").collect(), model.treeWeights)
+    return as_arrays([row.asDict(True) for row in spark.read.parquet(f"{path}/data").collect()], model.treeWeights)
 
 
 def extract_main_text(
@@ -234,7 +238,8 @@ def extract_main_text(
         trees = shared.value
 
         def texts(parsed: list[list[Node]]) -> list[str]:
-            chances = trees.chances(np.concatenate([features(nodes) for nodes in parsed]).astype(np.float64))
+            table = np.concatenate([features(nodes) for nodes in parsed]).astype(np.float64)
+            chances = probabilities(trees, table)
             ends = np.cumsum([len(nodes) for nodes in parsed])
             return [decode(nodes, part) for nodes, part in zip(parsed, np.split(chances, ends))]
 
