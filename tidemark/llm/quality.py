@@ -26,8 +26,8 @@ SAMPLE_DOCUMENTS = 400
 LEAST_JUDGED_CHARS = 150
 LEAST_JUDGED_WORDS = 30
 #: A histogram is too far beyond limit + chance / sqrt(its size). Short texts are far by chance.
-CHAR_LIMIT, CHAR_CHANCE = 0.22, 1.5
-WORD_LIMIT, WORD_CHANCE = 0.17, 1.2
+CHAR_LIMIT, CHAR_CHANCE = 0.22, 1.7
+WORD_LIMIT, WORD_CHANCE = 0.20, 1.2
 
 
 def _lower(word: Column) -> Column:
