@@ -15,17 +15,20 @@ def plain_words(text):
 
 
 def plain(docs, items):
+    windows = {}
+    for item, item_text in items:
+        parts = plain_words(item_text)
+        size = min(13, len(parts))
+        for i in range(len(parts) - size + 1 if parts else 0):
+            windows.setdefault(tuple(parts[i : i + size]), set()).add(item)
     out = []
     for doc, text in docs:
         words, hit, ids = plain_words(text), set(), set()
-        for item, item_text in items:
-            parts = plain_words(item_text)
-            size = min(13, len(parts))
-            for i in range(len(parts) - size + 1 if parts else 0):
-                for j in range(len(words) - size + 1):
-                    if words[j : j + size] == parts[i : i + size]:
-                        hit |= set(range(j, j + size))
-                        ids |= {str(item)} if item is not None else set()
+        for size in {len(w) for w in windows}:
+            for j in range(len(words) - size + 1):
+                if (window := tuple(words[j : j + size])) in windows:
+                    hit |= set(range(j, j + size))
+                    ids |= {str(item) for item in windows[window] if item is not None}
         out.append((doc, len(words), len(hit), sorted(ids), bool(hit) and 20 * len(hit) >= len(words)))
     return sorted(out, key=repr)
 
