@@ -37,7 +37,7 @@ def plain(rows, keep_first=False):
 
 def found(spark, rows, **options):
     df = spark.createDataFrame(rows, COLUMNS).withColumns(
-        {c: F.lit("x") for c in ("key", "anchor", "first", "size", "n", "kept", "ranges", "n_bytes")}
+        {c: F.lit("x") for c in ("key", "anchor", "first", "size", "lead", "n", "kept", "ranges", "n_bytes")}
     )
     out = remove_repeats(df, **options).drop("kept").collect()
     return sorted(map(tuple, out), key=repr)

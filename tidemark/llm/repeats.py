@@ -32,9 +32,9 @@ ANCHOR = 200
 WIDTH = LENGTH - ANCHOR + 1
 #: Starts that are hashed at a time.
 CHUNK = 1 << 17
-#: Different pieces of an anchor that one task sorts. Suffixes of an anchor with more are
-#: dealt out by the hash of their 400 bytes and counted.
-SORTED_PIECES = 256
+#: Different pieces of an anchor that one task sorts, with at most 599 bytes each. Suffixes
+#: of an anchor with more are dealt out by the hash of their 400 bytes and counted.
+SORTED_PIECES = 1 << 15
 
 BASE = 0x9E3779B97F4A7C15
 POWERS = np.full(CHUNK + LENGTH, BASE, np.uint64)
@@ -45,7 +45,7 @@ INVERSES[0] = 1
 INVERSES = np.cumprod(INVERSES)
 
 ROW = ["doc_id", "key", "key2"]
-PIECE = ["anchor", "piece", "n", "at", "peers", "body"]
+PIECE = ["anchor", "piece", "n", "at", "peers", "lead", "body"]
 
 
 def anchor_hashes(data: np.ndarray) -> np.ndarray:
@@ -71,11 +71,12 @@ def least_places(hashes: np.ndarray) -> np.ndarray:
     return places
 
 
-def anchors(text: bytes) -> list[tuple[int, int, int, int]]:
-    """(anchor, piece, first, size) for each run of starts with one anchor.
+def anchors(text: bytes) -> list[tuple[int, int, int, int, int]]:
+    """(anchor, piece, first, size, lead) for each run of starts with one anchor.
 
     `anchor` and `piece` are hashes, of the anchor's bytes and of all that the starts
-    cover; `first` is the first start and `size` their number.
+    cover; `first` is the first start, `size` their number and `lead` the bytes from the
+    first start to the anchor.
     """
     data = np.frombuffer(text, np.uint8)
     runs: list[list[int]] = []
@@ -96,18 +97,20 @@ def anchors(text: bytes) -> list[tuple[int, int, int, int]]:
                 runs.append([place, anchor, first, size])
     signed_hash = lambda b: xxhash.xxh3_64_intdigest(b) - 2**63
     return [
-        (anchor, signed_hash(text[first : first + size + LENGTH - 1]), first, size) for _, anchor, first, size in runs
+        (anchor, signed_hash(text[first : first + size + LENGTH - 1]), first, size, place - first)
+        for place, anchor, first, size in runs
     ]
 
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("piece", pa.int64()), ("first", pa.int32()), ("size", pa.int32())]))
+    names = ("anchor", "piece", "first", "size", "lead")
+    kind = pa.list_(pa.struct(list(zip(names, [pa.int64()] * 2 + [pa.int32()] * 3))))
     for batch in batches:
         texts = batch.column(5).cast(pa.binary())
         found = []
         for text in texts:
             rows = anchors(text.as_py())
-            found.append([dict(zip(("anchor", "piece", "first", "size"), r)) for r in rows])
+            found.append([dict(zip(names, r)) for r in rows])
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:5], pa.array(found, kind)], [*ROW, "n_bytes", "kept_sha256", "anchors"]
         )
@@ -121,38 +124,44 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             body = text.as_py()
             for p in pieces.as_py():
                 stop = p["first"] + p["size"] + LENGTH - 1
-                out.append((p["anchor"], p["piece"], p["n"], p["at"], p["peers"], body[p["first"] : stop]))
+                out.append((p["anchor"], p["piece"], p["n"], p["at"], p["peers"], p["lead"], body[p["first"] : stop]))
         columns = list(zip(*out)) if out else [()] * len(PIECE)
         place = batch.schema.field(1).type.value_type.field("at").type
-        kinds = [pa.int64(), pa.int64(), pa.int64(), place, pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), place, pa.int64(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], PIECE)
 
 
-def repeated_starts(bodies: list[bytes], often: list[bool], earlier_only: bool) -> list[list[tuple[int, int]]]:
+def repeated_starts(
+    bodies: list[bytes], leads: list[int], often: list[bool], earlier_only: bool
+) -> list[list[tuple[int, int]]]:
     """Runs (first, size) of starts, for each of an anchor's pieces, that are repeated.
 
-    `bodies` are in order of position. Suffixes are sorted by their first LENGTH bytes.
-    A piece that occurs more than once has all of its starts elsewhere too; only the
-    others, and with `earlier_only` all, are looked up in the order.
+    `bodies` are in order of position. Suffixes that are equally far ahead of the anchor
+    are sorted by their first LENGTH bytes; others differ in them. A piece that occurs
+    more than once has all of its starts elsewhere too; only the others, and with
+    `earlier_only` all, are looked up in the order.
     """
-    suffixes = [(body[s : s + LENGTH], i, s) for i, body in enumerate(bodies) for s in range(len(body) - LENGTH + 1)]
-    suffixes.sort()
     marked: list[list[int]] = [[] for _ in bodies]
-    begin = 0
-    for end in range(1, len(suffixes) + 1):
-        if end < len(suffixes) and suffixes[end][0] == suffixes[begin][0]:
-            continue
-        # In a run positions ascend: the first has no smaller one beside it.
-        run = suffixes[begin:end]
-        for _, i, s in run[1:] if earlier_only else run if len(run) > 1 else ():
-            marked[i].append(s)
-        begin = end
+    for ahead in range(max(leads), min(lead - len(body) + LENGTH - 1 for lead, body in zip(leads, bodies)), -1):
+        suffixes = [
+            (body[s : s + LENGTH], i)
+            for i, (body, s) in enumerate(zip(bodies, (lead - ahead for lead in leads)))
+            if 0 <= s <= len(body) - LENGTH
+        ]
+        suffixes.sort()
+        begin = 0
+        for end in range(1, len(suffixes) + 1):
+            if end < len(suffixes) and suffixes[end][0] == suffixes[begin][0]:
+                continue
+            # In a run positions ascend: the first has no smaller one beside it.
+            for _, i in suffixes[begin + 1 : end] if earlier_only else suffixes[begin:end] if end - begin > 1 else ():
+                marked[i].append(leads[i] - ahead)
+            begin = end
     out = []
     for body, starts, repeated in zip(bodies, marked, often):
         if repeated and not earlier_only:
             out.append([(0, len(body) - LENGTH + 1)])
             continue
-        starts.sort()
         runs: list[list[int]] = []
         for s in starts:
             if runs and sum(runs[-1]) == s:
@@ -174,7 +183,9 @@ def _sorted_pieces(pieces: DataFrame, earlier_only: bool) -> DataFrame:
             out = []
             for anchor, members in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = members.as_py()
-                runs = repeated_starts([r["body"] for r in rows], [r["n"] > 1 for r in rows], earlier_only)
+                runs = repeated_starts(
+                    [r["body"] for r in rows], [r["lead"] for r in rows], [r["n"] > 1 for r in rows], earlier_only
+                )
                 out += [(anchor, r["piece"], start, count) for r, own in zip(rows, runs) for start, count in own]
             columns = list(zip(*out)) if out else [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -182,8 +193,8 @@ def _sorted_pieces(pieces: DataFrame, earlier_only: bool) -> DataFrame:
                 [pa.array(c, k) for c, k in zip(columns, kinds)], ["anchor", "piece", "start", "count"]
             )
 
-    members = F.sort_array(F.collect_list(F.struct("at", "piece", "n", "body")))
-    members = F.transform(members, lambda m: F.struct(m["piece"].alias("piece"), m["n"].alias("n"), m["body"].alias("body")))
+    members = F.sort_array(F.collect_list(F.struct("at", "piece", "n", "lead", "body")))
+    members = F.transform(members, lambda m: F.struct(*(m[c].alias(c) for c in ("piece", "n", "lead", "body"))))
     return pieces.groupBy("anchor").agg(members.alias("members")).mapInArrow(find, FOUND)
 
 
@@ -276,12 +287,13 @@ def repeated_ranges(docs: DataFrame, scanned: DataFrame, keep_first: bool) -> tu
     kinds = every.groupBy("anchor").agg(
         F.count("*").alias("n"), (F.min("piece") != F.max("piece")).alias("differ")
     )
-    met = every.join(kinds.where(F.col("n") > 1).select("anchor", "differ"), "anchor")
-    met = stage(met, "anchors")
+    # Written first, so that the join is one of tables, whose partitions Spark can split.
+    kinds = stage(kinds.where(F.col("n") > 1).select("anchor", "differ"), "kinds")
+    met = stage(every.join(kinds, "anchor"), "anchors")
     place = F.struct("doc_id", "key", "key2", "first")
 
     copies = met.groupBy("anchor", "piece", "differ").agg(
-        F.count("*").alias("n"), F.min(place).alias("at"), F.first("size").alias("size")
+        F.count("*").alias("n"), F.min(place).alias("at"), F.first("size").alias("size"), F.first("lead").alias("lead")
     )
     occurring = met
     if keep_first:
@@ -293,9 +305,10 @@ def repeated_ranges(docs: DataFrame, scanned: DataFrame, keep_first: bool) -> tu
     texts = docs.alias("d").join(met.select(*ROW).distinct().alias("w"), _same_row("d", "w"), "left_semi")
     texts = stage(texts.select("d.*"), "texts")
 
-    wanted = copies.where("differ")
-    wanted = wanted.join(wanted.groupBy("anchor").agg(F.count("*").alias("peers")), "anchor")
-    part = F.struct("anchor", "piece", "n", "at", "peers", F.col("at.first").alias("first"), "size")
+    wanted = stage(copies.where("differ"), "copies")
+    peers = stage(wanted.groupBy("anchor").agg(F.count("*").alias("peers")), "peers")
+    wanted = wanted.join(peers, "anchor")
+    part = F.struct("anchor", "piece", "n", "at", "peers", F.col("at.first").alias("first"), "size", "lead")
     cuts = wanted.groupBy(F.col("at.key").alias("key"), F.col("at.key2").alias("key2")).agg(
         F.collect_list(part).alias("pieces")
     )
@@ -303,7 +316,7 @@ def repeated_ranges(docs: DataFrame, scanned: DataFrame, keep_first: bool) -> tu
     at = wanted.schema["at"].dataType.simpleString()
     pieces = one_each.join(cuts, ["key", "key2"]).select("text", "pieces")
     pieces = stage(
-        pieces.mapInArrow(_cut, f"anchor long, piece long, n long, at {at}, peers long, body binary"), "pieces"
+        pieces.mapInArrow(_cut, f"anchor long, piece long, n long, at {at}, peers long, lead int, body binary"), "pieces"
     )
     few = F.col("peers") <= SORTED_PIECES
     found = _sorted_pieces(pieces.where(few), keep_first).unionByName(
@@ -342,7 +355,7 @@ def remove_repeats(
     ).mapInArrow(
         _scan,
         "doc_id long, key long, key2 long, n_bytes long, kept_sha256 string, "
-        "anchors array<struct<anchor:long,piece:long,first:int,size:int>>",
+        "anchors array<struct<anchor:long,piece:long,first:int,size:int,lead:int>>",
     )
     scanned = stage(scanned, "scanned")
     ranges, texts = repeated_ranges(keyed, scanned, keep_first)
