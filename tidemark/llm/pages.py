@@ -209,7 +209,7 @@ def fit_trees(spark: SparkSession, pages: DataFrame, sample_pages: int = SAMPLE_
     schema = "label double, measures array<double>"
     given = chosen.select("html").mapInArrow(_given, schema)
     made = spark.range(0, made_pages, 1, TRAINING_PARTITIONS).mapInArrow(_made, schema)
-    blocks = stage(given.unionByName(made).coalesce(2 * TRAINING_PARTITIONS), "blocks")
+    blocks = stage(given.unionByName(made).repartition(TRAINING_PARTITIONS), "blocks")
     rows = blocks.select("label", array_to_vector("measures").alias("features"))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=11).fit(rows)
     # The saved form is the one that has the nodes as a table.

@@ -132,7 +132,7 @@ def fit_trees(labelled: DataFrame, columns: Sequence[str], training_rows: int) -
     kept = F.pmod(F.xxhash64("url", "page_id"), F.lit(modulus)) < int(min(1.0, training_rows / counts["n"]) * modulus)
     vector = VectorAssembler(inputCols=list(columns), outputCol="features")
     rows = labelled.where(kept).withColumn("y", F.when(F.col("label") == BLOCK, 1.0).otherwise(0.0))
-    rows = rows.select("y", *columns).coalesce(TRAINING_PARTITIONS)
+    rows = rows.select("y", *columns).repartition(TRAINING_PARTITIONS)
     trees = GBTClassifier(labelCol="y", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxMemoryInMB=64)
     return trees.fit(vector.transform(stage(rows, "labelled")))
 
