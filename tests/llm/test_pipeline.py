@@ -89,7 +89,7 @@ def test_stages_keep_columns(spark, folder):
 
 
 def test_more_columns_with_clashing_names(spark, folder):
-    names = ["row", "content", "taken", "size", "lang_pred", "score", "spans", "copies", "key", "clean", "finish"]
+    names = ["row", "content", "taken", "size", "lang_pred", "score", "spans", "copies", "key", "clean", "finish", "a.b"]
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     from pyspark.sql import functions as F
 
@@ -97,7 +97,7 @@ def test_more_columns_with_clashing_names(spark, folder):
     for name, apply in corpus_pipeline.STAGES[:-1]:
         out = apply(spark, docs, folder)
         assert out.columns == docs.columns
-        assert out.select(*names).distinct().collect() == [tuple(names)], name
+        assert out.select(*(f"`{n}`" for n in names)).distinct().collect() == [tuple(names)], name
     out = corpus_pipeline.mixing(spark, docs, folder)
     assert out.columns == [c for c in docs.columns if c not in ("size", "taken")] + ["size", "source_size", "target", "taken"]
     assert out.count()

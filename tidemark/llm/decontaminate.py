@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from tidemark.llm.words import whole_row
 from tidemark.plans.staging import stage
 
 WINDOW_WORDS = 13
@@ -307,7 +308,7 @@ def drop_contaminated(
     found = find_benchmark_passages(docs, items, id_col, text_col, item_col, item_text_col)
     bad = stage(found.where("contaminated").select("doc_id", "content").distinct(), "contaminated")
     whole = docs.select(
-        F.struct(*docs.columns).alias("row"),
+        whole_row(docs),
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(F.col(text_col).cast("string")).alias("content"),
     )

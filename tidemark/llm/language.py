@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from tidemark.llm.words import whole_row
+
 
 UNKNOWN = "und"
 PROFILE_GRAMS = 400
@@ -145,7 +147,7 @@ def _with_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
                 [rows, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"]
             )
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = docs.select(whole_row(docs))
     return rows.mapInArrow(predict, StructType([*rows.schema, *SCORED]))
 
 

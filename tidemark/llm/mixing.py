@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import word_count
+from tidemark.llm.words import whole_row, word_count
 from tidemark.plans.staging import stage
 
 WEIGHTS = (1, 2, 3)
@@ -163,7 +163,7 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     mixed = stage(mixed, "mixed")
     source = F.col(source_col).cast("string")
     whole = docs.select(
-        F.struct(*docs.columns).alias("row"),
+        whole_row(docs),
         F.col(id_col).cast("long").alias("doc_id"),
         source.isNull().alias("no_source"),
         F.coalesce(source, F.lit("")).alias("source"),

@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import whole_row
 from tidemark.plans.staging import stage
 
 
@@ -210,7 +211,7 @@ def redact(
     found = stage(found.where(F.size("spans") > 0).dropDuplicates(["doc_id", "content"]), "spans")
     text = F.col(text_col).cast("string")
     whole = docs.select(
-        F.struct(*docs.columns).alias("row"),
+        whole_row(docs),
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("content"),
     )

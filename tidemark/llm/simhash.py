@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidemark.llm.components import components
+from tidemark.llm.words import whole_row
 from tidemark.plans.staging import stage
 
 SEED = 42
@@ -216,7 +217,7 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
         "kept",
     )
     whole = docs.select(
-        F.struct(*docs.columns).alias("row"),
+        whole_row(docs),
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(F.col(text_col).cast("string")).alias("content"),
     )
