@@ -123,7 +123,18 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op1_simhash, op2_language_id, op3_html_extraction, op4_url_filters, op5_chat_formatting, op6_suffix_dedup, op7_quality_rules, op8_secret_scans, op9_decontamination, op10_mixing)
+    for query in (
+        op1_simhash,
+        op2_language_id,
+        op3_html_extraction,
+        op4_url_filters,
+        op5_chat_formatting,
+        op6_suffix_dedup,
+        op7_quality_rules,
+        op8_secret_scans,
+        op9_decontamination,
+        op10_mixing,
+    )
 }
 
 LLM_ORACLE: dict[str, str] = {
