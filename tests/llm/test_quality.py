@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import quality
@@ -81,6 +83,75 @@ def test_rare_languages_share_a_reference(spark, monkeypatch):
     assert all(r["kept"] for r in check(spark, rows))
 
 
+def js_distance(a, b):
+    m, n = sum(a), sum(b)
+    if not m or not n:
+        return None
+    terms = [(x / m, y / n) for x, y in zip(a, b)]
+    kl = lambda x, y: x * math.log2(2 * x / (x + y)) if x else 0.0
+    return math.sqrt(max(0.0, sum(kl(x, y) + kl(y, x) for x, y in terms) / 2))
+
+
+def plain_classes(text):
+    kinds = Counter()
+    for c in text:
+        kind = unicodedata.category(c)
+        at = 0 if c == " " else 1 if "\x09" <= c <= "\x0d" else {"Lu": 2, "Ll": 3}.get(kind, 7)
+        kinds[4 if c in "0123456789" else 5 if c in ".,;:" else 6 if c in "#*$%&|<>" else at] += 1
+    return [kinds[k] for k in range(8)]
+
+
+def plain_verdicts(rows):
+    """doc_id: (kept, char_distance, word_distance), with references and words over all rows that pass."""
+    passing = [(t, lang) for _, t, lang in rows if not plain(t)[-1]]
+    counts = {lang: Counter() for _, _, lang in rows} | {None: Counter()}
+    for text, lang in passing:
+        found = [w.lower() for w in WORD.findall(text) if w.isalpha()]
+        counts[None].update(found)
+        if lang:
+            counts[lang].update(found)
+    top = {k: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:16]] for k, c in counts.items()}
+
+    def word_counts(text, lang):
+        words = [w.lower() for w in WORD.findall(text)]
+        own = [words.count(w) for w in top[lang]]
+        return own + [0] * (16 - len(own)) + [len(words) - sum(own)]
+
+    sums = lambda lists: [sum(x) for x in zip(*lists)]
+    languages = {lang for _, lang in passing}
+    chars = {x: sums(plain_classes(t) for t, lang in passing if lang == x) for x in languages}
+    words = {x: sums(word_counts(t, lang) for t, lang in passing if lang == x) for x in languages}
+    out = {}
+    for doc, text, lang in rows:
+        char, word = js_distance(plain_classes(text), chars[lang]), js_distance(word_counts(text, lang), words[lang])
+        n = len(WORD.findall(text))
+        far = len(text) >= 150 and char > 0.22 + 1.7 / math.sqrt(len(text))
+        far = far or n >= 30 and word > 0.20 + 1.2 / math.sqrt(n)
+        out[doc] = (not plain(text)[-1] and not far, char, word)
+    return out
+
+
+def check_verdicts(spark, rows):
+    expected = plain_verdicts(rows)
+    got = {r["doc_id"]: r for r in judged(spark, rows)}
+    assert sorted(got) == sorted(expected)
+    for doc, (kept, *distances) in expected.items():
+        assert got[doc]["kept"] == kept
+        assert (got[doc]["char_distance"], got[doc]["word_distance"]) == pytest.approx(distances, abs=1e-9)
+    return got
+
+
+def test_common_words_are_of_all_rows_that_pass(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("aeiourstln", k=rng.randrange(3, 9))) for _ in range(300)]
+    rows = [(i, prose(rng, rng.randrange(25, 60), words), "en" if i % 10 else "fr") for i in range(700)]
+    rows += [(1000 + i, "spam " * 3000 + " ".join(f"ham{'x' * k}" for k in range(20)), "en") for i in range(3)]
+    rows += [(2000 + i, prose(rng, 80, ["não", "mais", "pois", "onde"]), None) for i in range(9)]
+    rows += [(3000 + i, " ".join(rng.choices(words, k=200)), "en") for i in range(4)]
+    got = check_verdicts(spark, rows)
+    assert {r["kept"] for r in got.values()} == {True, False}
+
+
 def test_distance(spark):
     pairs = [([3, 1, 0], [1, 1, 2]), ([1, 0], [0, 5]), ([2, 2], [3, 3]), ([0, 0], [1, 2]), ([1, 1], None)]
     df = spark.createDataFrame(pairs, "a array<long>, b array<long>")

@@ -19,9 +19,8 @@ MOST_REPEATED = 30
 
 #: Languages that have a reference of their own, the most frequent ones; others share one.
 MAX_LANGUAGES = 64
-#: Common words of a language, and documents that they are chosen from, about.
+#: Common words of a language.
 COMMON_WORDS = 16
-SAMPLE_DOCUMENTS = 400
 #: Shorter texts are not judged by the histogram.
 LEAST_JUDGED_CHARS = 150
 LEAST_JUDGED_WORDS = 30
@@ -34,28 +33,31 @@ def _lower(word: Column) -> Column:
     return F.lower(word)
 
 
+def _base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED * n_words)
+
+
 def common_words(docs: DataFrame) -> dict[str, list[str]]:
-    """The most frequent words of letters of each language, and under "" of all together.
+    """The most frequent words of letters of each language, and under "" of all rows together.
 
-    They are counted over about SAMPLE_DOCUMENTS documents a language, chosen by hash.
+    They are counted over all documents that pass the base rules.
     """
     sizes = docs.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("lang").isNotNull())
-    sizes = sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    share = F.least(F.lit(1.0), F.lit(SAMPLE_DOCUMENTS) / F.col("n"))
-    modulus = 1 << 30
-    chosen = docs.join(sizes.select("lang", share.alias("share")), "lang").where(
-        F.pmod(F.xxhash64("doc_id"), F.lit(modulus)) < F.col("share") * modulus
+    languages = [row["lang"] for row in sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
+    passing = lambda words: F.when(
+        ~_base_failed(F.size(words).cast("long"), repeated_words(words).cast("long")), words
     )
-    words = chosen.select("lang", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
-    words = words.where(F.rlike("word", F.lit(r"^\p{L}+$"))).select("lang", _lower(F.col("word")).alias("word"))
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    counts = counts.unionByName(counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("")))
+    found = let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), passing)
+    words = docs.select("lang", F.explode(found).alias("word")).where(F.rlike("word", F.lit(r"^\p{L}+$")))
+    counts = words.groupBy("lang", _lower(F.col("word")).alias("word")).agg(F.count("*").alias("n"))
+    counts = counts.select(F.explode(F.array("lang", F.lit(""))).alias("lang"), "word", "n")
+    counts = counts.where(F.col("lang").isin(["", *languages])).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= COMMON_WORDS)
-    found: dict[str, list[str]] = {}
+    vocabularies: dict[str, list[str]] = {}
     for row in top.orderBy("lang", "place").collect():
-        found.setdefault(row["lang"], []).append(row["word"])
-    return found
+        vocabularies.setdefault(row["lang"], []).append(row["word"])
+    return vocabularies
 
 
 def character_classes(text: Column) -> dict[str, Column]:
@@ -210,7 +212,7 @@ def judge_quality(
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
     measured = measure(narrow, common_words(narrow))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    failed = _base_failed(F.col("n_words"), F.col("n_repeat_words"))
     measured = stage(measured.withColumn("base_failed", failed), "quality")
     references = (
         measured.where(~F.col("base_failed"))
