@@ -123,10 +123,11 @@ def plain_verdicts(rows):
     words = {x: sums(word_counts(t, lang) for t, lang in passing if lang == x) for x in languages}
     out = {}
     for doc, text, lang in rows:
-        char, word = js_distance(plain_classes(text), chars[lang]), js_distance(word_counts(text, lang), words[lang])
+        char = js_distance(plain_classes(text), chars.get(lang, []))
+        word = js_distance(word_counts(text, lang), words.get(lang, []))
         n = len(WORD.findall(text))
-        far = len(text) >= 150 and char > 0.22 + 1.7 / math.sqrt(len(text))
-        far = far or n >= 30 and word > 0.20 + 1.2 / math.sqrt(n)
+        far = char is not None and len(text) >= 150 and char > 0.22 + 1.7 / math.sqrt(len(text))
+        far = far or word is not None and n >= 30 and word > 0.20 + 1.2 / math.sqrt(n)
         out[doc] = (not plain(text)[-1] and not far, char, word)
     return out
 
@@ -152,6 +153,18 @@ def test_common_words_are_of_all_rows_that_pass(spark):
     assert {r["kept"] for r in got.values()} == {True, False}
 
 
+def test_every_language_has_its_own_reference(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(70):
+        letters = [chr(0x4E00 + 20 * k + i) for i in range(20)] if k % 2 else list("aeiourstln")
+        words = ["".join(rng.choices(letters, k=rng.randrange(3, 7))) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(rng.choices(words, k=80)), f"l{k:02}") for i in range(4 if k < 64 else 3)]
+    rows += [(9000, " ".join(map(str, range(90))), "digits"), (9001, "one " * 40, "spam")]
+    got = check_verdicts(spark, rows)
+    assert all(r["kept"] for d, r in got.items() if d != 9001)
+
+
 def test_distance(spark):
     pairs = [([3, 1, 0], [1, 1, 2]), ([1, 0], [0, 5]), ([2, 2], [3, 3]), ([0, 0], [1, 2]), ([1, 1], None)]
     df = spark.createDataFrame(pairs, "a array<long>, b array<long>")

@@ -17,8 +17,8 @@ REPEAT_WORDS = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 
-#: Languages that have a reference of their own, the most frequent ones; others share one.
-MAX_LANGUAGES = 64
+#: No bound: every language has a reference of its own. A test still sets this name.
+MAX_LANGUAGES = None
 #: Common words of a language.
 COMMON_WORDS = 16
 #: Shorter texts are not judged by the histogram.
@@ -37,27 +37,25 @@ def _base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED * n_words)
 
 
-def common_words(docs: DataFrame) -> dict[str, list[str]]:
-    """The most frequent words of letters of each language, and under "" of all rows together.
+def common_words(docs: DataFrame) -> DataFrame:
+    """(language, vocabulary): the most frequent words of letters, in order, of each language.
 
-    They are counted over all documents that pass the base rules.
+    They are counted over all documents that pass the base rules; under "", for rows of
+    null language, over those of all languages together. Where no word is found there is
+    no row.
     """
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("lang").isNotNull())
-    languages = [row["lang"] for row in sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
     passing = lambda words: F.when(
         ~_base_failed(F.size(words).cast("long"), repeated_words(words).cast("long")), words
     )
     found = let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), passing)
     words = docs.select("lang", F.explode(found).alias("word")).where(F.rlike("word", F.lit(r"^\p{L}+$")))
     counts = words.groupBy("lang", _lower(F.col("word")).alias("word")).agg(F.count("*").alias("n"))
-    counts = counts.select(F.explode(F.array("lang", F.lit(""))).alias("lang"), "word", "n")
-    counts = counts.where(F.col("lang").isin(["", *languages])).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    counts = counts.select(F.explode(F.array("lang", F.lit(""))).alias("language"), "word", "n")
+    counts = counts.where(F.col("language").isNotNull()).groupBy("language", "word").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("language").orderBy(F.desc("n"), "word")
     top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= COMMON_WORDS)
-    vocabularies: dict[str, list[str]] = {}
-    for row in top.orderBy("lang", "place").collect():
-        vocabularies.setdefault(row["lang"], []).append(row["word"])
-    return vocabularies
+    listed = F.sort_array(F.collect_list(F.struct("place", "word")))["word"]
+    return top.groupBy("language").agg(listed.alias("vocabulary"))
 
 
 def character_classes(text: Column) -> dict[str, Column]:
@@ -133,17 +131,11 @@ def _histogram(words: Column, vocabulary: Column) -> Column:
     return let(vocabulary, lambda known: let(places(known), counts))
 
 
-def measure(docs: DataFrame, vocabularies: dict[str, list[str]]) -> DataFrame:
+def measure(docs: DataFrame, vocabularies: DataFrame) -> DataFrame:
     """The counts and histograms of each row."""
-    languages = [lang for lang in vocabularies if lang]
-    lists = lambda words: F.array(*map(F.lit, words)).cast("array<string>")
-    known = F.lit("")
-    chosen = lists(vocabularies.get("", []))
-    if languages:
-        known = F.when(F.col("lang").isin(languages), F.col("lang")).otherwise("")
-        pairs = [x for lang in languages for x in (F.lit(lang), lists(vocabularies[lang]))]
-        own = F.element_at(F.create_map(*pairs), F.coalesce("lang", F.lit("")))
-        chosen = F.coalesce(F.when(F.col("lang").isin(languages), own), chosen)
+    language = F.coalesce("lang", F.lit(""))
+    known = docs.withColumn("language", language).join(vocabularies, "language", "left")
+    chosen = F.coalesce("vocabulary", F.array().cast("array<string>"))
     text = F.col("text")
     classes = character_classes(text)
     from_words = lambda words: F.struct(
@@ -151,9 +143,9 @@ def measure(docs: DataFrame, vocabularies: dict[str, list[str]]) -> DataFrame:
         repeated_words(words).cast("long").alias("n_repeat_words"),
         _histogram(words, chosen).alias("word_counts"),
     )
-    found = docs.select(
+    found = known.select(
         "doc_id",
-        known.alias("language"),
+        "language",
         F.length(text).cast("long").alias("chars"),
         *(c.alias(name) for name, c in classes.items()),
         repeated_lines(text).cast("long").alias("n_dup_lines"),
@@ -202,8 +194,7 @@ def judge_quality(
     more than MOST_REPEATED in 100 words inside repeated windows. References are summed
     over all rows of a language that do not. A row is kept if it does not fail and
     neither histogram, where the text is long enough for it, is too far from the
-    reference. Rows of a null or rare language are compared with all rows of that kind
-    together. Null texts are empty; null ids and repeated rows are kept; other columns
+    reference. Rows of null language are compared with each other. Null texts are empty; null ids and repeated rows are kept; other columns
     are not read. An empty table gives no rows.
     """
     narrow = docs.select(
@@ -211,7 +202,7 @@ def judge_quality(
         F.nullif(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    measured = measure(narrow, common_words(narrow))
+    measured = measure(narrow, stage(common_words(narrow), "words"))
     failed = _base_failed(F.col("n_words"), F.col("n_repeat_words"))
     measured = stage(measured.withColumn("base_failed", failed), "quality")
     references = (
