@@ -82,6 +82,15 @@ def test_edge_cases(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got if r["doc_id"] is not None)
 
 
+def test_every_language_has_a_profile(spark):
+    letters = lambda k: f"{chr(0x4E00 + 2 * k)}{chr(0x4E01 + 2 * k)}"
+    learned = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 4 != 2][:1000]
+    rows = [(i, f"{letters(n % 300)} " * 3, f"l{n % 300:03}") for n, i in enumerate(learned)]
+    rows += [(5000 + k, letters(k), None) for k in range(300)]
+    got = {r["doc_id"]: r["lang_pred"] for r in identified(spark, rows)}
+    assert [got[5000 + k] for k in range(300)] == [f"l{k:03}" for k in range(300)]
+
+
 def test_held_out_rows_are_not_learned_from(spark):
     fold = lambda i: zlib.crc32(str(i).encode()) % 4
     rows = [(i, "the of and that", "xx" if fold(i) == 2 else "en") for i in range(40)]

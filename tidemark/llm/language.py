@@ -18,15 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidemark.llm.words import whole_row
+from tidemark.plans.staging import stage
 
 
 UNKNOWN = "und"
 PROFILE_GRAMS = 400
 TEXT_GRAMS = 300
-#: Profiles are made of about so many documents a language, chosen by hash, and of so many
-#: languages at most, the most frequent ones.
+#: Profiles are made of about so many documents a language, chosen by hash.
 SAMPLE_DOCUMENTS = 1000
-MAX_LANGUAGES = 256
 #: One document in four, by the CRC-32 of its id, is held out from learning.
 FOLDS, HELD_OUT_FOLD = 4, 2
 
@@ -81,13 +80,13 @@ def _count_sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def learn_profiles(docs: DataFrame) -> dict[str, list[int]]:
-    """The most frequent n-grams of each language, in order.
+    """The most frequent n-grams of every language, in order.
 
     `docs` has doc_id, lang and text. Rows that are held out, or lack an id, a text or a
     language, are not learned from.
     """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    sizes = stage(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     share = F.least(F.lit(1.0), F.lit(SAMPLE_DOCUMENTS) / F.col("n"))
     modulus = 1 << 30
     sample = known.join(sizes.select("lang", share.alias("share")), "lang").where(
@@ -104,26 +103,30 @@ def learn_profiles(docs: DataFrame) -> dict[str, list[int]]:
 
 
 class Ranks:
-    """All profiles as one table: the rank of each n-gram in each language."""
+    """All profiles as one list of (language, rank), in order of the n-grams."""
 
     def __init__(self, profiles: dict[str, list[int]]):
         self.languages = sorted(profiles)
-        self.grams = np.unique(np.array([g for p in profiles.values() for g in p], np.int64))
-        self.ranks = np.full((len(self.grams) + 1, len(self.languages)), -1, np.int16)
-        for i, language in enumerate(self.languages):
-            profile = np.array(profiles[language], np.int64)
-            self.ranks[np.searchsorted(self.grams, profile), i] = np.arange(len(profile))
+        sizes = [len(profiles[x]) for x in self.languages]
+        grams = np.array([g for x in self.languages for g in profiles[x]], np.int64)
+        order = np.argsort(grams, kind="stable")
+        self.of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.ranks = np.array([k for n in sizes for k in range(n)], np.int32)[order]
+        self.grams, counts = np.unique(grams, return_counts=True)
+        self.starts = np.concatenate([[0], np.cumsum(counts)])
 
     def closest(self, text: str | None) -> tuple[str, float]:
         """Language and score: one less the distance as a share of the largest possible one."""
         own = top_grams(text) if text else ()
         if not len(own) or not self.languages:
             return UNKNOWN, 0.0
-        at = np.searchsorted(self.grams, own)
-        at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != own)] = len(self.grams)
-        ranks = self.ranks[at]
-        apart = np.abs(ranks - np.arange(len(own))[:, None])
-        distances = np.where(ranks < 0, PROFILE_GRAMS, apart).sum(axis=0)
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        places = np.flatnonzero(self.grams[at] == own)
+        first = self.starts[at[places]]
+        sizes = self.starts[at[places] + 1] - first
+        entries = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+        nearer = PROFILE_GRAMS - np.abs(self.ranks[entries] - np.repeat(places, sizes))
+        distances = len(own) * PROFILE_GRAMS - np.bincount(self.of[entries], nearer, len(self.languages))
         best = int(distances.argmin())
         return self.languages[best], 1.0 - float(distances[best]) / (len(own) * PROFILE_GRAMS)
 
