@@ -6,7 +6,9 @@ import zlib
 import duckdb
 import pytest
 
-from tests.llm import test_decontaminate, test_pages, test_quality, test_repeats, test_secrets, test_simhash, test_urls
+from tests.llm import (
+    test_decontaminate, test_pages, test_quality, test_repeats, test_resample, test_secrets, test_simhash, test_urls,
+)
 from tests.test_oracle import SF, TABLES, TYPES, rows_of
 from tidemark.llm.queries import LLM_ORACLE, LLM_QUERIES
 
@@ -104,3 +106,10 @@ def test_op9(spark, docs):
     ]
     assert rows(spark, "op9_decontamination") == sorted(expected, key=repr)
     assert any(r[-1] for r in expected)
+
+
+def test_op11(spark, docs):
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("text").collect()]
+    expected = test_resample.plain(docs, items)
+    assert rows(spark, "op11_importance_resampling") == expected
+    assert any(r[-1] for r in expected)

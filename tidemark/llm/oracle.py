@@ -66,3 +66,61 @@ SELECT doc_id, size, source_size, target, CAST(size * (
   + CAST(CAST(upto + 2 * source_size AS DOUBLE) / weight < cut.finish AS INT)) AS BIGINT) AS taken
 FROM queued, cut
 """
+
+
+def _assigned(round_: int) -> str:
+    """Nearest entry of each part in the codebooks of a round, the first of equally near ones."""
+    return f"""a{round_} AS MATERIALIZED (
+  SELECT vec, part, min(distance) AS distance, arg_min(entry, distance * 256 + entry) AS entry
+  FROM (
+    SELECT v.vec, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x))::BIGINT AS distance
+    FROM components v JOIN b{round_} b USING (part, place) GROUP BY v.vec, v.part, b.entry
+  ) GROUP BY vec, part
+)"""
+
+
+def _moved(round_: int) -> str:
+    """Codebooks with each entry at the mean of the parts assigned to it in the round before."""
+    return f"""b{round_} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.place, coalesce(m.x, b.x) AS x
+  FROM b{round_ - 1} b LEFT JOIN (
+    SELECT v.part, a.entry, v.place, CAST((sum(v.x) - ((sum(v.x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+    FROM components v JOIN a{round_ - 1} a USING (vec, part) GROUP BY v.part, a.entry, v.place
+  ) m USING (part, entry, place)
+)"""
+
+
+OP12_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS vec, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS whole
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), components AS MATERIALIZED (
+  SELECT vec, (i - 1) * 4 // len(whole) AS part, (i - 1) % (len(whole) // 4) AS place, whole[i] AS x
+  FROM (SELECT vec, whole, unnest(range(1, len(whole) + 1)) AS i FROM kept)
+), b0 AS MATERIALIZED (
+  SELECT part, vec AS entry, place, x FROM components WHERE vec < 256
+), {", ".join(f"{_assigned(r)}, {_moved(r + 1)}" for r in range(4))}, {_assigned(4)}, digest AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM b4
+), codes AS (
+  SELECT vec, lower(string_agg(printf('%02x', entry), '' ORDER BY part)) AS code, CAST(sum(distance) AS BIGINT) AS error
+  FROM a4 GROUP BY vec
+)
+SELECT k.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, d.codebooks_sha256
+FROM kept k JOIN codes c USING (vec), digest d
+"""
+
+OP13_SQL = """
+WITH payloads AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+    row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS nth,
+    first_value(page_id) OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS first_id
+  FROM pages
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND nth > 1 THEN first_id END AS refers_to
+FROM payloads
+"""

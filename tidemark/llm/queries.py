@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.archives import convert_arc, read_warc, write_arc
 from tidemark.llm.chat import format_conversations, loss_text, read_turns
+from tidemark.llm.codes import codebooks_digest, compress
 from tidemark.llm.decontaminate import find_benchmark_passages
 from tidemark.llm.language import identify_languages
 from tidemark.llm.mixing import mix
-from tidemark.llm.oracle import OP5_SQL, OP10_SQL
+from tidemark.llm.oracle import OP5_SQL, OP10_SQL, OP12_SQL, OP13_SQL
 from tidemark.llm.pages import extract_main_text
 from tidemark.llm.quality import judge_quality
 from tidemark.llm.repeats import remove_repeats
+from tidemark.llm.resample import resample
 from tidemark.llm.secrets import CANDIDATE, find_secrets
 from tidemark.llm.simhash import group_near_copies
 from tidemark.llm.urls import Rule, filter_urls
+from tidemark.plans.staging import new_table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,6 +125,23 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    codes, codebooks = compress(table(spark, sf, "embeddings"))
+    digest = F.lit(codebooks_digest(codebooks)).alias("codebooks_sha256")
+    return codes.select("vec_id", "code", "error", "label_error", digest)
+
+
+def op13_warc(spark: SparkSession, sf: str) -> DataFrame:
+    arc = write_arc(table(spark, sf, "pages"), new_table_path(spark, "arc"))
+    records = read_warc(spark, convert_arc(spark, arc, new_table_path(spark, "warc")))
+    return records.select(F.col("item_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 LLM_QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -134,10 +155,15 @@ LLM_QUERIES: dict[str, Query] = {
         op8_secret_scans,
         op9_decontamination,
         op10_mixing,
+        op11_importance_resampling,
+        op12_vector_codes,
+        op13_warc,
     )
 }
 
 LLM_ORACLE: dict[str, str] = {
     "op5_chat_formatting": OP5_SQL,
     "op10_mixing": OP10_SQL,
+    "op12_vector_codes": OP12_SQL,
+    "op13_warc": OP13_SQL,
 }
