@@ -4,11 +4,12 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
-from tidemark.llm.repeats import anchors, remove_repeats
+from tidemark.llm.repeats import anchors, factors, laid, merged, remove_repeats, repeated_starts
 
 COLUMNS = "doc_id long, text string"
 
@@ -37,7 +38,7 @@ def plain(rows, keep_first=False):
 
 def found(spark, rows, **options):
     df = spark.createDataFrame(rows, COLUMNS).withColumns(
-        {c: F.lit("x") for c in ("key", "anchor", "first", "size", "lead", "n", "kept", "ranges", "n_bytes")}
+        {c: F.lit("x") for c in ("key", "anchor", "first", "size", "lead", "n", "times", "kept", "ranges", "n_bytes")}
     )
     out = remove_repeats(df, **options).drop("kept").collect()
     return sorted(map(tuple, out), key=repr)
@@ -93,8 +94,8 @@ def test_copies_beyond_the_first(spark):
 
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_anchors_with_many_pieces(spark, monkeypatch, keep_first):
-    monkeypatch.setattr(repeats, "SORTED_PIECES", 2)
-    rows = corpus(3)
+    monkeypatch.setattr(repeats, "BUCKET_PIECES", 2)
+    rows = corpus(3) + [(200, "a" * 2000), (201, "ab" * 700), (202, "b" + "ab" * 500)]
     assert found(spark, rows, keep_first=keep_first) == plain(rows, keep_first)
 
 
@@ -120,8 +121,75 @@ def test_anchors_cover_every_start_once():
     for text in (prose(rng, 5000), "ab" * 900, prose(rng, 300_000)):
         body = text.encode()
         runs = anchors(body)
-        assert [r[2] for r in runs] == [0, *(r[2] + r[3] for r in runs[:-1])]
-        assert sum(r[3] for r in runs) == len(body) - 399
+        assert [r[2] for r in runs] == [0, *(r[2] + r[3] * r[5] for r in runs[:-1])]
+        assert sum(r[3] * r[5] for r in runs) == len(body) - 399
+
+
+def test_periodic_text_makes_few_rows(monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 5000)
+    rng = random.Random(10)
+    for unit in ("a", "ab", "xyz" * 5 + "!", prose(rng, 150)):
+        body = (prose(rng, 900) + unit * (300_000 // len(unit)) + prose(rng, 900)).encode()
+        runs = anchors(body)
+        assert len(runs) < 120
+        assert sum(r[3] * r[5] for r in runs) == len(body) - 399
+
+
+def common(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_factors_are_the_longest_previous_ones(seed):
+    """The arrays of one text, against a look at every earlier position."""
+    rng = random.Random(seed)
+    text = "".join(rng.choices("ab", k=rng.choice([1, 2, 40, 200])))
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+    shared = [0, *(common(text[i:], text[j:]) for i, j in zip(order, order[1:]))]
+    found = factors(np.array(order), np.array(shared))
+    expected = [max((common(text[i:], text[j:]) for j in range(i)), default=0) for i in order]
+    assert found.tolist() == expected
+
+
+@pytest.mark.parametrize("earlier_only", [False, True])
+def test_pieces_of_several_anchors(earlier_only):
+    rng = random.Random(11)
+    bodies, leads, anchor, sizes = [], [], [], []
+    for a in range(30):
+        left, middle, right = (prose(rng, n).encode()[:200] for n in (220, 220, 220))
+        for _ in range(rng.choice([1, 2, 3, 12])):
+            line = bytearray(left + middle + right)
+            for _ in range(rng.randrange(3)):
+                line[rng.choice([rng.randrange(200), rng.randrange(400, 600)])] = rng.randrange(256)
+            lead = rng.randrange(201)
+            size = rng.randrange(1, lead + 2)
+            bodies.append(bytes(line[200 - lead : 200 - lead + size + 399]))
+            leads.append(lead)
+            sizes.append(size)
+            anchor.append(a)
+    first = 200 - np.array(leads)
+    marked = repeated_starts(laid(bodies, np.array(leads)), np.array(anchor), first, np.array(sizes), earlier_only)
+    starts = defaultdict(list)
+    for i, (body, a) in enumerate(zip(bodies, anchor)):
+        for s in range(sizes[i]):
+            starts[a, leads[i] - s, body[s : s + 400]].append((i, int(first[i]) + s))
+    expected = {
+        x for same in starts.values() for x in (same[1:] if earlier_only else same if len(same) > 1 else ())
+    }
+    assert expected and {tuple(x) for x in np.argwhere(marked).tolist()} == expected
+
+
+def test_merged_ranges():
+    begins, ends = merged(np.array([0, 2, 3, 10, 12, 20]), np.array([5, 4, 10, 11, 13, 25]))
+    assert (begins.tolist(), ends.tolist()) == ([0, 12, 20], [11, 13, 25])
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_periodic_texts(spark, keep_first):
+    rng = random.Random(12)
+    unit = prose(rng, 90)
+    rows = [(1, "q" * 3000), (2, unit * 20), (3, "x" + unit * 12 + "y"), (4, "r" * 700 + "q" * 900), (5, unit * 3 + "z" * 5000)]
+    assert found(spark, rows, keep_first=keep_first) == plain(rows, keep_first)
 
 
 def test_empty(spark):

@@ -1,17 +1,22 @@
-"""Passages that occur again, by suffix order over the parts of texts that can repeat.
+"""Passages that occur again, by longest-previous-factor arrays over the parts of texts that can repeat.
 
 A position is repeated if the 400 bytes from it on also start elsewhere: if its longest
-previous factor, or its longest next one, has 400 bytes. Suffixes that match so far share
-their first 400 bytes, so it is enough to order suffixes among those that can.
+previous factor, or its longest next one, has 400 bytes.
 
 Each start is given to an anchor, the 200 bytes with the least hash among those inside
 its 400. Equal 400 bytes have equal anchors at equal distances, so suffixes are compared
 only within an anchor, and starts of an anchor that occurs once are done. The starts of
 one anchor in a text, with the bytes they cover, are a piece. Where all pieces of an anchor
-are equal, every start of it is repeated. Where they differ, their suffixes are sorted;
-of a run of suffixes equal in 400 bytes, all but the first in position have a smaller
-position before or after them in the order with a match that long, all but the last a
-larger one.
+are equal, every start of it is repeated. Where they differ, they are laid below each
+other with their anchors in one column, so that suffixes equally far ahead of the anchor
+begin in one column too. From the order of the suffixes of one column follows, by the byte
+before them, that of the column to its left, and so do the common prefixes of neighbours.
+In each order, the nearest suffixes before and after a start whose positions are smaller
+have the longest prefix in common with it of all that stand earlier: its longest previous
+factor. Those with larger positions give the longest next one.
+
+A hot anchor's suffixes are dealt out by a hash of their 400 bytes, as what has a factor
+of that length has it with others of the same hash.
 """
 
 from __future__ import annotations
@@ -32,9 +37,11 @@ ANCHOR = 200
 WIDTH = LENGTH - ANCHOR + 1
 #: Starts that are hashed at a time.
 CHUNK = 1 << 17
-#: Different pieces of an anchor that one task sorts, with at most 599 bytes each. Suffixes
-#: of an anchor with more are dealt out by the hash of their 400 bytes and counted.
-SORTED_PIECES = 1 << 15
+#: Different pieces of an anchor that are brought together, with at most 599 bytes each.
+#: An anchor with more is split: its suffixes go to buckets by the hash of their 400 bytes.
+BUCKET_PIECES = 1 << 15
+#: Pieces that are laid below each other at a time, of one anchor or several.
+LAID = 1 << 12
 
 BASE = 0x9E3779B97F4A7C15
 POWERS = np.full(CHUNK + LENGTH, BASE, np.uint64)
@@ -71,40 +78,59 @@ def least_places(hashes: np.ndarray) -> np.ndarray:
     return places
 
 
-def anchors(text: bytes) -> list[tuple[int, int, int, int, int]]:
-    """(anchor, piece, first, size, lead) for each run of starts with one anchor.
+def anchors(text: bytes) -> list[tuple[int, int, int, int, int, int]]:
+    """(anchor, piece, first, size, lead, times) for each run of starts with one anchor.
 
     `anchor` and `piece` are hashes, of the anchor's bytes and of all that the starts
     cover; `first` is the first start, `size` their number and `lead` the bytes from the
-    first start to the anchor.
+    first start to the anchor. Equal runs in a row, as periodic text has them, are one
+    that is there so many `times`, each beginning where the one before ends.
     """
     data = np.frombuffer(text, np.uint8)
-    runs: list[list[int]] = []
     starts = len(text) - LENGTH + 1
+    out: list[tuple[int, int, int, int, int, int]] = []
+
+    def close(places: np.ndarray, names: np.ndarray, firsts: np.ndarray, ends: np.ndarray) -> None:
+        if not len(places):
+            return
+        sizes, leads = ends - firsts, places - firsts
+        pieces = np.fromiter(
+            (xxhash.xxh3_64_intdigest(text[f : e + LENGTH - 1]) for f, e in zip(firsts.tolist(), ends.tolist())),
+            np.uint64,
+            len(firsts),
+        )
+        signed = np.stack([names.view(np.int64), (pieces ^ np.uint64(1 << 63)).view(np.int64), sizes, leads])
+        news = np.flatnonzero(np.concatenate([[True], (signed[:, 1:] != signed[:, :-1]).any(axis=0)]))
+        times = np.diff(np.append(news, len(firsts)))
+        for name, piece, size, lead, first, n in zip(*signed[:, news].tolist(), firsts[news].tolist(), times.tolist()):
+            if out and (name, piece, size, lead) == (*out[-1][:2], *out[-1][3:5]):
+                out[-1] = (*out[-1][:5], out[-1][5] + n)
+            else:
+                out.append((name, piece, first, size, lead, n))
+
+    left = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for begin in range(0, starts, CHUNK):
         count = min(CHUNK, starts - begin)
         hashes = anchor_hashes(data[begin : begin + count + LENGTH - 1])
-        places = least_places(hashes)
-        firsts = np.concatenate([[0], np.flatnonzero(np.diff(places)) + 1])
-        sizes = np.diff(np.append(firsts, count))
-        signed = hashes[places[firsts]].view(np.int64)
-        for place, anchor, first, size in zip(
-            (places[firsts] + begin).tolist(), signed.tolist(), (firsts + begin).tolist(), sizes.tolist()
-        ):
-            if runs and runs[-1][0] == place:
-                runs[-1][3] += size
-            else:
-                runs.append([place, anchor, first, size])
-    signed_hash = lambda b: xxhash.xxh3_64_intdigest(b) - 2**63
-    return [
-        (anchor, signed_hash(text[first : first + size + LENGTH - 1]), first, size, place - first)
-        for place, anchor, first, size in runs
-    ]
+        at = least_places(hashes)
+        changes = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+        places, firsts = at[changes] + np.int64(begin), changes + np.int64(begin)
+        if len(left[0]) and left[0][0] == places[0]:
+            # The last run of the chunk before goes on.
+            places, names, firsts = places[1:], hashes[at[changes[1:]]], firsts[1:]
+        else:
+            names = hashes[at[changes]]
+        places, names, firsts = (np.concatenate(x) for x in zip(left, (places, names, firsts)))
+        close(places[:-1], names[:-1], firsts[:-1], firsts[1:])
+        left = places[-1:], names[-1:], firsts[-1:]
+    if starts > 0:
+        close(*left, np.array([starts], np.int64))
+    return out
 
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("anchor", "piece", "first", "size", "lead")
-    kind = pa.list_(pa.struct(list(zip(names, [pa.int64()] * 2 + [pa.int32()] * 3))))
+    names = ("anchor", "piece", "first", "size", "lead", "times")
+    kind = pa.list_(pa.struct(list(zip(names, [pa.int64()] * 2 + [pa.int32()] * 4))))
     for batch in batches:
         texts = batch.column(5).cast(pa.binary())
         found = []
@@ -131,75 +157,136 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], PIECE)
 
 
+def laid(bodies: list[bytes], leads: np.ndarray) -> np.ndarray:
+    """Pieces below each other, with their anchors from column ANCHOR on, zeros around them."""
+    width = ANCHOR + LENGTH
+    lines = ((b"\0" * (ANCHOR - lead) + body).ljust(width, b"\0") for body, lead in zip(bodies, leads.tolist()))
+    return np.frombuffer(b"".join(lines), np.uint8).reshape(-1, width)
+
+
+def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of values[low:high] for each pair."""
+    out = values[low]
+    wide = np.flatnonzero(high > low + 1)
+    if len(wide):
+        ends = np.stack([low[wide], high[wide]], axis=1).ravel()
+        out[wide] = np.minimum.reduceat(np.append(values, 0), ends)[::2]
+    return out
+
+
+def nearest_smaller(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The common prefix of each suffix in order with the nearest one before it of smaller position; 0 if there is none.
+
+    `common` is what each shares with its neighbour before; 0 ends the search. Whoever
+    finds a larger position goes on from where that one has come to.
+    """
+    to, length = np.arange(-1, len(position) - 1), common.copy()
+    while True:
+        larger = np.flatnonzero((length > 0) & (position[to] > position))
+        if not len(larger):
+            return length
+        over = to[larger]
+        length[larger], to[larger] = np.minimum(length[larger], length[over]), to[over]
+
+
+def factors(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix in order, as far as `common` goes."""
+    behind = np.concatenate([[0], common[:0:-1]])
+    return np.maximum(nearest_smaller(position, common), nearest_smaller(position[::-1], behind)[::-1])
+
+
 def repeated_starts(
-    bodies: list[bytes], leads: list[int], often: list[bool], earlier_only: bool
-) -> list[list[tuple[int, int]]]:
-    """Runs (first, size) of starts, for each of an anchor's pieces, that are repeated.
-
-    `bodies` are in order of position. Suffixes that are equally far ahead of the anchor
-    are sorted by their first LENGTH bytes; others differ in them. A piece that occurs
-    more than once has all of its starts elsewhere too; only the others, and with
-    `earlier_only` all, are looked up in the order.
+    matrix: np.ndarray, anchor: np.ndarray, first: np.ndarray, size: np.ndarray, earlier_only: bool
+) -> np.ndarray:
+    """Which columns of each piece begin a suffix with a factor of LENGTH bytes.
+
+    Pieces are in order of anchor and position. The starts of a piece are the `size`
+    columns from `first` on; other columns only help to find the order.
     """
-    marked: list[list[int]] = [[] for _ in bodies]
-    for ahead in range(max(leads), min(lead - len(body) + LENGTH - 1 for lead, body in zip(leads, bodies)), -1):
-        suffixes = [
-            (body[s : s + LENGTH], i)
-            for i, (body, s) in enumerate(zip(bodies, (lead - ahead for lead in leads)))
-            if 0 <= s <= len(body) - LENGTH
-        ]
-        suffixes.sort()
-        begin = 0
-        for end in range(1, len(suffixes) + 1):
-            if end < len(suffixes) and suffixes[end][0] == suffixes[begin][0]:
-                continue
-            # In a run positions ascend: the first has no smaller one beside it.
-            for _, i in suffixes[begin + 1 : end] if earlier_only else suffixes[begin:end] if end - begin > 1 else ():
-                marked[i].append(leads[i] - ahead)
-            begin = end
-    out = []
-    for body, starts, repeated in zip(bodies, marked, often):
-        if repeated and not earlier_only:
-            out.append([(0, len(body) - LENGTH + 1)])
+    position = np.arange(len(matrix))
+    marked = np.zeros((len(matrix), ANCHOR + 1), bool)
+    tails = np.ascontiguousarray(matrix[:, ANCHOR:])
+    order = np.argsort(tails.view(f"S{tails.shape[1]}").ravel(), kind="stable")
+    order = order[np.argsort(anchor[order], kind="stable")]
+    differ = tails[order[1:]] != tails[order[:-1]]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), tails.shape[1])
+    common = np.concatenate([[0], np.where(anchor[order[1:]] == anchor[order[:-1]], common, 0)])
+    for column in range(ANCHOR, -1, -1):
+        if column < ANCHOR:
+            byte = (anchor * 256 + matrix[:, column])[order]
+            moved = np.argsort(byte, kind="stable")
+            same = np.flatnonzero(byte[moved[1:]] == byte[moved[:-1]]) + 1
+            shared = np.zeros_like(common)
+            shared[same] = 1 + _least_between(common, moved[same - 1] + 1, moved[same] + 1)
+            order, common = order[moved], shared
+        rows = np.flatnonzero(((first <= column) & (column < first + size))[order])
+        if len(rows) < 2:
             continue
-        runs: list[list[int]] = []
-        for s in starts:
-            if runs and sum(runs[-1]) == s:
-                runs[-1][1] += 1
-            else:
-                runs.append([s, 1])
-        out.append([tuple(r) for r in runs])
-    return out
+        between = np.minimum.reduceat(common[: rows[-1] + 1], rows[:-1] + 1)
+        # Shorter factors are as good as none.
+        reach = np.concatenate([[0], np.where(between >= LENGTH, between, 0)])
+        some = np.flatnonzero((reach > 0) | np.append(reach[1:] > 0, False))
+        at, reach = order[rows[some]], reach[some]
+        long = factors(position[at], reach)
+        if not earlier_only:
+            long = np.maximum(long, factors(-position[at], reach))
+        marked[at, column] = long >= LENGTH
+    return marked
 
 
 FOUND = "anchor long, piece long, start int, count int"
 
 
-def _sorted_pieces(pieces: DataFrame, earlier_only: bool) -> DataFrame:
-    """FOUND for pieces whose anchor has few different ones."""
+def _ordered_pieces(pieces: DataFrame, earlier_only: bool) -> DataFrame:
+    """FOUND for pieces whose anchor is brought together."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for anchor, members in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = members.as_py()
-                runs = repeated_starts(
-                    [r["body"] for r in rows], [r["lead"] for r in rows], [r["n"] > 1 for r in rows], earlier_only
+            members = batch.column(1)
+            counts = np.asarray(members.value_lengths()).astype(np.int64)
+            inner = members.flatten()
+            piece, often, lead = (np.asarray(inner.field(c)) for c in ("piece", "n", "lead"))
+            bodies = inner.field("body")
+            names = np.repeat(np.asarray(batch.column(0)), counts)
+            anchor = np.repeat(np.arange(len(counts)), counts)
+            ends = np.cumsum(counts)
+            begin = 0
+            while begin < len(anchor):
+                # Whole anchors, until there are enough pieces.
+                stop = int(ends[min(np.searchsorted(ends, begin + LAID), len(ends) - 1)])
+                own = slice(begin, stop)
+                texts, leads = [b.as_py() for b in bodies[begin:stop]], lead[own].astype(np.int64)
+                first, size = ANCHOR - leads, np.array([len(t) - LENGTH + 1 for t in texts])
+                marked = repeated_starts(laid(texts, leads), anchor[own] - anchor[begin], first, size, earlier_only)
+                if not earlier_only:
+                    # A piece that occurs more than once has all of its starts elsewhere too.
+                    column = np.arange(ANCHOR + 1)
+                    starts = (first[:, None] <= column) & (column < (first + size)[:, None])
+                    marked |= starts & (often[own] > 1)[:, None]
+                edges = np.diff(marked.astype(np.int8), axis=1, prepend=0, append=0)
+                (row, column), (_, end) = np.nonzero(edges == 1), np.nonzero(edges == -1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(names[own][row]),
+                        pa.array(piece[own][row]),
+                        pa.array((column - first[row]).astype(np.int32)),
+                        pa.array((end - column).astype(np.int32)),
+                    ],
+                    ["anchor", "piece", "start", "count"],
                 )
-                out += [(anchor, r["piece"], start, count) for r, own in zip(rows, runs) for start, count in own]
-            columns = list(zip(*out)) if out else [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["anchor", "piece", "start", "count"]
-            )
+                begin = stop
 
     members = F.sort_array(F.collect_list(F.struct("at", "piece", "n", "lead", "body")))
     members = F.transform(members, lambda m: F.struct(*(m[c].alias(c) for c in ("piece", "n", "lead", "body"))))
     return pieces.groupBy("anchor").agg(members.alias("members")).mapInArrow(find, FOUND)
 
 
-def _counted_pieces(pieces: DataFrame, earlier_only: bool) -> DataFrame:
-    """FOUND for pieces whose anchor has many different ones, without bringing them together."""
+def _split_pieces(pieces: DataFrame, earlier_only: bool) -> DataFrame:
+    """FOUND for pieces of hot anchors: suffixes of the same 400 bytes are one run of the order.
+
+    All of a run but the first in position have a smaller one beside them, all but the
+    last a larger one, so that its first position and its size tell the same as arrays.
+    """
 
     def name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,35 +318,25 @@ def _counted_pieces(pieces: DataFrame, earlier_only: bool) -> DataFrame:
     return met.select("anchor", "piece", "start", F.lit(1).alias("count"))
 
 
-def _merged(ranges: Column) -> Column:
-    """Sorted (begin, end) ranges, those that overlap or touch made one."""
-    last = lambda done: F.element_at(done, -1)
-    joined = lambda done, r: F.concat(
-        F.slice(done, 1, F.size(done) - 1),
-        F.array(F.struct(last(done)["begin"].alias("begin"), F.greatest(last(done)["end"], r["end"]).alias("end"))),
-    )
-    return F.aggregate(
-        ranges,
-        F.array().cast("array<struct<begin:int,end:int>>"),
-        lambda done, r: F.when((F.size(done) > 0) & (r["begin"] <= last(done)["end"]), joined(done, r)).otherwise(
-            F.concat(done, F.array(r))
-        ),
-    )
+def merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges in order of their begins, those that overlap or touch made one."""
+    upto = np.maximum.accumulate(ends)
+    opens = np.flatnonzero(np.concatenate([[True], begins[1:] > upto[:-1]]))
+    return begins[opens], np.append(upto[opens[1:] - 1], upto[-1])
 
 
 def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, spans, kept = [], [], []
         for text, ranges in zip(batch.column(3).cast(pa.binary()), batch.column(4)):
-            body, upto, parts, gone = text.as_py(), 0, [], 0
-            ranges = ranges.as_py()
-            for r in ranges:
-                parts.append(body[upto : r["begin"]])
-                gone += r["end"] - r["begin"]
-                upto = r["end"]
+            body, upto, parts = text.as_py(), 0, []
+            begins, ends = merged(*(np.asarray(ranges.values.field(c)) for c in ("begin", "end")))
+            for begin, end in zip(begins.tolist(), ends.tolist()):
+                parts.append(body[upto:begin])
+                upto = end
             parts.append(body[upto:])
-            removed.append(gone)
-            spans.append(len(ranges))
+            removed.append(int((ends - begins).sum()))
+            spans.append(len(begins))
             kept.append(b"".join(parts))
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:3], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
@@ -285,7 +362,7 @@ def repeated_ranges(docs: DataFrame, scanned: DataFrame, keep_first: bool) -> tu
     """(row, ranges) of bytes to remove, and (row, text) of all rows that may have some."""
     every = scanned.select(*ROW, F.inline("anchors"))
     kinds = every.groupBy("anchor").agg(
-        F.count("*").alias("n"), (F.min("piece") != F.max("piece")).alias("differ")
+        F.sum("times").alias("n"), (F.min("piece") != F.max("piece")).alias("differ")
     )
     # Written first, so that the join is one of tables, whose partitions Spark can split.
     kinds = stage(kinds.where(F.col("n") > 1).select("anchor", "differ"), "kinds")
@@ -293,14 +370,18 @@ def repeated_ranges(docs: DataFrame, scanned: DataFrame, keep_first: bool) -> tu
     place = F.struct("doc_id", "key", "key2", "first")
 
     copies = met.groupBy("anchor", "piece", "differ").agg(
-        F.count("*").alias("n"), F.min(place).alias("at"), F.first("size").alias("size"), F.first("lead").alias("lead")
+        F.sum("times").alias("n"), F.min(place).alias("at"), F.first("size").alias("size"), F.first("lead").alias("lead")
     )
     occurring = met
+    all_of_it = F.col("size") * F.col("times")
     if keep_first:
         occurring = met.join(copies.select("anchor", "piece", "at"), ["anchor", "piece"])
-        whole = occurring.where(place != F.col("at")).select(*ROW, "first", "size")
+        # Of the row with the first one, only what follows it.
+        passed = F.when(place == F.col("at"), F.col("size")).otherwise(0)
+        whole = occurring.select(*ROW, (F.col("first") + passed).alias("first"), (all_of_it - passed).alias("size"))
+        whole = whole.where("size > 0")
     else:
-        whole = met.where(~F.col("differ")).select(*ROW, "first", "size")
+        whole = met.where(~F.col("differ")).select(*ROW, "first", all_of_it.alias("size"))
 
     texts = docs.alias("d").join(met.select(*ROW).distinct().alias("w"), _same_row("d", "w"), "left_semi")
     texts = stage(texts.select("d.*"), "texts")
@@ -318,18 +399,21 @@ def repeated_ranges(docs: DataFrame, scanned: DataFrame, keep_first: bool) -> tu
     pieces = stage(
         pieces.mapInArrow(_cut, f"anchor long, piece long, n long, at {at}, peers long, lead int, body binary"), "pieces"
     )
-    few = F.col("peers") <= SORTED_PIECES
-    found = _sorted_pieces(pieces.where(few), keep_first).unionByName(
-        _counted_pieces(pieces.where(~few), keep_first)
+    few = F.col("peers") <= BUCKET_PIECES
+    found = _ordered_pieces(pieces.where(few), keep_first).unionByName(
+        _split_pieces(pieces.where(~few), keep_first)
     )
     marked = occurring.where("differ").join(found, ["anchor", "piece"])
+    begin, size = F.col("first") + F.col("start"), F.col("count")
     if keep_first:
         marked = marked.where(place == F.col("at"))
-    starts = whole.unionByName(
-        marked.select(*ROW, (F.col("first") + F.col("start")).alias("first"), F.col("count").alias("size"))
-    )
+    else:
+        # A piece that is there several times in a row has all of its starts marked.
+        several = F.col("times") > 1
+        begin, size = F.when(several, F.col("first")).otherwise(begin), F.when(several, all_of_it).otherwise(size)
+    starts = whole.unionByName(marked.select(*ROW, begin.alias("first"), size.alias("size")))
     span = F.struct(F.col("first").alias("begin"), (F.col("first") + F.col("size") + (LENGTH - 1)).alias("end"))
-    ranges = starts.groupBy(*ROW).agg(_merged(F.array_sort(F.collect_set(span))).alias("ranges"))
+    ranges = starts.groupBy(*ROW).agg(F.sort_array(F.collect_set(span)).alias("ranges"))
     return ranges, texts
 
 
@@ -355,7 +439,7 @@ def remove_repeats(
     ).mapInArrow(
         _scan,
         "doc_id long, key long, key2 long, n_bytes long, kept_sha256 string, "
-        "anchors array<struct<anchor:long,piece:long,first:int,size:int,lead:int>>",
+        "anchors array<struct<anchor:long,piece:long,first:int,size:int,lead:int,times:int>>",
     )
     scanned = stage(scanned, "scanned")
     ranges, texts = repeated_ranges(keyed, scanned, keep_first)
