@@ -5,7 +5,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.decontaminate import find_benchmark_passages
+from tidemark.llm import decontaminate
+from tidemark.llm.decontaminate import find_benchmark_passages, item_windows, places_found, scan_documents
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -79,3 +80,34 @@ def test_random_texts(spark):
 def test_empty_tables(spark):
     assert found(spark, [], [(1, "a b")]) == []
     assert found(spark, [(1, "a b")], []) == [(1, 2, 0, [], False)]
+
+
+def test_long_text_that_is_all_hits(spark):
+    """Rows stay as wide as a window needs, and are as many as words."""
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randrange(3000)}" for _ in range(20_000))
+    docs, items = [(1, long), (2, long[50:]), (3, "w1 " * 20_000)], [(7, long), (8, "w1 " * 15)]
+    df = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    scanned = scan_documents(df(docs, "doc_id"), item_windows(df(items, "item_id")), "doc_id", "text")
+    places = places_found(scanned)
+    widest = places.agg(F.max(F.size("words")), F.count("*")).first()
+    assert widest[0] <= decontaminate.BEFORE + decontaminate.FROM
+    assert widest[1] <= 60_000
+    regions = scanned.select(F.inline("regions")).agg(F.max(F.size("words")), F.sum(F.size("words"))).first()
+    assert regions[0] <= decontaminate.REGION_PLACES * 26 and regions[1] <= 120_000
+    rows = {r["doc_id"]: r for r in find_benchmark_passages(df(docs, "doc_id"), df(items, "item_id")).collect()}
+    assert [(rows[d]["n_words"], rows[d]["n_hit"], rows[d]["item_ids"]) for d in (1, 3)] == [
+        (20_000, 20_000, ["7"]),
+        (20_000, 20_000, ["8"]),
+    ]
+    assert rows[2]["n_hit"] >= rows[2]["n_words"] - 1
+
+
+def test_regions_cut_anywhere(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "REGION_PLACES", 3)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(words[i : i + rng.choice([4, 13, 25])])) for i in range(0, 60, 5)]
+    docs = [(i, " ".join(rng.choice([words[rng.randrange(40) :][: rng.randrange(5, 30)], ["x"] * 3])[0:30])) for i in range(60)]
+    docs += [(100, " ".join(words * 3))]
+    assert found(spark, docs, items) == plain(docs, items)

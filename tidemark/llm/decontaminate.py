@@ -25,6 +25,10 @@ WINDOW_WORDS = 13
 SHINGLE_WORDS = 5
 #: A document is contaminated if one word in so many is hit.
 LEAST_SHARE = 20
+#: What a window around a shingle can cover: words before it, and from it on.
+BEFORE, FROM = WINDOW_WORDS - 1, WINDOW_WORDS
+#: Shingles found in a stretch of a document that is kept as one list of words.
+REGION_PLACES = 64
 #: The filter sent to all tasks has 32 bits a shingle, and 16 MB at most.
 BITS_PER_SHINGLE = 32
 FILTER_BITS = (16, 27)
@@ -122,13 +126,20 @@ def shingle_filter(windows: DataFrame) -> tuple[np.ndarray, int, list[int]]:
 
 
 def _regions(words: list[bytes], places: np.ndarray, shingles: np.ndarray) -> list[dict]:
-    """The stretches of a document that windows around the found shingles could cover."""
-    reach = WINDOW_WORDS - 1
-    cuts = np.flatnonzero(np.diff(places) > 2 * reach + SHINGLE_WORDS) + 1
-    found = []
-    for at, which in zip(np.split(places, cuts), np.split(shingles, cuts)):
-        start = max(0, int(at[0]) - reach)
-        part = words[start : int(at[-1]) + SHINGLE_WORDS + reach]
+    """The stretches of a document that windows around the found shingles could cover.
+
+    A stretch ends where the next shingle is far, or after REGION_PLACES of them: those
+    that follow are in another stretch, which begins with the words they need.
+    """
+    found, begin = [], 0
+    far = np.append(np.diff(places) > BEFORE + FROM, True)
+    while begin < len(places):
+        gaps = np.flatnonzero(far[begin : begin + REGION_PLACES])
+        stop = begin + (int(gaps[0]) + 1 if len(gaps) else REGION_PLACES)
+        at, which = places[begin:stop], shingles[begin:stop]
+        begin = stop
+        start = max(0, int(at[0]) - BEFORE)
+        part = words[start : int(at[-1]) + FROM]
         found.append(
             {
                 "start": start,
@@ -206,6 +217,25 @@ def scan_documents(docs: DataFrame, windows: DataFrame, id_col: str, text_col: s
     return narrow.mapInArrow(scan, f"doc_id long, content long, n_words long, regions array<struct<{REGION}>>")
 
 
+def places_found(scanned: DataFrame) -> DataFrame:
+    """(doc_id, content, place, shingle, start, words): each shingle found, with the words from `start` on.
+
+    They are those that a window around the shingle can cover, BEFORE + FROM at most, so
+    that a row is as wide in a long stretch of hits as anywhere.
+    """
+    regions = scanned.select("doc_id", "content", F.inline("regions"))
+    each = regions.select(
+        "doc_id",
+        "content",
+        F.col("start").alias("region_start"),
+        F.col("words").alias("region"),
+        F.inline(F.arrays_zip("at", F.col("shingles").alias("shingle"))).alias("place", "shingle"),
+    )
+    start = F.greatest(F.col("place") - BEFORE, F.col("region_start"))
+    near = F.slice("region", start - F.col("region_start") + 1, F.col("place") + FROM - start)
+    return each.select("doc_id", "content", "place", "shingle", start.alias("start"), near.alias("words"))
+
+
 def prefixes(windows: DataFrame, found: DataFrame) -> DataFrame:
     """(shingle, offset, window, size): the rarest shingle of each window.
 
@@ -255,14 +285,7 @@ def find_benchmark_passages(
     """
     windows = stage(item_windows(items, item_col, item_text_col), "windows")
     scanned = stage(scan_documents(docs, windows, id_col, text_col), "scanned")
-    regions = scanned.select("doc_id", "content", F.inline("regions"))
-    found = regions.select(
-        "doc_id",
-        "content",
-        "start",
-        "words",
-        F.inline(F.arrays_zip("at", F.col("shingles").alias("shingle"))).alias("place", "shingle"),
-    )
+    found = places_found(scanned)
     index = stage(prefixes(windows, found), "prefixes")
     begin = F.col("place") - F.col("offset")
     first, size = begin - F.col("start"), F.col("size")
