@@ -12,6 +12,7 @@ all pairs within two bits without going through all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.components import components
+from tidemark.llm.components import components, with_least
 from tidemark.llm.words import whole_row
 from tidemark.plans.staging import stage
 
@@ -33,6 +34,8 @@ LEAST_SHARED = POSITIONS - MAX_DISTANCE
 #: The two positions that each posting leaves open.
 OPEN_POSITIONS = list(combinations(range(POSITIONS), POSITIONS - LEAST_SHARED))
 CHUNK = 1 << 15
+#: Fingerprints of which one task makes postings.
+PRINTS_PER_TASK = 1 << 14
 
 
 def _chunks(words: list[bytes]) -> Iterator[np.ndarray]:
@@ -158,7 +161,9 @@ def links(prints: DataFrame) -> DataFrame:
     a posting as many are returned as connect it. What a pair shares is counted over
     the eight positions, kept from six on, and verified by its differing bits.
     """
-    met = postings(prints).groupBy("slot", "shared").agg(F.collect_set("rest").alias("rests"))
+    # A file of fingerprints is small for what each becomes.
+    spread = prints.repartition(max(1, math.ceil(prints.count() / PRINTS_PER_TASK)), "print")
+    met = postings(spread).groupBy("slot", "shared").agg(F.collect_set("rest").alias("rests"))
     met = met.where(F.size("rests") > 1).select("slot", "shared", "rests")
     pairs = met.mapInArrow(_links, "a long, b long").distinct()
     a, b = F.col("a"), F.col("b")
@@ -190,8 +195,7 @@ def group_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     prints, rooted = _grouped(docs, id_col, text_col)
     rooted = rooted.join(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "print")
-    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = rooted.join(firsts, "root").select("print", "component_id")
+    found = with_least(rooted, "root", "first_id", "print").select("print", F.col("low").alias("component_id"))
     return prints.join(found, "print").select(
         "doc_id",
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
