@@ -4,12 +4,13 @@ import html
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.dom import Node, decode, parse
+from tidemark.llm.dom import Node, decode, features, parse
 from tidemark.llm.pages import MADE_PAGES, _labels, extract_main_text, made_page
 
 SF = "/root/testdata/sf0.01"
@@ -79,6 +80,22 @@ def test_parts_that_are_left_out():
     assert [n.text for n in parse(page) if not n.tag] == ["One", "two", "three 3", "four", "five", "six", "a", "b"]
 
 
+@pytest.mark.parametrize("inner", ["div", "li", "td", "button"])
+def test_nested_blocks_take_time_in_proportion(inner):
+    """100,000 levels, below elements that would be looked for in vain."""
+
+    def seconds(levels):
+        page = f"<p><button><ul><li><table><tr><td>{f'<{inner}>' * levels}deep<p>er{f'</{inner}>' * levels}</td>"
+        began = time.perf_counter()
+        nodes = parse(page)
+        features(nodes)
+        assert " ".join(n.text for n in nodes if not n.tag) == "deep er"
+        return time.perf_counter() - began
+
+    few, many = min(seconds(5_000) for _ in range(3)), seconds(100_000)
+    assert many < 20 * max(few, 0.05) * 5
+
+
 def test_decoding_is_the_best_consistent_choice():
     rng = random.Random(1)
     for _ in range(60):

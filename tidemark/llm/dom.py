@@ -91,20 +91,29 @@ class Node:
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.open = Node("html", None)
+        self.root = Node("html", None)
+        self.stack = [self.root]
+        #: How deep the open elements of each tag are, the innermost last.
+        self.depths: dict[str, list[int]] = {"html": [0]}
         self.leaf: Node | None = None
         self.anchors = 0
         self.unseen: str | None = None
 
+    def _open(self, tag: str, tokens: frozenset[int], gold: str | None) -> None:
+        self.depths.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(Node(tag, self.stack[-1], tokens, gold))
+
+    def _innermost(self, tags: set[str] | frozenset[str]) -> int:
+        return max((self.depths[tag][-1] for tag in tags if self.depths.get(tag)), default=0)
+
     def _close(self, tags: set[str], stops: frozenset[str] | set[str]) -> None:
         """Close the nearest open element of `tags` that lies within all of `stops`."""
-        node = self.open
-        while node.parent is not None and node.tag not in tags:
-            if node.tag in stops:
-                return
-            node = node.parent
-        if node.parent is not None:
-            self.open, self.leaf = node.parent, None
+        depth = self._innermost(tags)
+        if depth and depth >= self._innermost(stops):
+            for node in self.stack[depth:]:
+                self.depths[node.tag].pop()
+            del self.stack[depth:]
+            self.leaf = None
 
     def handle_starttag(self, tag, attrs):
         if self.unseen:
@@ -126,7 +135,7 @@ class _Builder(HTMLParser):
             names = " ".join(v for k, v in attrs if k in _NAMES and v)
             tokens = frozenset(_TOKEN_INDEX.get(t.lower(), -1) for t in _TOKEN.findall(names)) - {-1}
             gold = next((v for k, v in attrs if k == "data-gold"), None)
-            self.open = Node(tag, self.open, tokens, gold)
+            self._open(tag, tokens, gold)
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag not in UNSEEN:
@@ -148,7 +157,7 @@ class _Builder(HTMLParser):
         if self.leaf is None:
             if data.isspace():
                 return
-            self.leaf = Node("", self.open)
+            self.leaf = Node("", self.stack[-1])
         self.leaf.parts.append(data)
         if self.anchors:
             self.leaf.links += len(data)

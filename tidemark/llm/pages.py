@@ -202,10 +202,15 @@ def probabilities(trees: list[Tree], table: np.ndarray) -> np.ndarray:
 
 
 def fit_trees(spark: SparkSession, pages: DataFrame, sample_pages: int = SAMPLE_PAGES, made_pages: int = MADE_PAGES) -> list[Tree]:
-    """Trees trained on a sample of `pages` (page_id, html) and on made pages."""
+    """Trees trained on a sample of `pages` (page_id, url, html) and on made pages.
+
+    Pages are chosen by a hash of the whole row, so that neither a repeated id nor a url
+    that many pages have brings more of them; those without an id are left out.
+    """
     modulus = 1 << 30
     share = min(1.0, sample_pages / max(1, pages.count()))
-    chosen = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(modulus)) < int(share * modulus))
+    known = pages.where(F.col("page_id").isNotNull())
+    chosen = known.where(F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(modulus)) < int(share * modulus))
     schema = "label double, measures array<double>"
     given = chosen.select("html").mapInArrow(_given, schema)
     made = spark.range(0, made_pages, 1, TRAINING_PARTITIONS).mapInArrow(_made, schema)
