@@ -1,8 +1,9 @@
 """Credentials in texts, told from copied examples by who has them.
 
-Spans are found by patterns, in DataFrame expressions. A value that many owners or
-repositories have is an example that is passed around; one that few have, and that looks
-random, is somebody's own. Values are compared by their SHA-256 only.
+Spans are found by patterns, in DataFrame expressions. A value that many owners have, or
+several with many different texts, is an example that is passed around; one that a single
+owner has, or a few in a few texts, and that looks random, is somebody's own. Copies of a
+text are one repository, however many there are. Values are compared by their SHA-256 only.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import whole_row
+from tidemark.llm.words import let, whole_row
 from tidemark.plans.staging import stage
 
 
@@ -39,7 +40,8 @@ BASE = (
 CANDIDATE = Pattern("owned", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", 0, 20)
 KINDS = (*BASE, CANDIDATE)
 
-#: Found in more owners, or in more repositories, a value is an example.
+#: A value that one owner has is that owner's. Several owners share one if they are so few
+#: and it is in so few different texts; else it is an example.
 MAX_OWNERS = 2
 MAX_REPOSITORIES = 10
 #: Bits a character of a value that looks random, and words that examples have.
@@ -48,15 +50,19 @@ PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|xxxx|0123456789|12
 
 
 def _found(text: Column, pattern: Pattern) -> Column:
-    """(gap, match, value) of each match: characters since the match before, all of it, its group."""
-    gaps = F.transform(F.split(text, pattern.regex, -1), F.length)
+    """(gap, gap_bytes, match, value) of each match: what is between it and the one before, all of it, its group."""
+    gaps = F.transform(
+        F.split(text, pattern.regex, -1), lambda g: F.struct(F.length(g).alias("chars"), F.octet_length(g).alias("bytes"))
+    )
     matches = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(pattern.group))
     parts = F.transform(
         F.slice(F.arrays_zip(gaps.alias("gap"), matches.alias("match"), values.alias("value")), 1, F.size(matches)),
-        lambda x: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), x["value"].alias("value")),
+        lambda x: F.struct(
+            x["gap"]["chars"].alias("gap"), x["gap"]["bytes"].alias("gap_bytes"), x["match"].alias("match"), x["value"].alias("value")
+        ),
     )
-    none = F.array().cast("array<struct<gap:int,match:string,value:string>>")
+    none = F.array().cast("array<struct<gap:int,gap_bytes:int,match:string,value:string>>")
     return F.when(F.rlike(text, F.lit(pattern.regex)), parts).otherwise(none)
 
 
@@ -68,7 +74,7 @@ def _entropy(text: Column) -> Column:
 
 
 def _spans(scanned: DataFrame) -> DataFrame:
-    """(doc_id, content, owner, kind, rank, start, end, value): matches that are long enough."""
+    """(doc_id, content, kind, rank, start, end, byte_start, byte_end, value): matches that are long enough."""
     key = ["doc_id", "content", "kind", "rank"]
     kinds = [
         scanned.where(F.size(p.kind) > 0).select(
@@ -86,22 +92,29 @@ def _spans(scanned: DataFrame) -> DataFrame:
         parts = parts.unionByName(other)
     # Rows of the same id and text have the same matches; owners are counted apart from them.
     parts = parts.groupBy(*key, "nth").agg(F.min("part").alias("part"))
-    size = F.length("part.match")
+    size, size_bytes = F.length("part.match"), F.octet_length("part.match")
     before = Window.partitionBy(*key).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("part.gap") + size).over(before)
+    byte_end = F.sum(F.col("part.gap_bytes") + size_bytes).over(before)
     least = F.element_at(F.array(*(F.lit(p.least) for p in KINDS)), F.col("rank") + 1)
     return parts.select(
-        *key, (end - size).alias("start"), end.alias("end"), F.col("part.value").alias("value"), least.alias("least")
+        *key,
+        (end - size).alias("start"),
+        end.alias("end"),
+        (byte_end - size_bytes).alias("byte_start"),
+        byte_end.alias("byte_end"),
+        F.col("part.value").alias("value"),
+        least.alias("least"),
     ).where(F.length("value") >= F.col("least")).drop("least")
 
 
 def _ownership(scanned: DataFrame) -> DataFrame:
     """(secret, owners, repositories) of each value anywhere in the corpus."""
     values = F.concat(*(F.col(p.kind)["value"] for p in KINDS))
-    secrets = scanned.select("owner", "doc_id", "content", F.explode(F.array_distinct(values)).alias("value"))
-    secrets = secrets.select(F.sha2("value", 256).alias("secret"), "owner", F.struct("doc_id", "content").alias("repo"))
+    secrets = scanned.select("owner", "content", F.explode(F.array_distinct(values)).alias("value"))
+    secrets = secrets.select(F.sha2("value", 256).alias("secret"), "owner", "content")
     by_owner = secrets.groupBy("secret", "owner").agg(F.count("*").alias("n"))
-    by_repo = secrets.groupBy("secret", "repo").agg(F.count("*").alias("n"))
+    by_repo = secrets.groupBy("secret", "content").agg(F.count("*").alias("n"))
     owners = by_owner.groupBy("secret").agg(F.count("*").alias("owners"))
     repositories = by_repo.groupBy("secret").agg(F.count("*").alias("repositories"))
     return owners.join(repositories, "secret")
@@ -112,13 +125,13 @@ def find_secrets(
 ) -> DataFrame:
     """(doc_id, content, spans) for every row of `docs`.
 
-    `spans` are (start, rank, kind, end, live), sorted by start and order of kinds, in
-    code points, the end exclusive. Spans of the base kinds are all there; `live` tells
+    `spans` are (start, rank, kind, end, live, byte_start, byte_end), sorted by start and
+    order of kinds, start and end in code points, the end exclusive. Spans of the base kinds are all there; `live` tells
     whether the value looks like somebody's own credential. The kind `owned` adds strings
-    that match no base kind and are live. The repository of a value is the document, its
-    owner the source; a null source is an owner. Null texts are empty; null ids and
-    repeated rows are kept, rows of the same id and text are one repository. Other
-    columns are not read. An empty table gives no rows.
+    that overlap no base span and are live. The repository of a value is the text, its owner
+    the source; a null source is an owner. Null texts are empty; null ids and repeated rows
+    are kept, and rows of the same text are one repository. Other columns are not read. An
+    empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     scanned = docs.select(
@@ -130,70 +143,72 @@ def find_secrets(
     scanned = stage(scanned, "scanned")
     held = scanned.where(F.greatest(*(F.size(p.kind) for p in KINDS)) > 0)
     spans = _spans(held).withColumn("secret", F.sha2("value", 256))
-    own = (F.col("owners") <= MAX_OWNERS) & (F.col("repositories") <= MAX_REPOSITORIES)
+    few = (F.col("owners") <= MAX_OWNERS) & (F.col("repositories") <= MAX_REPOSITORIES)
+    own = (F.col("owners") == 1) | few
     random = (_entropy(F.col("value")) >= LEAST_ENTROPY) & ~F.rlike("value", F.lit(PLACEHOLDER))
     judged = spans.join(_ownership(held), "secret").withColumn("live", own & random)
     mixed = F.rlike("value", F.lit("[0-9]")) & F.rlike("value", F.lit("[A-Za-z]"))
-    span = F.struct("start", "rank", "kind", "end", "live")
-    base = F.col("kind") != CANDIDATE.kind
-    lists = (
-        judged.where(base | (F.col("live") & mixed))
-        .groupBy("doc_id", "content")
-        .agg(
-            F.sort_array(F.collect_list(F.when(base, span))).alias("base"),
-            F.sort_array(F.collect_list(F.when(~base, span))).alias("more"),
-        )
-    )
-    found = lists.select("doc_id", "content", _merged(F.col("base"), F.col("more")).alias("spans"))
-    found = found.alias("f")
+    span = F.struct("start", "rank", "kind", "end", "live", "byte_start", "byte_end")
+    judged = judged.where((F.col("kind") != CANDIDATE.kind) | (F.col("live") & mixed))
+    lists = _free(judged).groupBy("doc_id", "content").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    found = lists.alias("f")
     every = scanned.select("doc_id", "content").alias("d")
     joined = every.join(found, F.expr("d.doc_id <=> f.doc_id and d.content = f.content"), "left")
     none = F.array().cast(found.schema["spans"].dataType)
     return joined.select("d.doc_id", "d.content", F.coalesce("f.spans", none).alias("spans"))
 
 
-def _merged(base: Column, more: Column) -> Column:
-    """Base spans and those others that overlap none of them."""
-    free = F.filter(
-        more, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    )
-    return F.sort_array(F.concat(base, free))
-
-
-def redacted(text: Column, spans: Column) -> Column:
-    """`text` with each stretch that spans cover replaced, live ones by [credential], others by [example]."""
-    covers = F.aggregate(
-        spans,
-        F.array().cast("array<struct<start:bigint,end:bigint,live:boolean>>"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (s["start"] < F.element_at(done, -1)["end"]),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(done, -1)["start"].alias("start"),
-                        F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"),
-                        (F.element_at(done, -1)["live"] | s["live"]).alias("live"),
-                    )
-                ),
-            ),
-        ).otherwise(
-            F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["live"].alias("live"))))
-        ),
+def _free(spans: DataFrame) -> DataFrame:
+    """Base spans, and those others that overlap none of them."""
+    base = F.col("kind") != CANDIDATE.kind
+    text = Window.partitionBy("doc_id", "content")
+    so_far = text.orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    # Backwards, as frames that reach to the end would be gone through again for each row.
+    to_come = text.orderBy(F.desc("start"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = spans.withColumns(
+        {"upto": F.max(F.when(base, F.col("end"))).over(so_far), "next": F.min(F.when(base, F.col("start"))).over(to_come)}
     )
-    whole = F.struct(
-        F.length(text).cast("long").alias("start"), F.length(text).cast("long").alias("end"), F.lit(None).cast("boolean").alias("live")
+    apart = F.coalesce(F.col("upto") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("next") >= F.col("end"), F.lit(True))
+    return placed.where(base | apart).drop("upto", "next")
+
+
+def covers(found: DataFrame) -> DataFrame:
+    """(doc_id, content, covers): stretches that spans cover, by bytes, those that overlap made one.
+
+    A stretch is live if one of its spans is.
+    """
+    rows = found.select("doc_id", "content", F.inline("spans"))
+    order = Window.partitionBy("doc_id", "content").orderBy("start", "rank")
+    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce((F.col("start") >= upto).cast("int"), F.lit(1))
+    rows = rows.withColumn("opens", opens)
+    rows = rows.withColumn("nth", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = rows.groupBy("doc_id", "content", "nth").agg(
+        F.min("byte_start").alias("begin"), F.max("byte_end").alias("end"), F.max("live").alias("live")
     )
-    stops = F.concat(covers, F.array(whole))
+    listed = F.sort_array(F.collect_list(F.struct("begin", "end", "live"))).alias("covers")
+    return stretches.groupBy("doc_id", "content").agg(listed)
+
 
-    def piece(stop: Column, i: Column, all_stops: Column) -> Column:
-        begin = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(all_stops, i - 1)["end"])
+def redacted(text: Column, covers: Column) -> Column:
+    """`text` with each stretch of `covers` replaced, live ones by [credential], others by [example].
+
+    Pieces are cut by bytes, which takes no search for their characters.
+    """
+
+    def piece(data: Column, stop: Column, i: Column, stops: Column) -> Column:
+        begin = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(stops, i - 1)["end"])
         mark = F.when(stop["live"].isNull(), "").when(stop["live"], "[credential]").otherwise("[example]")
-        return F.concat(F.substring(text, (begin + 1).cast("int"), (stop["start"] - begin).cast("int")), mark)
+        kept = F.substring(data, (begin + 1).cast("int"), (stop["begin"] - begin).cast("int"))
+        return F.concat(kept.cast("string"), mark)
+
+    def built(data: Column) -> Column:
+        size = F.octet_length(data).cast("long")
+        end = F.struct(size.alias("begin"), size.alias("end"), F.lit(None).cast("boolean").alias("live"))
+        pieces = lambda stops: F.transform(stops, lambda stop, i: piece(data, stop, i, stops))
+        return let(F.concat(covers, F.array(end)), lambda stops: F.array_join(pieces(stops), ""))
 
-    # Bound to a variable, so that the list is made once.
-    built = F.transform(F.array(stops), lambda all_stops: F.array_join(F.transform(all_stops, lambda s, i: piece(s, i, all_stops)), ""))
-    return F.when(F.size(spans) > 0, built[0]).otherwise(text)
+    return F.when(F.size(covers) > 0, let(text.cast("binary"), built)).otherwise(text)
 
 
 def redact(
@@ -208,7 +223,8 @@ def redact(
     `length_col` is a column that holds the number of characters and follows the text.
     """
     found = find_secrets(docs, id_col, text_col, owner_col)
-    found = stage(found.where(F.size("spans") > 0).dropDuplicates(["doc_id", "content"]), "spans")
+    found = found.where(F.size("spans") > 0).dropDuplicates(["doc_id", "content"])
+    found = stage(covers(found), "covers")
     text = F.col(text_col).cast("string")
     whole = docs.select(
         whole_row(docs),
@@ -216,11 +232,10 @@ def redact(
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("content"),
     )
     same = F.expr("d.doc_id <=> s.doc_id and d.content = s.content")
-    met = whole.alias("d").join(found.alias("s"), same, "left").select("d.row", "s.spans")
-    clean = F.when(F.size("spans") > 0, redacted(F.col("row")[text_col], F.col("spans"))).otherwise(F.col("row")[text_col])
-    met = met.withColumn("clean", clean)
+    met = whole.alias("d").join(found.alias("s"), same, "left").select("d.row", "s.covers")
+    met = met.withColumn("clean", redacted(F.col("row")[text_col], F.col("covers")))
     changed = {text_col: F.col("clean")}
     if length_col:
         length = F.length("clean").cast(docs.schema[length_col].dataType)
-        changed[length_col] = F.when(F.size("spans") > 0, length).otherwise(F.col("row")[length_col])
+        changed[length_col] = F.when(F.size("covers") > 0, length).otherwise(F.col("row")[length_col])
     return met.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
