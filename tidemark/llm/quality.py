@@ -2,6 +2,9 @@
 
 Two histograms are compared, of character classes and of a language's common words, by
 Jensen-Shannon distance (the root of the divergence, base 2). Spark expressions only.
+
+Texts are read once. What is kept of a row are its counts and how often it has each word,
+from which follow the common words of all languages, and then its own histogram of them.
 """
 
 from __future__ import annotations
@@ -17,8 +20,6 @@ REPEAT_WORDS = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 
-#: No bound: every language has a reference of its own. A test still sets this name.
-MAX_LANGUAGES = None
 #: Common words of a language.
 COMMON_WORDS = 16
 #: Shorter texts are not judged by the histogram.
@@ -29,47 +30,71 @@ CHAR_LIMIT, CHAR_CHANCE = 0.22, 1.7
 WORD_LIMIT, WORD_CHANCE = 0.20, 1.2
 
 
-def _lower(word: Column) -> Column:
-    return F.lower(word)
-
-
 def _base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED * n_words)
 
 
-def common_words(docs: DataFrame) -> DataFrame:
+def words_with_counts(words: Column) -> Column:
+    """(word, n): the different words of letters, in lower case, with how often each occurs.
+
+    Words that differ in case are separate entries of the same word.
+    """
+
+    def runs(ordered: Column) -> Column:
+        opens = lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
+        begins = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), opens)
+        return let(begins, lambda own: entries(ordered, own))
+
+    def entries(ordered: Column, begins: Column) -> Column:
+        ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(ordered)))
+        each = F.zip_with(begins, ends, lambda a, b: F.struct(F.get(ordered, a).alias("word"), (b - a).alias("n")))
+        letters = F.filter(each, lambda e: F.rlike(e["word"], F.lit(r"^\p{L}+$")))
+        return F.transform(letters, lambda e: F.struct(F.lower(e["word"]).alias("word"), e["n"].alias("n")))
+
+    none = F.array().cast("array<struct<word:string,n:int>>")
+    return F.when(F.size(words) > 0, let(F.sort_array(words), runs)).otherwise(none)
+
+
+def common_words(measured: DataFrame) -> DataFrame:
     """(language, vocabulary): the most frequent words of letters, in order, of each language.
 
     They are counted over all documents that pass the base rules; under "", for rows of
     null language, over those of all languages together. Where no word is found there is
     no row.
     """
-    passing = lambda words: F.when(
-        ~_base_failed(F.size(words).cast("long"), repeated_words(words).cast("long")), words
-    )
-    found = let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), passing)
-    words = docs.select("lang", F.explode(found).alias("word")).where(F.rlike("word", F.lit(r"^\p{L}+$")))
-    counts = words.groupBy("lang", _lower(F.col("word")).alias("word")).agg(F.count("*").alias("n"))
-    counts = counts.select(F.explode(F.array("lang", F.lit(""))).alias("language"), "word", "n")
-    counts = counts.where(F.col("language").isNotNull()).groupBy("language", "word").agg(F.sum("n").alias("n"))
+    words = measured.where(~F.col("base_failed")).select("language", F.inline("bag"))
+    counts = words.groupBy("language", "word").agg(F.sum("n").alias("n"))
+    # Rows of null language have "" already, so that they count once.
+    own_and_all = F.array_distinct(F.array("language", F.lit("")))
+    counts = counts.select(F.explode(own_and_all).alias("language"), "word", "n")
+    counts = counts.groupBy("language", "word").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("language").orderBy(F.desc("n"), "word")
     top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= COMMON_WORDS)
     listed = F.sort_array(F.collect_list(F.struct("place", "word")))["word"]
     return top.groupBy("language").agg(listed.alias("vocabulary"))
 
 
-def character_classes(text: Column) -> dict[str, Column]:
-    """Characters of each class; all others are counted as `other`."""
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
-    return {
-        "space": (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long"),
-        "break": count(r"[\x09-\x0D]"),
-        "upper": count(r"\p{Lu}"),
-        "lower": F.length(F.regexp_replace(text, r"\P{Ll}+", "")).cast("long"),
-        "digit": count("[0-9]"),
-        "stop": count("[.,;:]"),
-        "symbol": count(SYMBOLS),
-    }
+CLASSES = ("space", "break", "upper", "lower", "digit", "stop", "symbol", "other")
+
+
+def character_classes(text: Column) -> Column:
+    """Characters of each class, in the order of CLASSES.
+
+    Most characters are lower case letters and spaces. What is left without them is short,
+    so that the other classes are looked for there.
+    """
+    size = F.length(text).cast("long")
+    space = size - F.length(F.replace(text, F.lit(" "), F.lit("")))
+
+    def counts(rest: Column) -> Column:
+        count = lambda pattern: F.regexp_count(rest, F.lit(pattern)).cast("long")
+        found = [
+            count(r"[\x09-\x0D]"), count(r"\p{Lu}"), count("[0-9]"), count("[.,;:]"), count(SYMBOLS)
+        ]
+        found = [space, found[0], found[1], size - F.length(rest) - space, *found[2:]]
+        return let(F.array(*found), lambda known: F.concat(known, F.array(size - F.aggregate(known, F.lit(0).cast("long"), lambda a, b: a + b))))
+
+    return let(F.regexp_replace(text, r"[\p{Ll} ]+", ""), counts)
 
 
 def _covered(windows: Column) -> Column:
@@ -96,13 +121,19 @@ def _covered(windows: Column) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """Words in windows of REPEAT_WORDS words that are found twice or more in the text."""
+    """Words in windows of REPEAT_WORDS words that are found twice or more in the text.
+
+    A window's hash is made from those of its halves.
+    """
+
+    def joined(hashes: Column, step: int) -> Column:
+        """Of each place, the hash of what is there and what is `step` places later."""
+        size = F.greatest(F.size(hashes) - step, F.lit(0))
+        return F.zip_with(F.slice(hashes, 1, size), F.slice(hashes, step + 1, size), lambda a, b: F.xxhash64(a, b))
 
     def windows(hashes: Column) -> Column:
-        last = F.size(hashes) - REPEAT_WORDS
-        window = lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(REPEAT_WORDS)))
-        some = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), window)
-        return F.when(last > 0, some).otherwise(F.array().cast("array<bigint>"))
+        doubled = let(joined(hashes, 1), lambda twos: let(joined(twos, 2), lambda fours: joined(fours, 4)))
+        return F.when(F.size(hashes) > REPEAT_WORDS, doubled).otherwise(F.array().cast("array<bigint>"))
 
     def count(found: Column) -> Column:
         return F.when(F.size(F.array_distinct(found)) < F.size(found), _covered(found)).otherwise(0)
@@ -116,51 +147,50 @@ def repeated_lines(text: Column) -> Column:
     return let(lines, lambda found: F.size(found) - F.size(F.array_distinct(found)))
 
 
-def _histogram(words: Column, vocabulary: Column) -> Column:
+def _histogram(bag: Column, n_words: Column, vocabulary: Column) -> Column:
     """How often each word of the vocabulary occurs, and last all others."""
+    known = F.coalesce(vocabulary, F.array().cast("array<string>"))
 
-    def counts(places: Column) -> Column:
+    def counts(met: Column) -> Column:
+        times = lambda word: F.aggregate(
+            F.filter(met, lambda e: e["word"] == word), F.lit(0).cast("long"), lambda total, e: total + e["n"]
+        )
         each = F.transform(
-            F.sequence(F.lit(1), F.lit(COMMON_WORDS)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("long")
+            F.sequence(F.lit(0), F.lit(COMMON_WORDS - 1)), lambda k: F.coalesce(times(F.get(known, k)), F.lit(0).cast("long"))
         )
-        return F.concat(each, F.array((F.size(words) - F.size(places)).cast("long")))
+        total = F.aggregate(met, F.lit(0).cast("long"), lambda total, e: total + e["n"])
+        return F.concat(each, F.array(n_words - total))
 
-    places = lambda known: F.filter(
-        F.transform(words, lambda w: F.array_position(known, _lower(w)).cast("int")), lambda p: p > 0
-    )
-    return let(vocabulary, lambda known: let(places(known), counts))
+    return let(F.filter(bag, lambda e: F.array_contains(known, e["word"])), counts)
 
 
-def measure(docs: DataFrame, vocabularies: DataFrame) -> DataFrame:
-    """The counts and histograms of each row."""
-    language = F.coalesce("lang", F.lit(""))
-    known = docs.withColumn("language", language).join(vocabularies, "language", "left")
-    chosen = F.coalesce("vocabulary", F.array().cast("array<string>"))
+def measure(docs: DataFrame) -> DataFrame:
+    """The counts of each row, and its `bag` of words; each text is gone through once."""
     text = F.col("text")
-    classes = character_classes(text)
     from_words = lambda words: F.struct(
         F.size(words).cast("long").alias("n_words"),
         repeated_words(words).cast("long").alias("n_repeat_words"),
-        _histogram(words, chosen).alias("word_counts"),
+        words_with_counts(words).alias("bag"),
     )
-    found = known.select(
+    found = docs.select(
         "doc_id",
-        "language",
+        F.coalesce("lang", F.lit("")).alias("language"),
         F.length(text).cast("long").alias("chars"),
-        *(c.alias(name) for name, c in classes.items()),
+        character_classes(text).alias("char_counts"),
         repeated_lines(text).cast("long").alias("n_dup_lines"),
         let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), from_words).alias("w"),
     )
-    other = F.col("chars") - sum((F.col(name) for name in classes), F.lit(0))
+    in_class = lambda name: F.col("char_counts")[CLASSES.index(name)]
     return found.select(
         "doc_id",
         "language",
         "chars",
         "w.*",
-        (F.col("chars") - F.col("space") - F.col("break")).alias("word_chars"),
-        F.col("symbol").alias("n_symbols"),
+        (F.col("chars") - in_class("space") - in_class("break")).alias("word_chars"),
+        in_class("symbol").alias("n_symbols"),
         "n_dup_lines",
-        F.array(*classes, other).alias("char_counts"),
+        "char_counts",
+        _base_failed(F.col("w.n_words"), F.col("w.n_repeat_words")).alias("base_failed"),
     )
 
 
@@ -194,17 +224,21 @@ def judge_quality(
     more than MOST_REPEATED in 100 words inside repeated windows. References are summed
     over all rows of a language that do not. A row is kept if it does not fail and
     neither histogram, where the text is long enough for it, is too far from the
-    reference. Rows of null language are compared with each other. Null texts are empty; null ids and repeated rows are kept; other columns
-    are not read. An empty table gives no rows.
+    reference. Rows of null language are compared with each other. Null texts are empty;
+    null ids and repeated rows are kept; other columns are not read. An empty table gives
+    no rows.
     """
     narrow = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.nullif(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    measured = measure(narrow, stage(common_words(narrow), "words"))
-    failed = _base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    measured = stage(measured.withColumn("base_failed", failed), "quality")
+    measured = stage(measure(narrow), "measures")
+    vocabularies = stage(common_words(measured), "words")
+    known = measured.join(vocabularies, "language", "left")
+    histogram = _histogram(F.col("bag"), F.col("n_words"), F.col("vocabulary")).alias("word_counts")
+    kept = [c for c in measured.columns if c != "bag"]
+    measured = stage(known.select(*kept, histogram), "quality")
     references = (
         measured.where(~F.col("base_failed"))
         .groupBy("language")
