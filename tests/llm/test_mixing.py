@@ -13,6 +13,11 @@ from tidemark.llm.mixing import mix
 COLUMNS = "doc_id long, text string, source string"
 
 
+def shuffle_key(doc, text):
+    parts = ["" if doc is None else str(doc)] + ([] if text is None else [hashlib.md5(text.encode()).hexdigest()])
+    return hashlib.md5(":".join(parts).encode()).hexdigest()
+
+
 def plain(rows):
     size = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
     names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, (s or "").encode()))
@@ -29,7 +34,7 @@ def plain(rows):
     target = {s: min(3.0 * total[s], level * weight[s]) for s in names}
     queued, entries = [], []
     for s in names:
-        own = [(hashlib.md5(str("" if d is None else d).encode()).hexdigest(), size(t), d is not None, d or 0, d) for d, t, x in rows if x == s]
+        own = [(shuffle_key(d, t), size(t), d is not None, d or 0, d) for d, t, x in rows if x == s]
         upto = 0
         for _, n, _, _, d in sorted(own):
             upto += n
@@ -94,3 +99,11 @@ def test_sources_come_near_their_targets(spark):
         target = next(r[4] for r in out if r[1] == source)
         assert abs(taken - target) < 120
     assert all(r[5] <= 3 * r[2] for r in out)
+
+
+def test_rows_without_an_id_are_dealt_out(spark):
+    """10,000 rows of null id lie in as many buckets as others."""
+    rows = [(None, f"w{i} x", "a") for i in range(10_000)]
+    keys = {shuffle_key(d, t)[:2] for d, t, _ in rows}
+    assert len(keys) == 256
+    assert found(spark, rows) == plain(rows)

@@ -108,11 +108,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(doc_id, source, content, size, source_size, target, taken, finish) for every row of `docs`.
 
     `size` is the number of words, `taken` how many the mix takes of the row, in whole
-    copies, at most MAX_EPOCHS. Rows are shuffled by the MD5 of their id, then by size,
-    id and content, so that runs agree. `finish` is the virtual finish time of the first
+    copies, at most MAX_EPOCHS. Rows are shuffled by the MD5 of their id and that of their
+    text, then by size, id and content, so that runs agree and rows of one id, or of none,
+    are dealt out like others. `finish` is the virtual finish time of the first
     copy, the order of the mix. Copies whose finish time is that of the copy which would
     exceed the budget, or later, are left out. Null texts have size 0, a null source is
-    the last source, null ids stand together. Repeated rows are separate rows. An empty
+    the last source. Repeated rows are separate rows, next to each other. An empty
     table gives no rows.
     """
     text = F.col(text_col).cast("string")
@@ -123,7 +124,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source_text"),
             word_count(text).alias("size"),
             F.xxhash64(text).alias("content"),
-            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("shuffle_key"),
+            F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text))).alias("shuffle_key"),
         ),
         "sized",
     )
