@@ -63,7 +63,7 @@ def test_ranks_against_plain():
         if own:
             best = min(sorted(profiles), key=lambda k: plain_distance(own, profiles[k]))
             score = 1 - plain_distance(own, profiles[best]) / (400 * len(own))
-            assert ranks.closest(sample) == (best, score)
+            assert ranks.closest(sample) == (best, score, True)
 
 
 def test_edge_cases(spark):

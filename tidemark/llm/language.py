@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from tidemark.llm.words import whole_row
 from tidemark.plans.staging import stage
@@ -29,7 +29,7 @@ SAMPLE_DOCUMENTS = 1000
 #: One document in four, by the CRC-32 of its id, is held out from learning.
 FOLDS, HELD_OUT_FOLD = 4, 2
 
-SCORED = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+SCORED = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("lettered", BooleanType())]
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BLANK = 32
@@ -115,11 +115,11 @@ class Ranks:
         self.grams, counts = np.unique(grams, return_counts=True)
         self.starts = np.concatenate([[0], np.cumsum(counts)])
 
-    def closest(self, text: str | None) -> tuple[str, float]:
-        """Language and score: one less the distance as a share of the largest possible one."""
+    def closest(self, text: str | None) -> tuple[str, float, bool]:
+        """Language and score, one less the distance as a share of the largest possible one, and whether there are letters."""
         own = top_grams(text) if text else ()
         if not len(own) or not self.languages:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, len(own) > 0
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
         places = np.flatnonzero(self.grams[at] == own)
         first = self.starts[at[places]]
@@ -128,11 +128,11 @@ class Ranks:
         nearer = PROFILE_GRAMS - np.abs(self.ranks[entries] - np.repeat(places, sizes))
         distances = len(own) * PROFILE_GRAMS - np.bincount(self.of[entries], nearer, len(self.languages))
         best = int(distances.argmin())
-        return self.languages[best], 1.0 - float(distances[best]) / (len(own) * PROFILE_GRAMS)
+        return self.languages[best], 1.0 - float(distances[best]) / (len(own) * PROFILE_GRAMS), True
 
 
 def _with_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(row, lang_pred, score): all columns of a row, its language and score."""
+    """(row, lang_pred, score, lettered): all columns of a row, its language and score, and whether it has letters."""
     narrow = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(lang_col).cast("string").alias("lang"),
@@ -145,9 +145,10 @@ def _with_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
         for batch in batches:
             rows = batch.column(0)
             found = [ranks.closest(text.as_py()) for text in rows.field(text_col).cast(pa.string())]
-            languages, scores = zip(*found) if found else ((), ())
+            languages, scores, lettered = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [rows, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"]
+                [rows, pa.array(languages, pa.string()), pa.array(scores, pa.float64()), pa.array(lettered, pa.bool_())],
+                ["row", "lang_pred", "score", "lettered"],
             )
 
     rows = docs.select(whole_row(docs))
@@ -173,6 +174,12 @@ def identify_languages(
 def keep_identified(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.0
 ) -> DataFrame:
-    """The rows of `docs`, with all columns, whose text is in a language: not `und`, and scored so high."""
+    """The rows of `docs`, with all columns, whose text is in a language: it has letters, and is scored so high.
+
+    Rejected are texts that are null or without letters, and with `least_score` those that
+    no learned language is near to. Where no row has a language to learn from, all texts
+    with letters stay, as nothing can be said against them.
+    """
     found = _with_languages(docs, id_col, text_col, lang_col)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")
+    unlearned = F.col("lang_pred") == UNKNOWN
+    return found.where(F.col("lettered") & (unlearned | (F.col("score") >= least_score))).select("row.*")
