@@ -26,11 +26,74 @@ FROM marked
 GROUP BY conv_id
 """
 
+OP6_SQL = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS doc, doc_id, hex(encode(coalesce(text, ''))) AS body FROM documents
+), blocks AS MATERIALIZED (
+  SELECT doc, k, list_extract(parts, k) || coalesce(list_extract(parts, k + 1), '') AS two, len(list_extract(parts, k)) // 2 AS own
+  FROM (SELECT doc, parts, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT doc, regexp_extract_all(body, '.{1,800}') AS parts FROM docs))
+), starts AS MATERIALIZED (
+  SELECT doc, (k - 1) * 400 + o AS start, md5(substr(two, CAST(2 * o + 1 AS BIGINT), 800)) AS name
+  FROM (SELECT *, unnest(range(own)) AS o FROM blocks WHERE len(two) >= 800) WHERE len(two) >= 2 * o + 800
+), again AS (
+  SELECT s.doc, s.start FROM starts s SEMI JOIN (SELECT name FROM starts GROUP BY name HAVING count(*) > 1) r ON s.name = r.name
+), runs AS (
+  SELECT doc, start, sum(opens) OVER (PARTITION BY doc ORDER BY start) AS run
+  FROM (SELECT doc, start, CASE WHEN start - lag(start) OVER (PARTITION BY doc ORDER BY start) <= 400 THEN 0 ELSE 1 END AS opens FROM again)
+), spans AS MATERIALIZED (
+  SELECT doc, min(start) AS begin, max(start) + 400 AS stop FROM runs GROUP BY doc, run
+), kept AS (
+  SELECT doc, count(*) AS n_spans, sum(stop - begin) AS n_removed,
+    string_agg(substr(body, CAST(2 * former + 1 AS BIGINT), CAST(2 * (begin - former) AS BIGINT)), '' ORDER BY begin)
+      || any_value(substr(body, CAST(2 * last_stop + 1 AS BIGINT))) AS rest
+  FROM (
+    SELECT s.doc, begin, stop, body, coalesce(lag(stop) OVER w, 0) AS former, max(stop) OVER (PARTITION BY s.doc) AS last_stop
+    FROM spans s JOIN docs d ON s.doc = d.doc WINDOW w AS (PARTITION BY s.doc ORDER BY begin)
+  ) GROUP BY doc
+)
+SELECT doc_id, CAST(len(body) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, body))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc)
+"""
+
+OP9_SQL = r"""
+WITH items AS MATERIALIZED (
+  SELECT row_number() OVER () AS item, CAST(item_id AS VARCHAR) AS item_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), sized AS MATERIALIZED (
+  SELECT item_id, words, least(13, len(words)) AS size FROM items WHERE len(words) > 0
+), windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, size, array_to_string(words[i:i + size - 1], ' ') AS window_words
+  FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS i FROM sized)
+), docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS doc, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+  FROM documents
+), places AS MATERIALIZED (
+  SELECT d.doc, s.size, unnest(range(1, len(d.words) - s.size + 2)) AS i, d.words
+  FROM docs d, (SELECT DISTINCT size FROM sized) s WHERE len(d.words) >= s.size
+), met AS MATERIALIZED (
+  SELECT p.doc, p.i, p.size, p.window_words
+  FROM (SELECT doc, i, size, array_to_string(words[i:i + size - 1], ' ') AS window_words FROM places) p
+  SEMI JOIN windows w ON p.size = w.size AND p.window_words = w.window_words
+), hit AS (
+  SELECT doc, count(DISTINCT place) AS n_hit FROM (SELECT doc, unnest(range(i, i + size)) AS place FROM met) GROUP BY doc
+), named AS (
+  SELECT doc, count(*) AS n_items, string_agg(item_id, ',' ORDER BY encode(item_id)) AS ids
+  FROM (SELECT DISTINCT m.doc, w.item_id FROM met m JOIN windows w USING (size, window_words) WHERE w.item_id IS NOT NULL)
+  GROUP BY doc
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(words), false) AS contaminated
+FROM docs LEFT JOIN hit USING (doc) LEFT JOIN named USING (doc)
+"""
+
 OP10_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle_key
+    md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), md5(text))) AS shuffle_key
   FROM documents
 ), weighed AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
