@@ -56,6 +56,123 @@ SELECT doc_id, CAST(len(body) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
 FROM docs LEFT JOIN kept USING (doc)
 """
 
+def _spans(kind: str, rank: int, regex: str, group: int, least: int) -> str:
+    """Matches of a pattern and what is between them."""
+    return f"""SELECT doc, '{kind}' AS kind, {rank} AS rank, {least} AS least, regexp_split_to_array(text, '{regex}') AS gaps,
+    regexp_extract_all(text, '{regex}') AS matches, regexp_extract_all(text, '{regex}', {group}) AS found FROM docs"""
+
+
+def _either(word: str) -> str:
+    """A word of letters in either case."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join([*map(_either, ("password", "passwd", "secret", "token")), _either("api") + "_?" + _either("key")])
+_ASSIGN = rf"""({_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+OP8_SQL = rf"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS doc, doc_id, source, coalesce(text, '') AS text FROM documents
+), lists AS MATERIALIZED (
+  {_spans("assign", 0, _ASSIGN, 2, 12)}
+  UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", 0, 18)}
+  UNION ALL {_spans("hex", 2, "[0-9a-f]{16,}", 0, 16)}
+  UNION ALL {_spans("owned", 3, "[A-Za-z0-9+/_-]{20,}={0,2}", 0, 20)}
+), parts AS (
+  SELECT doc, kind, rank, least, len(gaps[i]) AS gap, len(matches[i]) AS size, found[i] AS value, i
+  FROM (SELECT *, unnest(range(1, len(matches) + 1)) AS i FROM lists)
+), placed AS MATERIALIZED (
+  SELECT *, CAST(sum(gap + size) OVER (PARTITION BY doc, kind ORDER BY i) AS BIGINT) AS stop FROM parts
+), owners AS (
+  SELECT value, count(DISTINCT coalesce('s' || source, 'null')) AS owners, count(DISTINCT text) AS texts
+  FROM placed JOIN docs USING (doc) GROUP BY value
+), judged AS MATERIALIZED (
+  SELECT doc, kind, rank, stop - size AS start, stop,
+    (owners = 1 OR owners <= 2 AND texts <= 10) AND list_aggregate(string_split(value, ''), 'entropy') >= 3
+      AND NOT regexp_matches(value, '(?i)example|sample|dummy|placeholder|changeme|xxxx|0123456789|1234567890|abcdef') AS live,
+    kind <> 'owned' AS base, regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AS mixed
+  FROM placed JOIN owners USING (value) WHERE len(value) >= least
+), kept AS (
+  SELECT * FROM judged WHERE base
+  UNION ALL
+  SELECT * FROM judged o WHERE NOT base AND live AND mixed
+    AND NOT EXISTS (SELECT 1 FROM judged b WHERE b.base AND b.doc = o.doc AND b.start < o.stop AND o.start < b.stop)
+), written AS (
+  SELECT doc, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (live) AS n_live,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (base) AS base_spans,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+  FROM kept GROUP BY doc
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM docs LEFT JOIN written USING (doc)
+"""
+
+_CLASSES = ["' '", r"'[\x09-\x0D]'", r"'\p{Lu}'", r"'\p{Ll}'", "'[0-9]'", "'[.,;:]'", "'[#*$%&|<>]'"]
+
+
+def _js(a: str, b: str) -> str:
+    """Jensen-Shannon distance of two lists."""
+    p, q = f"({a}[i] / list_sum({a}))", f"({b}[i] / list_sum({b}))"
+    part = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
+    return f"""CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN
+      sqrt(greatest(0, list_sum(list_transform(range(1, len({a}) + 1), lambda i: {part(p, q)} + {part(q, p)})) / 2)) END"""
+
+
+def _sums(c: str, n: int) -> str:
+    """A list summed place by place."""
+    return "[" + ", ".join(f"CAST(sum({c}[{i}]) AS DOUBLE)" for i in range(1, n + 1)) + "]"
+OP7_SQL = rf"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS doc, doc_id, coalesce(lang, '') AS language, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS MATERIALIZED (
+  SELECT doc, i, md5(array_to_string(words[i:i + 7], ' ')) AS name FROM (SELECT doc, words, unnest(range(1, len(words) - 6)) AS i FROM docs)
+), covered AS (
+  SELECT doc, count(DISTINCT place) AS n_repeat_words FROM (
+    SELECT doc, unnest(range(i, i + 8)) AS place FROM (SELECT doc, i, count(*) OVER (PARTITION BY doc, name) AS n FROM windows) WHERE n > 1
+  ) GROUP BY doc
+), counted AS MATERIALIZED (
+  SELECT d.doc, doc_id, language, words, len(text) AS chars, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    CAST(len(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS BIGINT)
+      - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+    [{", ".join(f"CAST(len(regexp_extract_all(text, {c})) AS DOUBLE)" for c in _CLASSES)}] AS classes
+  FROM docs d LEFT JOIN covered c ON d.doc = c.doc
+), based AS MATERIALIZED (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    list_append(classes, chars - list_sum(classes)) AS char_counts FROM counted
+), spread AS MATERIALIZED (
+  SELECT doc, language, base_failed, lower(word) AS word, count(*) AS n, regexp_matches(word, '^\p{{L}}+$') AS letters
+  FROM (SELECT doc, language, base_failed, unnest(words) AS word FROM based) GROUP BY ALL
+), totals AS (
+  SELECT language, word, sum(n) AS n FROM (
+    SELECT language, word, n FROM spread WHERE letters AND NOT base_failed AND language <> ''
+    UNION ALL SELECT '', word, n FROM spread WHERE letters AND NOT base_failed
+  ) GROUP BY language, word
+), common AS MATERIALIZED (
+  SELECT * FROM (SELECT language, word, row_number() OVER (PARTITION BY language ORDER BY n DESC, word) AS place FROM totals) WHERE place <= 16
+), met AS (
+  SELECT s.doc, c.place, sum(s.n) AS n FROM spread s JOIN common c USING (language, word) WHERE letters GROUP BY s.doc, c.place
+), histograms AS (
+  SELECT doc, [{", ".join(f"CAST(coalesce(sum(n) FILTER (place = {k}), 0) AS DOUBLE)" for k in range(1, 17))}] AS known FROM met GROUP BY doc
+), measured AS MATERIALIZED (
+  SELECT b.*, list_append(coalesce(known, list_resize([0::DOUBLE], 16, 0)), n_words - coalesce(list_sum(known), 0)) AS word_counts
+  FROM based b LEFT JOIN histograms h ON b.doc = h.doc
+), refs AS (
+  SELECT language, {_sums("char_counts", 8)} AS ref_chars, {_sums("word_counts", 17)} AS ref_words FROM measured WHERE NOT base_failed GROUP BY language
+), compared AS (
+  SELECT m.*, {_js("char_counts", "ref_chars")} AS char_distance, {_js("word_counts", "ref_words")} AS word_distance
+  FROM measured m LEFT JOIN refs r ON m.language = r.language
+)
+SELECT doc_id, n_words, word_chars, CAST(classes[7] AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(chars >= 150 AND char_distance > 0.22 + 1.7 / sqrt(chars), false)
+    AND NOT coalesce(n_words >= 30 AND word_distance > 0.20 + 1.2 / sqrt(n_words), false) AS kept,
+  round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance
+FROM compared
+"""
+
 OP9_SQL = r"""
 WITH items AS MATERIALIZED (
   SELECT row_number() OVER () AS item, CAST(item_id AS VARCHAR) AS item_id,

@@ -13,7 +13,9 @@ from tidemark.llm.codes import codebooks_digest, compress
 from tidemark.llm.decontaminate import find_benchmark_passages
 from tidemark.llm.language import identify_languages
 from tidemark.llm.mixing import mix
-from tidemark.llm.oracle import OP5_SQL, OP6_SQL, OP9_SQL, OP10_SQL, OP12_SQL, OP13_SQL
+from tidemark.llm.oracle import (
+    OP5_SQL, OP6_SQL, OP7_SQL, OP8_SQL, OP9_SQL, OP10_SQL, OP12_SQL, OP13_SQL,
+)
 from tidemark.llm.pages import extract_main_text
 from tidemark.llm.quality import judge_quality
 from tidemark.llm.repeats import remove_repeats
@@ -87,7 +89,8 @@ def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return judge_quality(table(spark, sf, "documents"))
+    judged = judge_quality(table(spark, sf, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op8_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,6 +167,8 @@ LLM_QUERIES: dict[str, Query] = {
 LLM_ORACLE: dict[str, str] = {
     "op5_chat_formatting": OP5_SQL,
     "op6_suffix_dedup": OP6_SQL,
+    "op7_quality_rules": OP7_SQL,
+    "op8_secret_scans": OP8_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_mixing": OP10_SQL,
     "op12_vector_codes": OP12_SQL,
