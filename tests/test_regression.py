@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import tidemark.plans.forecast as plan
 from helpers import PANEL, day
 from tidemark.operators.regression import cross_products, least_squares, predict, solve_models
-from tidemark.operators.windows import growth_targets, target_of
+from tidemark.operators.windows import TARGETS, growth_targets, target_of
 from tidemark.plans.forecast import features_and_sums, forecast_panel
 from tidemark.operators.series import SeriesKey
 from tidemark.settings import FEATURES
@@ -80,14 +80,13 @@ def test_whole_and_cut_series_give_the_same_sums(spark, panel):
 
 
 @pytest.mark.parametrize("key", [SeriesKey(), SeriesKey(chunk_days=60, block_rows=45)])
-def test_several_passes_give_the_same_sums(spark, panel, monkeypatch, key):
+def test_horizons_together_give_the_same_sums_as_alone(spark, panel, key):
     horizons = list(range(-2, 6))
     at_once = {r.horizon: tuple(r) for r in features_and_sums(panel, horizons, key)[1].collect()}
-    monkeypatch.setattr(plan, "HORIZONS_PER_PASS", 3)
-    in_parts = {r.horizon: tuple(r) for r in features_and_sums(panel, horizons, key)[1].collect()}
-    assert at_once.keys() == in_parts.keys() == set(horizons)
+    assert at_once.keys() == set(horizons)
     for h in horizons:
-        np.testing.assert_allclose(at_once[h], in_parts[h], rtol=1e-9, atol=1e-9)
+        alone = features_and_sums(panel, [h], key)[1].first()
+        np.testing.assert_allclose(at_once[h], tuple(alone), rtol=1e-9, atol=1e-9)
 
 
 def test_residuals_are_orthogonal_to_the_features():
@@ -120,8 +119,8 @@ def test_deficient_rank_gives_the_solution_of_minimum_norm():
 
 
 def test_cross_products_leave_out_rows_without_a_target(spark):
-    rows = [(1.0, 2.0, None), (2.0, 3.0, 0.5), (4.0, 5.0, 1.0)]
-    df = spark.createDataFrame(rows, "a double, b double, growth_target_3 double")
+    rows = [(1.0, 2.0, [None]), (2.0, 3.0, [0.5]), (4.0, 5.0, [1.0])]
+    df = spark.createDataFrame(rows, f"a double, b double, {TARGETS} array<double>")
     centred = cross_products(df, [3], ["a", "b"], {"b": 3.0}).first().asDict()
     assert {k: centred[k] for k in ("g_0_2", "g_1_2", "g_2_2", "g_2_y")} == {
         "g_0_2": 2.0, "g_1_2": 8.0, "g_2_2": 4.0, "g_2_y": 2.0,
@@ -208,7 +207,8 @@ def test_features_close_to_their_centre(spark):
     rng = np.random.default_rng(5)
     x = np.column_stack([1 + 1e-6 * rng.normal(size=800), rng.normal(size=800)])
     y = 2e4 * (x[:, 0] - 1) + 0.3 * x[:, 1] + 0.01 * rng.normal(size=800)
-    df = spark.createDataFrame(np.column_stack([x, y]).tolist(), "a double, b double, growth_target_3 double")
+    rows = [(*a, [b]) for a, b in zip(x.tolist(), y.tolist())]
+    df = spark.createDataFrame(rows, f"a double, b double, {TARGETS} array<double>")
     centres = {"a": 1.0}
     model = solve_models(cross_products(df, [3], ["a", "b"], centres), ["a", "b"], centres).first()
     centred = x - x.mean(axis=0)
@@ -224,14 +224,20 @@ def test_features_that_hardly_differ():
     np.testing.assert_allclose(least_squares(*moments(x, x @ [5.0, -4.0])), [0.0, 5.0, -4.0], atol=0.05)
 
 
-def test_many_horizons_make_features_once(spark, panel, monkeypatch):
+def test_many_horizons_take_one_pass(spark, panel, monkeypatch):
     staged = []
     write = plan.stage
     monkeypatch.setattr(plan, "stage", lambda df, name: staged.append(name) or write(df, name))
-    horizons = list(range(1, 201))
-    _, sums = features_and_sums(panel.where("entity <> 'B'"), horizons)
-    assert sorted(r.horizon for r in sums.select("horizon").collect()) == horizons
-    assert staged.count("features") == 1 and staged.count("pass") == 5
+    plans = []
+    for horizons in ([30], list(range(1, 501))):
+        staged.clear()
+        _, sums = features_and_sums(panel.where("entity <> 'B'"), horizons)
+        assert staged == ["features", "offsets"]
+        rows = sums.select("horizon").collect()
+        # Of 332 days with features, 11 have no reach: the first has targets up to 320 rows ahead.
+        assert sorted(r.horizon for r in rows) == [h for h in horizons if h <= 320]
+        plans.append(sums._jdf.queryExecution().optimizedPlan().toString())
+    assert len({p.count("Repartition") for p in plans}) == len({p.count("Relation ") for p in plans}) == 1
 
 
 def test_models_need_no_python_in_tasks(spark, panel):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import compound
 from tidemark.operators.series import quoted
-from tidemark.operators.windows import target_of
+from tidemark.operators.windows import TARGETS
 from tidemark.settings import CENTRES
 
 # Terms: 0 is the intercept, 1..k the features, "y" the growth target.
@@ -47,6 +47,8 @@ def cross_products(
 ) -> DataFrame:
     """Per horizon, the sums of all products of two terms over rows with a growth target.
 
+    `train` has the targets in the list TARGETS, in ascending order of horizons.
+
     A feature's centre is subtracted from it, so that sums of features that lie close to
     a constant keep their digits; a centre is fixed, and takes no pass of its own.
 
@@ -61,8 +63,7 @@ def cross_products(
     for i, name in enumerate(features, 1):
         centre = centres.get(name, 0.0)
         terms[i] = f"({quoted(name)} - {centre}D)" if centre else quoted(name)
-    targets = f"array({', '.join(quoted(target_of(h)) for h in ordered)})"
-    rows = train.selectExpr(*map(quoted, features), f"{targets} AS targets")
+    rows = train.selectExpr(*map(quoted, features), f"{TARGETS} AS targets")
 
     known = "transform(targets, (y, i) -> if(y IS NOT NULL, i, NULL))"
     reach = rows.selectExpr("*", f"array_min({known}) AS first", f"array_max({known}) AS last")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.operators.frames import public_columns
 from tidemark.operators.series import (
@@ -27,6 +28,7 @@ from tidemark.operators.series import (
 from tidemark.settings import LAGS, MEAN_PAIRS, lag_feature, ratio_feature
 
 TRAIN_RANK = "__train_rank"
+TARGETS = "__targets"
 
 
 def _replaced(df: DataFrame, columns: Sequence[str], values: dict[str, str]) -> DataFrame:
@@ -175,14 +177,26 @@ def target_of(horizon: int) -> str:
 def growth_of_numbered(
     train: DataFrame, horizons: Sequence[int], key: SeriesKey, level: str = "level"
 ) -> DataFrame:
-    """`growth_targets` for rows that are numbered already."""
-    blocks = with_halo(train, key, before=max(0, -min(horizons)), after=max(0, max(horizons)))
-    start = f"nullif({quoted(level)}, 0)"
-    targets = [
-        f"lead({quoted(level)}, {h}) OVER ({key.block_window}) / {start} - 1 AS {quoted(target_of(h))}"
-        for h in horizons
-    ]
-    return blocks.selectExpr("*", *targets).where(CORE).drop(BLOCK, CORE, POS)
+    """Rows that are numbered already, with their growth for each horizon in the list TARGETS.
+
+    The list is in ascending order of horizons. A block is brought together with its halo,
+    its levels in order of position, and each of its rows looks up the levels it needs by
+    position: one shuffle and one pass, however many horizons there are.
+    """
+    ordered = sorted(horizons)
+    blocks = with_halo(train, key, before=max(0, -ordered[0]), after=max(0, ordered[-1]))
+    kept = [c for c in train.columns if c not in (key.entity, POS)]
+    row, place, value = ", ".join([POS, *map(quoted, kept)]), f"CAST(r.{POS} - __line[0].{POS} + h AS INT)", quoted(level)
+    laid = blocks.repartition(key.entity, BLOCK).groupBy(key.entity, BLOCK)
+    lists = laid.agg(
+        F.expr(f"collect_list(struct({row})) FILTER (WHERE {CORE}) AS __rows"),
+        F.expr(f"sort_array(collect_list(struct({POS}, {value}))) AS __line"),
+    )
+    growth = f"get(__line, {place}).{value} / nullif(r.{value}, 0) - 1"
+    targets = f"transform(array({', '.join(map(str, ordered))}), h -> {growth}) AS {TARGETS}"
+    fields = ", ".join([*(f"r.{quoted(c)} AS {quoted(c)}" for c in kept), targets])
+    rows = lists.selectExpr(quoted(key.entity), f"inline(transform(__rows, r -> struct({fields})))")
+    return rows.select(*(F.col(quoted(c)) for c in train.columns if c != POS), TARGETS)
 
 
 def growth_targets(
@@ -192,5 +206,8 @@ def growth_targets(
 
     For h = 0 growth is 0; for h < 0 it is the growth towards |h| rows earlier.
     """
-    grown = growth_of_numbered(scan(train, key), horizons, key, level)
-    return grown.select(*train.columns, *[target_of(h) for h in horizons])
+    numbered = scan(train, key).select(*map(quoted, train.columns), POS)
+    grown = growth_of_numbered(numbered, horizons, key, level)
+    place = {h: i for i, h in enumerate(sorted(horizons))}
+    targets = [F.col(TARGETS)[place[h]].alias(target_of(h)) for h in horizons]
+    return grown.select(*map(quoted, train.columns), *targets)

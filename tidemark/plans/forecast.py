@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import horizon_days, local_today, month_end
-from tidemark.operators.frames import complete_cases, union_all
+from tidemark.operators.frames import complete_cases
 from tidemark.operators.latest import coverage_summary, latest_rows
 from tidemark.operators.regression import cross_products, predict, solve_models
 from tidemark.operators.series import BLOCK, SeriesKey, number_rows, part_offsets
@@ -24,9 +24,6 @@ from tidemark.plans.panel import Rules, build_panel
 from tidemark.plans.staging import stage
 from tidemark.settings import ANOMALY_RULES, FEATURES
 
-# Horizons whose growth targets are made in one pass over the training rows.
-HORIZONS_PER_PASS = 48
-
 
 @dataclass(frozen=True)
 class Forecast:
@@ -64,23 +61,17 @@ def numbered_training(ranked: DataFrame, key: SeriesKey) -> DataFrame:
     return number_rows(rows, offsets, key, BLOCK, TRAIN_RANK).drop(BLOCK, TRAIN_RANK)
 
 
-def in_passes(horizons: Sequence[int]) -> list[list[int]]:
-    ordered = sorted(horizons)
-    return [ordered[i : i + HORIZONS_PER_PASS] for i in range(0, len(ordered), HORIZONS_PER_PASS)]
-
-
 def features_and_sums(
     panel: DataFrame, horizons: Sequence[int], key: SeriesKey = SeriesKey()
 ) -> tuple[DataFrame, DataFrame]:
     """The staged feature table, and per horizon the cross-products of its complete rows.
 
-    Features are made once. A pass over the numbered complete rows adds the growth targets
-    of some horizons and sums; with more horizons there are more passes.
+    Features are made once, and so are the growth targets of the numbered complete rows,
+    for all horizons together.
     """
     table = stage(ranked_features(panel, key), "features")
-    numbered = numbered_training(table, key)
-    sums = [cross_products(growth_of_numbered(numbered, some, key), some, FEATURES) for some in in_passes(horizons)]
-    return table, sums[0] if len(sums) == 1 else union_all([stage(some, "pass") for some in sums])
+    grown = growth_of_numbered(numbered_training(table, key), horizons, key)
+    return table, cross_products(grown, horizons, FEATURES)
 
 
 def forecast_panel(
