@@ -153,6 +153,23 @@ def test_sheet_files_agree_on_their_columns(spark, tmp_path):
             read_sheet(spark, str(tmp_path), ["A", "B"], strict=strict).collect()
 
 
+@pytest.mark.parametrize("strict", [True, False])
+@pytest.mark.parametrize(
+    "other, message",
+    [
+        ("A,Date,B,x\n3,1/6/2026,4,7\n", "different headers"),
+        ("A,B,x,Date\n3,4,7,1/6/2026\n", "different headers"),
+        ("1/6/2026,3,4,7\n", "no header"),
+        ("Date,A,B,x\n1/6/2026,3,4,7\nDate,B,A,x\n1/7/2026,3,4,7\n", "different headers"),
+    ],
+)
+def test_every_file_is_read_by_its_header(spark, tmp_path, strict, other, message):
+    (tmp_path / "1.csv").write_text("Date,A,B,x\n1/5/2026,1,2,7\n")
+    (tmp_path / "2.csv").write_text(other)
+    with pytest.raises(Exception, match=message):
+        read_sheet(spark, str(tmp_path), ["A", "B"], strict=strict).collect()
+
+
 @pytest.mark.parametrize("row", ["1/7/2026,1,234,5", "1/7/2026"])
 def test_rows_of_another_length_are_errors(spark, tmp_path, row):
     path = tmp_path / "sheet.csv"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Collection, Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,9 +54,10 @@ def read_sheet(
 ) -> DataFrame:
     """Panel from a CSV sheet. Header names may repeat or be unknown; cells are text.
 
-    A sheet may be a folder of files. Each has a header, and those have to agree on where
-    the date and the entities are. A row with more or fewer cells than the header is an
-    error, as its cells may stand in the wrong columns.
+    A sheet may be a folder of files. Each has a header, in which a cell says DATE_COLUMN,
+    and headers have to agree on where the date and the entities are, strict or not: a file
+    without a header, or with another one, is an error. A row with more or fewer cells than
+    the header is an error too, as its cells may stand in the wrong columns.
     """
     first = spark.read.option("header", False).csv(path).first()
     if first is None:
@@ -64,8 +65,14 @@ def read_sheet(
     positions = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(first))])
     # All cells are parsed, so that rows of another length are found.
     grid = spark.read.schema(positions).options(header=False, mode="FAILFAST", columnPruning=False).csv(path)
-    wide = pick_columns(grid, list(first), entities)
-    agrees = reduce(and_, [F.col(f"`{name}`") == name for name in wide.columns])
+    # A header is known by its name for the date, wherever that stands.
+    is_header = reduce(or_, [F.col(c).eqNullSafe(DATE_COLUMN) for c in grid.columns])
+    headed = grid.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.max(is_header).alias("headed"))
+    without = headed.where("NOT headed").first()
+    if without is not None:
+        raise ValueError(f"sheet file has no header: {without['file']}")
+    places = resolve_header(list(first), [DATE_COLUMN, *entities])
+    agrees = reduce(and_, [F.col(f"c{place}").eqNullSafe(name) for name, place in places.items()])
     differs = F.raise_error(F.lit("sheet files have different headers")).cast("boolean")
-    is_row = F.when(F.col(DATE_COLUMN) == DATE_COLUMN, F.when(agrees, False).otherwise(differs)).otherwise(True)
-    return melt_sheet(wide.where(is_row), entities, strict)
+    is_row = F.when(is_header, F.when(agrees, False).otherwise(differs)).otherwise(True)
+    return melt_sheet(pick_columns(grid.where(is_row), list(first), entities), entities, strict)
