@@ -6,6 +6,7 @@ import random
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans.run import run
 from tidemark.plans.staging import staging_folder
@@ -100,6 +101,49 @@ def test_a_shorter_snapshot_leaves_no_old_rows(spark, tmp_path):
     assert presented(read_run_history(spark, runs)).first().forecast == "2.5"
 
 
+SCORED = "entity string, latest_date date, level double, forecast_date date, forecast double"
+
+
+def test_a_run_that_dies_leaves_the_snapshot(spark, tmp_path):
+    row = ("A", date(2026, 2, 1), 1.0, date(2026, 2, 28), 2.5)
+    path = str(tmp_path / "s")
+    with pytest.raises(ValueError, match="no forecast"):
+        read_snapshot(spark, path)
+    good = spark.createDataFrame([row], SCORED)
+    broken = good.withColumn("forecast", F.raise_error(F.lit("the run dies")).cast("double"))
+    with pytest.raises(Exception, match="the run dies"):
+        write_snapshot(broken, path, "2026-02-02 00:00:00")
+    with pytest.raises(ValueError, match="no forecast"):
+        read_snapshot(spark, path)
+    write_snapshot(good, path, "2026-02-03 00:00:00")
+    reader = read_snapshot(spark, path)
+    with pytest.raises(Exception, match="the run dies"):
+        write_snapshot(broken, path, "2026-02-04 00:00:00")
+    assert [r.run_at.day for r in read_snapshot(spark, path).collect()] == [3]
+    write_snapshot(good, path, "2026-02-05 00:00:00")
+    # Whoever began to read the version before can go on.
+    assert [r.run_at.day for r in reader.collect()] == [3]
+    assert [r.run_at.day for r in read_snapshot(spark, path).collect()] == [5]
+    assert len(list((tmp_path / "s").glob("version-*"))) == 2
+
+
+def test_a_run_that_dies_before_the_switch(spark, tmp_path, monkeypatch):
+    from tidemark.sinks import tables
+
+    df = spark.createDataFrame([("A", date(2026, 2, 1), 1.0, date(2026, 2, 28), 2.5)], SCORED)
+    path = str(tmp_path / "s")
+    write_snapshot(df, path, "2026-02-03 00:00:00")
+
+    def dies(*_):
+        raise OSError("no more")
+
+    with monkeypatch.context() as m:
+        m.setattr(tables._Folder, "replace", dies)
+        with pytest.raises(OSError):
+            write_snapshot(df, path, "2026-02-04 00:00:00")
+    assert [r.run_at.day for r in read_snapshot(spark, path).collect()] == [3]
+
+
 def test_staging_uses_the_folder_the_session_names(spark, tmp_path):
     assert staging_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
@@ -128,13 +172,31 @@ def test_staging_without_a_named_folder():
 def test_staged_tables_can_be_removed(spark, monkeypatch):
     from tidemark.plans import staging
 
-    monkeypatch.setattr(staging, "_written", [])
+    monkeypatch.setattr(staging, "_written", {"another application": ["/nowhere"]})
     df = staging.stage(spark.range(3), "numbers")
     path = df.inputFiles()[0]
     assert df.count() == 3
     staging.drop_staged(spark)
     assert not os.path.exists(path.removeprefix("file://"))
     staging.drop_staged(spark)
+    assert staging._written["another application"] == ["/nowhere"]
+
+
+def test_scratch_tables_are_dropped(spark, monkeypatch):
+    from tidemark.plans import staging
+
+    monkeypatch.setattr(staging, "_written", {})
+    there = lambda df: os.path.exists(df.inputFiles()[0].removeprefix("file://"))
+    outside = staging.stage(spark.range(2), "outside")
+    with staging.scratch(spark):
+        first = staging.stage(outside, "first")
+        result = staging.stage(first, "result")
+    assert (there(outside), there(first), there(result)) == (True, False, True)
+    with pytest.raises(ValueError), staging.scratch(spark):
+        lost = staging.stage(outside, "lost")
+        raise ValueError
+    assert not there(lost) and result.count() == 2
+    assert len(staging.written(spark)) == 2
 
 
 def test_only_the_folders_of_tracked_entities_are_read(spark, landed):

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,20 +30,47 @@ def staging_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-_written: list[str] = []
+#: Folders that each application has staged and not yet dropped.
+_written: dict[str, list[str]] = {}
+
+
+def written(spark: SparkSession) -> list[str]:
+    """The folders staged by this application that are still there."""
+    return _written.setdefault(spark.sparkContext.applicationId, [])
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
     path = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    written(spark).append(path)
     return path
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    written(spark).remove(path)
+
+
 def drop_staged(spark: SparkSession) -> None:
-    """Remove all tables that this process has staged, once the results that read them are written."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Remove all tables that this application has staged, once the results that read them are written."""
+    for path in list(written(spark)):
+        drop(spark, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """For work whose result is staged last: the tables that it staged before are dropped at the end.
+
+    Where the work fails, all of its tables are.
+    """
+    before, whole = set(written(spark)), False
+    try:
+        yield
+        whole = True
+    finally:
+        made = [path for path in written(spark) if path not in before]
+        for path in made[:-1] if whole else made:
+            drop(spark, path)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
