@@ -16,11 +16,15 @@ from tidemark.llm.language import keep_identified
 from tidemark.llm.mixing import take_mix
 from tidemark.llm.secrets import redact
 from tidemark.llm.simhash import keep_one_of_each_group
-from tidemark.plans.staging import stage
+from tidemark.plans.staging import drop, scratch, stage, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents whose language is not told: null texts and those without a letter."""
+    """Leaves out documents whose language cannot be told: null texts and those without a letter.
+
+    No text with letters is rejected, however far from all languages it is; where no
+    document has a language to learn from, all of them stay.
+    """
     return keep_identified(docs)
 
 
@@ -59,8 +63,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of `sf_dir`, each written and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on the documents of `sf_dir`, each written and read again by the next.
+
+    What a stage has staged is dropped once its result is written, and that once the next
+    one's is; what the last one reads stays.
+    """
+    docs, former = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = stage(apply(spark, docs, sf_dir), name)
+        if former:
+            drop(spark, former)
+        former = written(spark)[-1]
     return STAGES[-1][1](spark, docs, sf_dir)
