@@ -1,5 +1,6 @@
 """The pipeline and its stages against plain versions of them."""
 
+import os
 import random
 
 import pytest
@@ -114,3 +115,23 @@ def test_no_secret_is_left(spark, folder):
     clean = corpus_pipeline.secrets(spark, docs, folder)
     assert clean.count() == docs.count()
     assert not [r for r in find_secrets(clean).collect() if r["spans"]]
+
+
+def test_documents_without_any_language_label_are_kept(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    unlabelled = docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars")
+    kept = corpus_pipeline.language(spark, unlabelled, folder).collect()
+    assert key(r["text"] for r in kept) == key(r[1] for r in made() if any(c.isalpha() for c in r[1] or ""))
+
+
+def test_run_leaves_only_what_the_result_reads(spark, folder):
+    from tidemark.plans import staging
+
+    before = set(staging.written(spark))
+    out = corpus_pipeline.run(spark, folder)
+    made_here = set(staging.written(spark)) - before
+    read = {f.removeprefix("file:").removeprefix("//").rpartition("/")[0] for f in out.inputFiles()}
+    there = {p for p in made_here if os.path.exists(p.removeprefix("file://"))}
+    assert {p.removeprefix("file://") for p in there} >= read
+    assert {p.rpartition("/")[2].rpartition("-")[0] for p in there}.isdisjoint({"language", "near_copies", "decontamination", "prints"})
+    assert out.count()

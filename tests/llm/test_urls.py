@@ -1,12 +1,16 @@
 """URL parts and rules against a plain version; trees by held-out accuracy."""
 
+import math
 import random
 
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tidemark.llm.queries import URL_RULES
-from tidemark.llm.urls import Rule, filter_urls
+from tidemark.llm.urls import (
+    Rule, filter_urls, fit_trees, host_of, judged_by_rules, lexical_features, path_of, with_statistics,
+)
 
 COLUMNS = "page_id long, url string"
 
@@ -74,6 +78,37 @@ def test_trees_learn_from_labelled_urls(spark):
     assert sum(r["verdict"] == truth[r["page_id"]] for r in unseen) > 270
 
 
+def test_held_out_accuracy_on_given_urls(spark):
+    """A third of the URLs that a rule labels are hidden from statistics and trees."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    plain_urls = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    featured, columns = lexical_features(judged_by_rules(plain_urls, URL_RULES))
+    featured = featured.where("label IS NOT NULL").withColumn("truth", F.col("label"))
+    hidden = F.pmod(F.xxhash64("url"), F.lit(3)) == 0
+    featured = featured.withColumn("label", F.when(~hidden, F.col("label"))).cache()
+    full, more = with_statistics(featured, featured.where("label IS NOT NULL"))
+    columns = columns + more
+    model = fit_trees(full.where("label IS NOT NULL"), columns, 20_000)
+    scored = model.transform(VectorAssembler(inputCols=columns, outputCol="features").transform(full.where("label IS NULL")))
+    right = scored.agg(F.avg(((F.col("prediction") == 1) == (F.col("truth") == "block")).cast("int")), F.count("*")).first()
+    assert right[1] > 300 and right[0] > 0.95
+
+
+def test_statistics_leave_out_a_rows_own_fold(spark):
+    """One of its kind: a labelled row learns nothing from itself, an unlabelled one learns from it."""
+    rows = [(i, f"https://a.com/x/{i}", "allow") for i in range(50)]
+    rows += [(100, "https://b.odd/y/1", "block"), (101, "https://b.odd/y/2", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, label string")
+    df = df.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    featured, _ = lexical_features(df)
+    full, _ = with_statistics(featured, featured.where("label IS NOT NULL"))
+    got = {r["page_id"]: r for r in full.collect()}
+    overall = 1 / 51
+    assert got[100]["directory_rate"] == pytest.approx(overall) and got[100]["directory_rows"] == 0
+    assert got[101]["directory_rate"] == pytest.approx((1 + 20 * overall) / 21)
+    assert all(0 < got[i]["directory_rows"] < math.log1p(50) for i in range(50))
+
+
 @pytest.mark.parametrize("rules, verdict", [([], "allow"), ([Rule("org", "/", "block")], "block")])
 def test_one_label_or_none(spark, rules, verdict):
     got = judged(spark, [(1, "x://a.org/b"), (2, "x://a.net/b"), (3, None)], rules)

@@ -20,6 +20,8 @@ ALLOW, BLOCK = "allow", "block"
 TRAINING_ROWS = 20_000
 TRAINING_PARTITIONS = 4
 TREES, DEPTH = 20, 4
+#: Labelled rows take their statistics from other folds than their own.
+FOLDS = 5
 #: Rows that a suffix or directory is thought to have beside its own, with the share of all.
 PRIOR_ROWS = 20
 
@@ -107,17 +109,31 @@ def lexical_features(urls: DataFrame) -> tuple[DataFrame, list[str]]:
     return urls.withColumns(features | parts), list(features)
 
 
+def _fold() -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), "url", "page_id"), F.lit(FOLDS)).cast("int")
+
+
 def with_statistics(urls: DataFrame, labelled: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Adds, for each part, how many of the labelled URLs have it and the share of blocked ones among them."""
+    """Adds, for each part, how many of the labelled URLs have it and the share of blocked ones among them.
+
+    A labelled URL is not counted for itself: it gets the numbers of the folds that it is
+    not in, so that trees see statistics as good as those of a URL without a label.
+    """
     blocked = F.when(F.col("label") == BLOCK, 1.0).otherwise(0.0)
     overall = labelled.agg(F.coalesce(F.avg(blocked), F.lit(0.0))).first()[0]
+    own = lambda column: F.when(F.col("label").isNotNull(), F.get(column, _fold())).otherwise(0.0)
     columns = []
     for part in PARTS:
         rate, rows = f"{part}_rate", f"{part}_rows"
-        counts = labelled.groupBy(part).agg(F.sum(blocked).alias("blocked"), F.count("*").alias("n"))
-        smooth = (F.col("blocked") + PRIOR_ROWS * overall) / (F.col("n") + PRIOR_ROWS)
-        counts = counts.select(part, smooth.alias(rate), F.log1p("n").alias(rows))
-        urls = urls.join(counts, part, "left").fillna({rate: overall, rows: 0.0})
+        in_fold = [_fold() == k for k in range(FOLDS)]
+        sums = lambda value: F.array(*(F.sum(F.when(f, value).otherwise(0.0)) for f in in_fold))  # noqa: E731, B023
+        counts = labelled.groupBy(part).agg(sums(blocked).alias("blocked_in"), sums(F.lit(1.0)).alias("n_in"))
+        urls = urls.join(counts, part, "left")
+        total = lambda column: F.aggregate(column, F.lit(0.0), lambda a, b: a + b)
+        known = {"blocked": total("blocked_in") - own("blocked_in"), "n": total("n_in") - own("n_in")}
+        smooth = (known["blocked"] + PRIOR_ROWS * overall) / (known["n"] + PRIOR_ROWS)
+        urls = urls.withColumns({rate: F.coalesce(smooth, F.lit(overall)), rows: F.coalesce(F.log1p(known["n"]), F.lit(0.0))})
+        urls = urls.drop("blocked_in", "n_in")
         columns += [rate, rows]
     return urls, columns
 
