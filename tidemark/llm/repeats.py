@@ -37,6 +37,8 @@ ANCHOR = 200
 WIDTH = LENGTH - ANCHOR + 1
 #: Starts that are hashed at a time.
 CHUNK = 1 << 17
+#: Bits that hold a position within the starts of a chunk and its last window.
+PLACE_BITS = np.uint64((1 << 18) - 1)
 #: Different pieces of an anchor that are brought together, with at most 599 bytes each.
 #: An anchor with more is split: its suffixes go to buckets by the hash of their 400 bytes.
 BUCKET_PIECES = 1 << 15
@@ -67,19 +69,27 @@ def anchor_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def least_places(hashes: np.ndarray) -> np.ndarray:
-    """Where the least of WIDTH hashes from each position on is, the first of equal ones."""
-    least, places, size = hashes, np.arange(len(hashes), dtype=np.int32), 1
-    while size < WIDTH:
-        step = min(size, WIDTH - size)
-        first = least[:-step] <= least[step:]
-        places = np.where(first, places[:-step], places[step:])
-        least = np.where(first, least[:-step], least[step:])
-        size += step
-    return places
+    """Where the least of WIDTH hashes from each position on is, the first of equal ones.
+
+    Hashes are compared without their last bits, which hold the position instead. A window
+    of WIDTH is the end of one block of that size and the beginning of the next, so that its
+    least one follows from the running minima of both.
+    """
+    n = len(hashes)
+    keys = np.full(-(-n // WIDTH) * WIDTH, np.iinfo(np.uint64).max)
+    keys[:n] = (hashes & ~PLACE_BITS) | np.arange(n, dtype=np.uint64)
+    blocks = keys.reshape(-1, WIDTH)
+    onward = np.minimum.accumulate(blocks, axis=1).ravel()
+    backward = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    count = n - WIDTH + 1
+    return (np.minimum(backward[:count], onward[WIDTH - 1 : WIDTH - 1 + count]) & PLACE_BITS).astype(np.int64)
+
+
+ANCHORS = ("anchor", "piece", "first", "size", "lead", "times")
 
 
-def anchors(text: bytes) -> list[tuple[int, int, int, int, int, int]]:
-    """(anchor, piece, first, size, lead, times) for each run of starts with one anchor.
+def anchors(text: bytes) -> np.ndarray:
+    """A column of ANCHORS for each run of starts with one anchor.
 
     `anchor` and `piece` are hashes, of the anchor's bytes and of all that the starts
     cover; `first` is the first start, `size` their number and `lead` the bytes from the
@@ -88,25 +98,26 @@ def anchors(text: bytes) -> list[tuple[int, int, int, int, int, int]]:
     """
     data = np.frombuffer(text, np.uint8)
     starts = len(text) - LENGTH + 1
-    out: list[tuple[int, int, int, int, int, int]] = []
+    out: list[np.ndarray] = [np.zeros((len(ANCHORS), 0), np.int64)]
 
     def close(places: np.ndarray, names: np.ndarray, firsts: np.ndarray, ends: np.ndarray) -> None:
         if not len(places):
             return
-        sizes, leads = ends - firsts, places - firsts
         pieces = np.fromiter(
-            (xxhash.xxh3_64_intdigest(text[f : e + LENGTH - 1]) for f, e in zip(firsts.tolist(), ends.tolist())),
+            (xxhash.xxh3_64_intdigest(text[f:e]) for f, e in zip(firsts.tolist(), (ends + (LENGTH - 1)).tolist())),
             np.uint64,
             len(firsts),
         )
-        signed = np.stack([names.view(np.int64), (pieces ^ np.uint64(1 << 63)).view(np.int64), sizes, leads])
-        news = np.flatnonzero(np.concatenate([[True], (signed[:, 1:] != signed[:, :-1]).any(axis=0)]))
-        times = np.diff(np.append(news, len(firsts)))
-        for name, piece, size, lead, first, n in zip(*signed[:, news].tolist(), firsts[news].tolist(), times.tolist()):
-            if out and (name, piece, size, lead) == (*out[-1][:2], *out[-1][3:5]):
-                out[-1] = (*out[-1][:5], out[-1][5] + n)
-            else:
-                out.append((name, piece, first, size, lead, n))
+        runs = np.stack([names.view(np.int64), pieces.view(np.int64), firsts, ends - firsts, places - firsts])
+        like = runs[[0, 1, 3, 4]]
+        news = np.flatnonzero(np.concatenate([[True], (like[:, 1:] != like[:, :-1]).any(axis=0)]))
+        found = np.concatenate([runs[:, news], np.diff(np.append(news, len(firsts)))[None]])
+        before = out[-1]
+        if before.shape[1] and (before[[0, 1, 3, 4], -1] == found[[0, 1, 3, 4], 0]).all():
+            before[5, -1] += found[5, 0]
+            found = found[:, 1:]
+        if found.shape[1]:
+            out.append(found)
 
     left = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for begin in range(0, starts, CHUNK):
@@ -125,21 +136,18 @@ def anchors(text: bytes) -> list[tuple[int, int, int, int, int, int]]:
         left = places[-1:], names[-1:], firsts[-1:]
     if starts > 0:
         close(*left, np.array([starts], np.int64))
-    return out
+    return np.concatenate(out, axis=1)
 
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("anchor", "piece", "first", "size", "lead", "times")
-    kind = pa.list_(pa.struct(list(zip(names, [pa.int64()] * 2 + [pa.int32()] * 4))))
+    kinds = [pa.int64()] * 2 + [pa.int32()] * 4
     for batch in batches:
-        texts = batch.column(5).cast(pa.binary())
-        found = []
-        for text in texts:
-            rows = anchors(text.as_py())
-            found.append([dict(zip(names, r)) for r in rows])
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:5], pa.array(found, kind)], [*ROW, "n_bytes", "kept_sha256", "anchors"]
-        )
+        found = [anchors(text.as_py()) for text in batch.column(5).cast(pa.binary())]
+        ends = np.cumsum([0, *(f.shape[1] for f in found)])
+        rows = np.concatenate(found, axis=1) if found else np.zeros((len(ANCHORS), 0), np.int64)
+        fields = pa.StructArray.from_arrays([pa.array(r).cast(k) for r, k in zip(rows, kinds)], ANCHORS)
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), fields)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], lists], [*ROW, "n_bytes", "kept_sha256", "anchors"])
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
