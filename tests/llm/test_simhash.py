@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidemark.llm.components import components
+from tidemark.llm.components import SPREAD, components, with_least
 from tidemark.llm.simhash import _forest, fingerprint, group_near_copies, links
 
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
@@ -135,3 +135,24 @@ def test_components(spark, shape):
             low, high = sorted((group[a], group[b]))
             group = {n: low if g == high else g for n, g in group.items()}
     assert all(root.get(n, n) == g for n, g in group.items())
+
+
+def test_minima_of_a_hub_are_made_in_parts(spark):
+    """Half of the rows have one key: each is told its least value, and no task of either side has them all."""
+    rows = [(0 if i % 2 else i % 97, i * 7919 % 10_007 if i % 5 else None, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "key long, value long, id long")
+    expected = {}
+    for key, value, _ in rows:
+        if value is not None:
+            expected[key] = min(value, expected.get(key, value))
+    got = with_least(df, "key", "value", "id")
+    assert sorted((r["key"], r["id"], r["low"]) for r in got.collect()) == sorted((k, i, expected[k]) for k, _, i in rows)
+    shares = df.where("key = 0").groupBy(F.pmod(F.xxhash64("id"), F.lit(SPREAD))).count()
+    assert shares.count() == SPREAD and shares.agg(F.max("count")).first()[0] < 120
+
+
+def test_component_of_many_leaves(spark):
+    """A star, whose centre is a hub from the first round to the last."""
+    links = spark.range(1, 5001).selectExpr("id AS a", "0L AS b").unionByName(spark.range(1, 3000).selectExpr("id + 6000 AS a", "9000L AS b"))
+    rows = {r["node"]: r["root"] for r in components(links, "a", "b").collect()}
+    assert rows == {**{i: 0 for i in range(1, 5001)}, **{i: 6001 for i in [*range(6002, 9000), 9000]}}
