@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import quality
 from tidemark.llm.quality import distance, judge_quality
-from tidemark.plans.staging import stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 COLUMNS = "doc_id long, text string, lang string"
@@ -76,27 +75,14 @@ def test_random_texts_and_verdicts(spark):
     assert not any(got[d]["kept"] for d, *_ in rows if 1000 <= d < 3000)
 
 
-def test_words_with_counts(spark):
-    texts = ["b a b A a b", "", "x1 é É é, ß", "one"]
-    df = spark.createDataFrame([(t.split(),) for t in texts], "words array<string>")
-    got = []
-    for (bag,) in df.select(quality.words_with_counts(F.col("words"))).collect():
-        counts = Counter()
-        for word, n in bag:
-            counts[word] += n
-        got.append(counts)
-    assert got == [Counter(w.lower() for w in t.split() if w.isalpha()) for t in texts]
-
-
-def test_texts_are_read_once(spark, tmp_path, monkeypatch):
-    rng = random.Random(6)
-    words = ["".join(rng.choices("aeiourstln", k=5)) for _ in range(50)]
-    path = str(tmp_path / "docs")
-    spark.createDataFrame([(i, prose(rng, 60, words), "en") for i in range(30)], COLUMNS).write.parquet(path)
-    plans = []
-    monkeypatch.setattr(quality, "stage", lambda df, name: plans.append(df) or stage(df, name))
-    plans.append(judge_quality(spark.read.parquet(path)))
-    assert [path in str(df.inputFiles()) for df in plans].count(True) == 1
+def test_classes_and_words_of_any_script(spark):
+    texts = ["Ä é ß\u1e9e ǅ İi 12,x", "", " \t\n", "ΑΣ of OF ﬁ 😀#", "the " * 40 + "ſ K THE tHe"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    known = F.array(*map(F.lit, ["the", "of", "k"]))
+    words = F.split(F.trim("text"), r"\s+")
+    rows = df.select(quality.character_classes(F.col("text")).alias("c"), quality._histogram(words, known).alias("h")).collect()
+    assert [r["c"] for r in rows] == [plain_classes(t) for t in texts]
+    assert [r["h"][:3] for r in rows][3:] == [[0, 2, 0], [42, 0, 1]]
 
 
 def js_distance(a, b):

@@ -3,8 +3,8 @@
 Two histograms are compared, of character classes and of a language's common words, by
 Jensen-Shannon distance (the root of the divergence, base 2). Spark expressions only.
 
-Texts are read once. What is kept of a row are its counts and how often it has each word,
-from which follow the common words of all languages, and then its own histogram of them.
+Texts are read twice: for the common words of all languages, over the texts that pass the
+base rules, and for the counts and histograms of each text.
 """
 
 from __future__ import annotations
@@ -34,40 +34,22 @@ def _base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED * n_words)
 
 
-def words_with_counts(words: Column) -> Column:
-    """(word, n): the different words of letters, in lower case, with how often each occurs.
-
-    Words that differ in case are separate entries of the same word.
-    """
-
-    def runs(ordered: Column) -> Column:
-        opens = lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
-        begins = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), opens)
-        return let(begins, lambda own: entries(ordered, own))
-
-    def entries(ordered: Column, begins: Column) -> Column:
-        ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(ordered)))
-        each = F.zip_with(begins, ends, lambda a, b: F.struct(F.get(ordered, a).alias("word"), (b - a).alias("n")))
-        letters = F.filter(each, lambda e: F.rlike(e["word"], F.lit(r"^\p{L}+$")))
-        return F.transform(letters, lambda e: F.struct(F.lower(e["word"]).alias("word"), e["n"].alias("n")))
-
-    none = F.array().cast("array<struct<word:string,n:int>>")
-    return F.when(F.size(words) > 0, let(F.sort_array(words), runs)).otherwise(none)
-
-
-def common_words(measured: DataFrame) -> DataFrame:
+def common_words(docs: DataFrame) -> DataFrame:
     """(language, vocabulary): the most frequent words of letters, in order, of each language.
 
     They are counted over all documents that pass the base rules; under "", for rows of
     null language, over those of all languages together. Where no word is found there is
     no row.
     """
-    words = measured.where(~F.col("base_failed")).select("language", F.inline("bag"))
-    counts = words.groupBy("language", "word").agg(F.sum("n").alias("n"))
-    # Rows of null language have "" already, so that they count once.
-    own_and_all = F.array_distinct(F.array("language", F.lit("")))
-    counts = counts.select(F.explode(own_and_all).alias("language"), "word", "n")
-    counts = counts.groupBy("language", "word").agg(F.sum("n").alias("n"))
+    passing = lambda words: F.when(
+        ~_base_failed(F.size(words).cast("long"), repeated_words(words).cast("long")), words
+    )
+    found = let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), passing)
+    words = docs.select("lang", F.explode(found).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # Each different word is looked at once.
+    words = words.where(F.rlike("word", F.lit(r"^\p{L}+$"))).withColumn("word", F.lower("word"))
+    counts = words.select(F.explode(F.array("lang", F.lit(""))).alias("language"), "word", "n")
+    counts = counts.where(F.col("language").isNotNull()).groupBy("language", "word").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("language").orderBy(F.desc("n"), "word")
     top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= COMMON_WORDS)
     listed = F.sort_array(F.collect_list(F.struct("place", "word")))["word"]
@@ -83,18 +65,24 @@ def character_classes(text: Column) -> Column:
     Most characters are lower case letters and spaces. What is left without them is short,
     so that the other classes are looked for there.
     """
-    size = F.length(text).cast("long")
-    space = size - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    size = F.length(text)
+    parts = F.struct(
+        size.alias("size"),
+        (size - F.length(F.replace(text, F.lit(" "), F.lit("")))).alias("space"),
+        F.regexp_replace(text, r"[\p{Ll} ]+", "").alias("rest"),
+    )
 
-    def counts(rest: Column) -> Column:
-        count = lambda pattern: F.regexp_count(rest, F.lit(pattern)).cast("long")
-        found = [
-            count(r"[\x09-\x0D]"), count(r"\p{Lu}"), count("[0-9]"), count("[.,;:]"), count(SYMBOLS)
+    def counts(of: Column) -> Column:
+        count = lambda pattern: F.regexp_count(of["rest"], F.lit(pattern))
+        lower = of["size"] - F.length(of["rest"]) - of["space"]
+        known = [
+            of["space"], count(r"[\x09-\x0D]"), count(r"\p{Lu}"), lower, count("[0-9]"), count("[.,;:]"), count(SYMBOLS)
         ]
-        found = [space, found[0], found[1], size - F.length(rest) - space, *found[2:]]
-        return let(F.array(*found), lambda known: F.concat(known, F.array(size - F.aggregate(known, F.lit(0).cast("long"), lambda a, b: a + b))))
+        total = lambda all_of: F.aggregate(all_of, F.lit(0), lambda a, b: a + b)
+        whole = lambda found: F.concat(found, F.array(of["size"] - total(found)))
+        return let(F.array(*known), whole).cast("array<bigint>")
 
-    return let(F.regexp_replace(text, r"[\p{Ll} ]+", ""), counts)
+    return let(parts, counts)
 
 
 def _covered(windows: Column) -> Column:
@@ -131,15 +119,18 @@ def repeated_words(words: Column) -> Column:
         size = F.greatest(F.size(hashes) - step, F.lit(0))
         return F.zip_with(F.slice(hashes, 1, size), F.slice(hashes, step + 1, size), lambda a, b: F.xxhash64(a, b))
 
-    def windows(hashes: Column) -> Column:
-        doubled = let(joined(hashes, 1), lambda twos: let(joined(twos, 2), lambda fours: joined(fours, 4)))
-        return F.when(F.size(hashes) > REPEAT_WORDS, doubled).otherwise(F.array().cast("array<bigint>"))
+    def windows(fours: Column) -> Column:
+        eights = joined(fours, REPEAT_WORDS // 2)
+        again = lambda found: F.when(F.size(F.array_distinct(found)) < F.size(found), _covered(found)).otherwise(0)
+        # A window that is found again has five runs of four words that are.
+        some = F.size(F.array_distinct(fours)) + REPEAT_WORDS // 2 < F.size(fours)
+        return F.when(some, let(eights, again)).otherwise(0)
 
-    def count(found: Column) -> Column:
-        return F.when(F.size(F.array_distinct(found)) < F.size(found), _covered(found)).otherwise(0)
+    def count(hashes: Column) -> Column:
+        fours = let(joined(hashes, 1), lambda twos: joined(twos, 2))
+        return F.when(F.size(hashes) > REPEAT_WORDS, let(fours, windows)).otherwise(0)
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return let(hashes, lambda h: let(windows(h), count))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), count)
 
 
 def repeated_lines(text: Column) -> Column:
@@ -147,34 +138,39 @@ def repeated_lines(text: Column) -> Column:
     return let(lines, lambda found: F.size(found) - F.size(F.array_distinct(found)))
 
 
-def _histogram(bag: Column, n_words: Column, vocabulary: Column) -> Column:
+def _histogram(words: Column, vocabulary: Column) -> Column:
     """How often each word of the vocabulary occurs, and last all others."""
-    known = F.coalesce(vocabulary, F.array().cast("array<string>"))
 
-    def counts(met: Column) -> Column:
-        times = lambda word: F.aggregate(
-            F.filter(met, lambda e: e["word"] == word), F.lit(0).cast("long"), lambda total, e: total + e["n"]
-        )
+    def counts(places: Column) -> Column:
         each = F.transform(
-            F.sequence(F.lit(0), F.lit(COMMON_WORDS - 1)), lambda k: F.coalesce(times(F.get(known, k)), F.lit(0).cast("long"))
+            F.sequence(F.lit(1), F.lit(COMMON_WORDS)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("long")
         )
-        total = F.aggregate(met, F.lit(0).cast("long"), lambda total, e: total + e["n"])
-        return F.concat(each, F.array(n_words - total))
+        return F.concat(each, F.array((F.size(words) - F.size(places)).cast("long")))
+
+    def places(of: Column) -> Column:
+        # Common words are short; longer ones need not be looked up, as lower case takes no characters away.
+        place = lambda w: F.array_position(of["known"], F.lower(w)).cast("int")
+        found = F.transform(F.filter(words, lambda w: F.length(w) <= of["longest"]), place)
+        return F.filter(found, lambda p: p > 0)
 
-    return let(F.filter(bag, lambda e: F.array_contains(known, e["word"])), counts)
+    longest = F.array_max(F.transform(vocabulary, F.length))
+    known = F.struct(vocabulary.alias("known"), F.coalesce(longest, F.lit(0)).alias("longest"))
+    return let(known, lambda of: let(places(of), counts))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """The counts of each row, and its `bag` of words; each text is gone through once."""
+def measure(docs: DataFrame, vocabularies: DataFrame) -> DataFrame:
+    """The counts and histograms of each row."""
+    known = docs.withColumn("language", F.coalesce("lang", F.lit(""))).join(vocabularies, "language", "left")
+    chosen = F.coalesce("vocabulary", F.array().cast("array<string>"))
     text = F.col("text")
     from_words = lambda words: F.struct(
         F.size(words).cast("long").alias("n_words"),
         repeated_words(words).cast("long").alias("n_repeat_words"),
-        words_with_counts(words).alias("bag"),
+        _histogram(words, chosen).alias("word_counts"),
     )
-    found = docs.select(
+    found = known.select(
         "doc_id",
-        F.coalesce("lang", F.lit("")).alias("language"),
+        "language",
         F.length(text).cast("long").alias("chars"),
         character_classes(text).alias("char_counts"),
         repeated_lines(text).cast("long").alias("n_dup_lines"),
@@ -233,12 +229,7 @@ def judge_quality(
         F.nullif(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    measured = stage(measure(narrow), "measures")
-    vocabularies = stage(common_words(measured), "words")
-    known = measured.join(vocabularies, "language", "left")
-    histogram = _histogram(F.col("bag"), F.col("n_words"), F.col("vocabulary")).alias("word_counts")
-    kept = [c for c in measured.columns if c != "bag"]
-    measured = stage(known.select(*kept, histogram), "quality")
+    measured = stage(measure(narrow, stage(common_words(narrow), "words")), "quality")
     references = (
         measured.where(~F.col("base_failed"))
         .groupBy("language")
