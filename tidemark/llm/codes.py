@@ -105,7 +105,7 @@ class Nearest:
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return np.asarray(column.flatten(), np.int64).reshape(len(column), dims)
+    return np.asarray(column.flatten()).astype(np.int64).reshape(len(column), dims)
 
 
 def whole_vectors(
@@ -115,7 +115,7 @@ def whole_vectors(
     x = F.col(vector_col).cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     too_large = F.raise_error(F.lit(f"a component is larger than {LARGEST // SCALE}"))
-    down = lambda v: F.when(F.abs(v * SCALE) > LARGEST, too_large.cast("long")).otherwise(F.floor(v * SCALE))
+    down = lambda v: F.when(F.abs(v * SCALE) > LARGEST, too_large.cast("int")).otherwise(F.floor(v * SCALE).cast("int"))
     return vectors.where(x.isNotNull() & finite).select(
         F.col(id_col).cast("long").alias("vec_id"),
         F.col(label_col).alias("label"),
